@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseek.functions.arrays import unit_rows
 from lodeseek.functions.hashing import hash_embed
 from lodeseek.functions.text import with_role_prefix
-from lodeseek.functions.vectors import l2_normalize
 from lodeseek.registry import ModelSpec, PredictFn, model_spec
 
 VECTOR = T.ArrayType(T.FloatType())
+VECTOR_OR_ERROR = "embedding array<float>, error string"
 
 
 def embed(text: Column, model: str | ModelSpec, role: str = "document") -> Column:
@@ -32,11 +33,11 @@ def embed(text: Column, model: str | ModelSpec, role: str = "document") -> Colum
     predict = predict_batch_udf(
         _checked(spec.make_predict_fn, spec.dims), return_type=VECTOR, batch_size=spec.batch_size
     )
-    return l2_normalize(predict(prefixed)).cast(VECTOR)
+    return predict(prefixed)
 
 
 def _checked(make_predict_fn: Callable[[], PredictFn], dims: int) -> Callable[[], PredictFn]:
-    """The prediction function, failing unless it gives one vector of ``dims`` per input."""
+    """The prediction function with unit vectors, one of ``dims`` per input or an error."""
 
     def make() -> PredictFn:
         predict = make_predict_fn()
@@ -55,21 +56,22 @@ def _as_vectors(predicted: np.ndarray, inputs: int, dims: int) -> np.ndarray:
         raise RuntimeError(f"embedder returned {len(vectors)} embeddings for {inputs} inputs")
     if inputs and vectors.shape[1] != dims:
         raise RuntimeError(f"expected {dims} dims, got {vectors.shape[1]}")
-    return vectors
+    # Models may or may not normalize; afterwards cosine and dot product agree.
+    return unit_rows(vectors.astype(np.float64)).astype(np.float32) if inputs else vectors
 
 
-def try_embed(text: Column, model: ModelSpec, role: str = "document") -> Column:
+def try_embed(text: Column, model: str | ModelSpec, role: str = "document") -> Column:
     """struct(embedding, error): a text that cannot be embedded does not fail the others.
 
     A batch that fails is tried again text by text, so one bad text costs only its own
     vector.
     """
-    spec = model
+    spec = model_spec(model)
     if spec.make_predict_fn is None:
         raise ValueError(f"model {spec.name!r} has no prediction function")
     make, dims, size = spec.make_predict_fn, spec.dims, spec.batch_size
 
-    @F.pandas_udf(T.StructType([T.StructField("embedding", VECTOR), T.StructField("error", T.StringType())]))
+    @F.pandas_udf(VECTOR_OR_ERROR)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = make()
 
@@ -92,8 +94,7 @@ def try_embed(text: Column, model: ModelSpec, role: str = "document") -> Column:
                 }
             )
 
-    result = run(with_role_prefix(text, spec, role))
-    return result.withField("embedding", l2_normalize(result["embedding"]).cast(VECTOR))
+    return run(with_role_prefix(text, spec, role))
 
 
 def split_errors(df: DataFrame, result: str) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.formatting import result_text
@@ -70,11 +70,10 @@ def search_many(
 
 def formatted(hits: DataFrame, show_content: bool = True) -> DataFrame:
     """Hits (at most the search limit) numbered from the best, with their ``text``."""
-    from lodeseek.operators.positions import number_rows
-
     order = [F.desc_nulls_last("similarity"), *[F.asc_nulls_last(c) for c in NATURAL_KEY]]
-    numbered = number_rows(hits, order, name="result")
-    return numbered.withColumn("text", result_text(show_content))
+    # One window over all hits: they are no more than the limit of the search.
+    result = F.row_number().over(Window.orderBy(*order))
+    return hits.withColumn("result", result).withColumn("text", result_text(show_content))
 
 
 def similarity(
