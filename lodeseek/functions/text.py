@@ -134,7 +134,10 @@ def stored_content(content: Column) -> Column:
 
 def tokens(text: Column, max_length: int | None = None) -> Column:
     """Lower-case words (runs of letters and digits), cut at ``max_length`` tokens."""
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    # The last piece of a split with a limit is the unsplit rest. Two pieces more than
+    # wanted leave room for it and for an empty one before the first word.
+    pieces = -1 if max_length is None else max_length + 2
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", pieces), "")
     return words if max_length is None else F.slice(words, 1, max_length)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.schemas import LENGTH_LIMITS, NATURAL_KEY
@@ -26,34 +26,33 @@ def merge_index(
     key in the batch the last by ``indexed_at`` counts.
     """
     key, columns = list(key), current.columns
-    batch = batch.select(*columns)
-    unmatched = F.lit(False)
+    updated = [c for c in updated if c in columns]
+    keyless = F.lit(False)
     for column in nullable_key:
-        unmatched = unmatched | F.col(column).isNull()
-    # The window and the join hash on the same key: one shuffle of the batch.
-    latest = Window.partitionBy(*key).orderBy(
-        *[F.desc(c) for c in ["indexed_at", "content"] if c in columns]
-    )
-    incoming = (
-        batch.filter(~unmatched)
-        .withColumn("__nth", F.row_number().over(latest))
-        .filter(F.col("__nth") == 1)
-        .drop("__nth")
-    )
-    old, new = current.withColumn("__old", F.lit(True)), incoming.withColumn("__new", F.lit(True))
-    joined = old.alias("o").join(new.alias("n"), key, "full_outer")
+        keyless = keyless | F.col(column).isNull()
+
+    # One row per key, by an aggregate that merges copies before it shuffles.
+    values = [c for c in columns if c not in key]
+    by_time = [c for c in ("indexed_at", "content") if c in values]
+    latest = F.max(F.struct(*by_time, *[c for c in values if c not in by_time]))
+    incoming = batch.filter(~keyless).groupBy(*key).agg(latest.alias("__new"))
+    stored = current.filter(~keyless).select(*key, F.struct(*values).alias("__old"))
 
     def merged(column: str) -> Column:
-        if column in key:
-            return F.col(column)
-        from_batch = F.col("__old").isNull()
-        if column in updated:
-            from_batch = F.col("__new").isNotNull()
-        return F.when(from_batch, F.col(f"n.{column}")).otherwise(F.col(f"o.{column}")).alias(
-            column
+        known = F.col("__old").isNotNull()
+        take_new = ~known | F.col("__new").isNotNull() if column in updated else ~known
+        return (
+            F.when(take_new, F.col(f"__new.{column}"))
+            .otherwise(F.col(f"__old.{column}"))
+            .alias(column)
         )
 
-    return joined.select(*[merged(c) for c in columns]).unionByName(batch.filter(unmatched))
+    joined = stored.join(incoming, key, "full_outer").select(*key, *[merged(c) for c in values])
+    return (
+        joined.select(*columns)
+        .unionByName(current.filter(keyless))
+        .unionByName(batch.filter(keyless).select(*columns))
+    )
 
 
 def replace_groups(

@@ -22,12 +22,16 @@ def number_rows(
     order: Sequence[str | Column],
     by: Sequence[str] = (),
     name: str = "position",
+    size_name: str | None = None,
 ) -> DataFrame:
     """Add 1, 2, ... in ``order`` within each group of ``by`` (or over the whole table).
 
-    ``order`` should end in a unique key; rows which tie on all of it are numbered in
-    any order. One range shuffle and one write; the numbers then come from the sorted
-    row ids minus where each group's stretch of a partition starts.
+    ``size_name`` also adds the number of rows in the group. ``order`` should end in a
+    unique key; rows which tie on all of it are numbered in any order.
+
+    One range shuffle and one write; the numbers then come from the sorted row ids minus
+    where each group's stretch of a partition starts. The range shuffle reads ``df``
+    twice, once for a sample, so costly work should be materialized before.
     """
     sorted_rows = df.orderBy(*by, *order).withColumn(_ROW, F.monotonically_increasing_id())
     stored = materialize(sorted_rows, "numbered").withColumn(
@@ -37,19 +41,23 @@ def number_rows(
     stretches = stored.groupBy(*by, _PART).agg(
         F.min(_ROW).alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
-    before = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    before = group.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     stretches = stretches.select(
         *[F.col(c).alias(f"__{c}") for c in by],
         F.col(_PART).alias("__stretch"),
         (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first") + 1).alias(
             "__shift"
         ),
+        *([F.sum("__rows").over(group).alias(size_name)] if size_name else []),
     )
     same = F.col(_PART) == F.col("__stretch")
     for column in by:
         same = same & F.col(column).eqNullSafe(F.col(f"__{column}"))
     return stored.join(stretches, same).select(
-        *df.columns, (F.col(_ROW) + F.col("__shift")).alias(name)
+        *df.columns,
+        (F.col(_ROW) + F.col("__shift")).alias(name),
+        *([size_name] if size_name else []),
     )
 
 
@@ -59,26 +67,20 @@ def exact_percentiles(
     """Percentiles by linear interpolation, one row per group, one column per entry.
 
     Equal to the built-in ``percentile``, which keeps the distinct values of a group in
-    one task's memory; this sorts them across tasks instead.
+    one task's memory; this sorts them across tasks instead, and aggregates the one or
+    two rows that each percentile lies between.
     """
     values = df.select(*by, value).filter(F.col(value).isNotNull())
-    ranked = number_rows(values, [value], by, "__rank")
-    sizes = ranked.groupBy(*by).agg(F.max("__rank").alias("__n"))
-    # The same groups again, so that a rank can be compared with its group's size.
-    same = F.lit(True)
-    for column in by:
-        same = same & F.col(column).eqNullSafe(F.col(f"__{column}"))
-    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], "__n")
-    parts = []
-    wanted = F.lit(False)
+    ranked = number_rows(values, [value], by, "__rank", "__size")
+    parts, wanted = [], F.lit(False)
     for label, p in probabilities.items():
-        at = F.lit(float(p)) * (F.col("__n") - 1)
+        at = F.lit(float(p)) * (F.col("__size") - 1)
         low, share = F.floor(at) + 1, at - F.floor(at)
         here, after = F.col("__rank") == low, F.col("__rank") == low + 1
         wanted = wanted | here | after
         weight = F.when(here, 1 - share).when(after, share)
         parts.append(F.sum(weight * F.col(value)).alias(label))
-    return ranked.join(sizes, same).filter(wanted).groupBy(*by).agg(*parts)
+    return ranked.filter(wanted).groupBy(*by).agg(*parts)
 
 
 def batch_groups(

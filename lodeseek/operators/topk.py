@@ -24,6 +24,12 @@ FILTER_COLUMNS = ["repo_name", "language", "chunk_type"]
 QUERY_BLOCK_BYTES = 64 << 20
 # Up to this many queries need no look at their width.
 FEW_QUERIES = 1024
+# Document-by-query scores held by a task at a time.
+SCORES_AT_ONCE = 4 << 20
+# Parts in which the results of the tasks for one query are merged.
+MERGE_PARTS = 32
+# Up to this many hits are looked up by place.
+FEW_HITS = 10_000
 
 
 def with_filters(df: DataFrame, **wanted: str | None) -> DataFrame:
@@ -67,6 +73,9 @@ def search_stored(
     The first step reads vectors and filter columns only and yields where the k best
     rows lie. The second opens the files of those rows, at most k, for the contents.
     """
+    if k > FEW_HITS:
+        wanted = index.select(*[c for c in HIT_COLUMNS if c != "similarity"], "embedding")
+        return cosine_top_k(wanted, query, k, **filters).select(*HIT_COLUMNS)
     spark = index.sparkSession
     place = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
@@ -96,9 +105,15 @@ def rank_all(
     query: Sequence[float],
     key: Sequence[str],
     vector: str = "embedding",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Every row with its dot product ``score`` and its ``rank``, ties in key order."""
-    scored = df.withColumn("score", dot_to(query)(F.col(vector))).drop(vector)
+    """Every row's key with its dot product ``score`` and its ``rank``, ties in key order.
+
+    Only the key and the columns in ``carry`` travel through the sort. Scores are stored
+    before it, so that vectors are computed once.
+    """
+    score = dot_to(query)(F.col(vector)).alias("score")
+    scored = materialize(df.select(*key, *carry, score), "scores")
     order: list[Column] = [F.desc_nulls_last("score"), *[F.asc_nulls_last(c) for c in key]]
     return number_rows(scored, order, name="rank")
 
@@ -129,8 +144,14 @@ def multi_query_top_k(
     ]
     local = reduce(DataFrame.unionByName, passes)
     order = [F.desc_nulls_last("similarity"), *[F.asc_nulls_last(c) for c in key]]
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(*order))
-    return local.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def best(rows: DataFrame, *group: str | Column) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(query_id, *group).orderBy(*order))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    # A query has k rows from every task: merged in parts, then the parts.
+    part = F.pmod(F.xxhash64(*key), F.lit(MERGE_PARTS))
+    return best(best(local, part).drop("rank"))
 
 
 def _query_blocks(
@@ -173,9 +194,6 @@ def _block_top_k(
     probes = queries.column("probes").to_pylist() if cell else None
     if probes is not None:
         needed = needed.filter(F.col(cell).isin(sorted({c for p in probes for c in p or []})))
-    # Fewer, longer tasks: each emits k rows per query, however many files it reads.
-    slots = documents.sparkSession.sparkContext.defaultParallelism
-    needed = needed.coalesce(4 * slots)
     fields = {f.name: f for f in documents.schema.fields}
     schema = T.StructType(
         [
@@ -235,11 +253,11 @@ def _block_top_k(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pa.Table | None = None
+        step = max(1, SCORES_AT_ONCE // max(len(ids), 1))
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            found = best_of(batch)
-            best = keep_best(found if best is None else pa.concat_tables([best, found]))
+            for start in range(0, batch.num_rows, step):
+                found = best_of(batch.slice(start, step))
+                best = keep_best(found if best is None else pa.concat_tables([best, found]))
         if best is None:
             return
         scores = best.column("similarity").to_numpy()

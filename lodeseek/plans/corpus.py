@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import language_of
-from lodeseek.session import load_table
+from lodeseek.session import load_table, spread
 
 # Directories and file name endings given to documents in turn.
 DIRECTORIES = ["src", "lib/core", "build", "docs", "pkg/vendor/x"]
@@ -53,9 +53,14 @@ def as_python(text: Column, number: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), line_for), "\n")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over enough tasks for costly work on each."""
+    return spread(load_table(spark, sf_dir, "documents"), "doc_id")
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a file: doc_id, lang, repo_name, rel_path, content."""
-    return load_table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         "lang",
         F.col("source").alias("repo_name"),

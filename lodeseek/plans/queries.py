@@ -53,7 +53,7 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three nearest whole documents for every benchmark text."""
-    documents = load_table(spark, sf_dir, "documents").select(
+    documents = corpus.documents(spark, sf_dir).select(
         "doc_id", inference.embed(F.col("text"), "minilm").alias("embedding")
     )
     queries = load_table(spark, sf_dir, "benchmark").select(
@@ -67,7 +67,7 @@ def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def filtered_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts as queries, two of three within a repository of their own."""
-    index = load_table(spark, sf_dir, "documents").select(
+    index = corpus.documents(spark, sf_dir).select(
         "doc_id",
         F.col("source").alias("repo_name"),
         inference.embed(F.col("text"), "minilm").alias("embedding"),
@@ -119,7 +119,7 @@ def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dot_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents ranked against the first benchmark text."""
     first = load_table(spark, sf_dir, "benchmark").orderBy("item_id").first().text
-    documents = load_table(spark, sf_dir, "documents").select(
+    documents = corpus.documents(spark, sf_dir).select(
         F.col("doc_id").alias("position"), "text"
     )
     ranked = similarity(documents, first, "minilm")
@@ -270,7 +270,7 @@ def dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words per document; 256 of them as numbers, with padding and mask."""
-    words = load_table(spark, sf_dir, "documents").select(
+    words = corpus.documents(spark, sf_dir).select(
         "doc_id", text.tokens(F.col("text")).alias("words")
     )
     ids = text.token_ids(F.slice("words", 1, 256))
@@ -291,7 +291,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-zero components of every document's 64-component hashed vector."""
     spec = ModelSpec("hash64", dims=64)
-    vector = load_table(spark, sf_dir, "documents").select(
+    vector = corpus.documents(spark, sf_dir).select(
         "doc_id", F.posexplode(inference.embed(F.col("text"), spec)).alias("dim", "value")
     )
     return vector.filter(F.col("value") != 0).select(
@@ -319,7 +319,7 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def content_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored part of every document."""
-    documents = load_table(spark, sf_dir, "documents")
+    documents = corpus.documents(spark, sf_dir)
     stored = documents.select("doc_id", text.stored_content(F.col("text")).alias("stored"))
     return stored.select(
         "doc_id", F.length("stored").alias("n_chars"), F.md5("stored").alias("digest")
@@ -342,7 +342,7 @@ def _letter_model():
 def model_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registered model over all documents; those it refuses carry the error."""
     spec = ModelSpec("letters", dims=4, batch_size=16, make_predict_fn=_letter_model)
-    rows = load_table(spark, sf_dir, "documents").select(
+    rows = corpus.documents(spark, sf_dir).select(
         "doc_id", inference.try_embed(F.col("text"), spec).alias("r")
     )
     return rows.select(
@@ -368,7 +368,7 @@ def dense_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def dedup_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts computed once per distinct text."""
-    documents = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = corpus.documents(spark, sf_dir).select("doc_id", "text")
     counted = inference.score_once(
         documents, "text", lambda t: F.size(text.tokens(t)), "n_tokens"
     )
@@ -381,7 +381,7 @@ def dedup_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def chunk_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and classes of every document as Python-like source."""
-    documents = load_table(spark, sf_dir, "documents")
+    documents = corpus.documents(spark, sf_dir)
     source = documents.select("doc_id", corpus.as_python(F.col("text"), F.col("doc_id")).alias("s"))
     found = source.select("doc_id", F.explode(chunking.python_definitions(F.col("s"))).alias("c"))
     return found.select(
@@ -471,7 +471,7 @@ def lenient_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unhex(F.lit("EFBFBD0DE282")),
     )
     raw = F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.encode("text", "UTF-8"))
-    decoded = load_table(spark, sf_dir, "documents").select(
+    decoded = corpus.documents(spark, sf_dir).select(
         "doc_id", text.lenient_utf8(raw).alias("t")
     )
     return decoded.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
@@ -651,5 +651,5 @@ def batch_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def batch_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of every source in batches of 32."""
-    documents = load_table(spark, sf_dir, "documents").select("source", "doc_id")
+    documents = corpus.documents(spark, sf_dir).select("source", "doc_id")
     return batch_groups(documents, ["doc_id"], 32, ["source"])

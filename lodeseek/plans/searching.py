@@ -82,8 +82,13 @@ def similarity(
     model: str | ModelSpec = DEFAULT_MODEL,
     text: str = "text",
     position: str = "position",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """All documents with their score and rank against a query, ties by position."""
+    """All documents with their score and rank against a query, ties by position.
+
+    ``carry`` names further columns of the documents to keep.
+    """
     spec = model_spec(model)
     vectors = documents.withColumn("embedding", embed(F.col(text), spec, "document"))
-    return rank_all(vectors, query_vector(documents.sparkSession, query, spec), [position])
+    wanted = query_vector(documents.sparkSession, query, spec)
+    return rank_all(vectors, wanted, [position], carry=carry)

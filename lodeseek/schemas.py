@@ -51,14 +51,12 @@ CHUNK_COLUMNS = [
     "language",
 ]
 
-# Partition columns come last, where Spark puts them on reading.
 INDEX = (
     "file_path string, chunk_type string, name string, content string, start_line int,"
     " end_line int, embedding array<float>, language string, indexed_at timestamp,"
     " model string, repo_name string"
 )
-INDEX_PARTITIONS = ["model", "repo_name"]
-INDEX_DATA_COLUMNS = [
+INDEX_COLUMNS = [
     "file_path",
     "chunk_type",
     "name",
@@ -68,8 +66,13 @@ INDEX_DATA_COLUMNS = [
     "embedding",
     "language",
     "indexed_at",
+    "model",
+    "repo_name",
 ]
-INDEX_COLUMNS = INDEX_DATA_COLUMNS + INDEX_PARTITIONS
+
+# The stored index has partition columns, which Spark puts last on reading.
+INDEX_PARTITIONS = ["model", "repo_name", "bucket"]
+STORED_INDEX = INDEX + ", bucket string"
 
 NATURAL_KEY = ["repo_name", "file_path", "chunk_type", "name", "start_line"]
 

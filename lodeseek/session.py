@@ -40,6 +40,19 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as there are slots, if its scan gives fewer.
+
+    A file of one row group is read by one task, which then does all the costly work
+    per row. A table with enough splits is left alone: nothing is shuffled. The hash of
+    ``keys`` places rows, so a task that runs again sends the same rows to the same place.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 

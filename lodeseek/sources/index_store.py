@@ -1,4 +1,4 @@
-"""The vector index: a Parquet table partitioned by model and repository."""
+"""The vector index: a Parquet table partitioned by model, repository and bucket."""
 
 from __future__ import annotations
 
@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.operators.merging import checked, merge_index, reconcile
-from lodeseek.registry import model_spec
+from lodeseek.registry import ModelSpec, model_spec
 from lodeseek.schemas import (
     INDEX,
     INDEX_COLUMNS,
-    INDEX_DATA_COLUMNS,
     INDEX_PARTITIONS,
     NATURAL_KEY,
+    STORED_INDEX,
 )
 from lodeseek.session import materialize
 
@@ -27,30 +27,29 @@ FEW_PARTITIONS = 1000
 class IndexStore:
     """Reading and writing the index below one directory.
 
-    Writers touch only the partitions of the repositories they are given. Spark stages
-    the new files and swaps them in when the job has succeeded, so a failed run leaves
-    the old index.
+    Writers touch only the partitions of the rows they are given. Spark stages the new
+    files and swaps them in when the job has succeeded, so a failed run leaves the old
+    index.
+
+    ``buckets`` divides every repository by a hash of the file path. An update rewrites
+    only the buckets of the files it brings; choose it so that a bucket of the largest
+    repository is worth rewriting. The number is part of the partition names and has to
+    stay the same for a store.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1):
         self.spark = spark
         self.path = path.rstrip("/")
-
-    def exists(self) -> bool:
-        try:
-            self.spark.read.schema(INDEX).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False
-        return True
+        self.buckets = buckets
 
     def read(self, model: str | None = None) -> DataFrame:
         """The index, or the part of one model; an index not yet written is empty."""
-        if not self.exists():
+        stored = self._stored()
+        if stored is None:
             return self.spark.createDataFrame([], INDEX)
-        index = self.spark.read.schema(INDEX).parquet(self.path)
-        return index.filter(F.col("model") == model) if model else index
+        if model:
+            stored = stored.filter(F.col("model") == model)
+        return stored.select(*INDEX_COLUMNS)
 
     def replace(
         self, rows: DataFrame, repos: Sequence[str] = (), model: str | None = None
@@ -60,56 +59,96 @@ class IndexStore:
         ``repos`` names the repositories that were indexed with ``model``; one of them
         without a row is emptied.
         """
-        if not repos:
-            self._overwrite(rows)
-            return
-        rows = materialize(rows.select(*INDEX_COLUMNS), "replacement")
+        rows = materialize(self._placed(rows), "replacement")
         self._overwrite(rows)
-        named = rows.filter(F.col("repo_name").isin(list(repos)))
-        filled = {r.repo_name for r in named.select("repo_name").distinct().collect()}
-        for repo in set(repos) - filled:
-            self.clear(repo, model)
+        written = rows.select(*INDEX_PARTITIONS).distinct()
+        places = self._places()
+        if places is None:
+            return
+        # Buckets that the repositories had before and have no rows for now.
+        left = self._restrict(places, rows.select("model", "repo_name").distinct())
+        self._empty(left.join(written, INDEX_PARTITIONS, "left_anti"))
+        if repos:
+            named = places.filter(F.col("repo_name").isin(list(repos)))
+            if model:
+                named = named.filter(F.col("model") == model)
+            self._empty(named.join(written, INDEX_PARTITIONS, "left_anti"))
 
     def clear(self, repo: str, model: str | None = None) -> None:
         """Remove a repository's rows (of the given model, else of all)."""
-        if not self.exists():
-            return
-        stored = self.read(model).filter(F.col("repo_name") == repo)
-        # A repository's files lie in one directory per model.
-        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-        nothing = self.spark.createDataFrame([], INDEX).select(*INDEX_DATA_COLUMNS)
-        for found in stored.select(folder.alias("folder")).distinct().collect():
-            nothing.write.mode("overwrite").parquet(unquote(found.folder))
+        places = self._places()
+        if places is not None:
+            places = places.filter(F.col("repo_name") == repo)
+            self._empty(places.filter(F.col("model") == model) if model else places)
 
     def upsert(self, rows: DataFrame) -> None:
         """Insert rows; update content, vector and time of those whose key is stored."""
-        rows = materialize(rows.select(*INDEX_COLUMNS), "batch")
-        merged = merge_index(self._touched(rows), rows, ["model", *NATURAL_KEY])
-        self._overwrite(merged)
-
-    def _touched(self, rows: DataFrame) -> DataFrame:
-        """Stored rows of the partitions that ``rows`` fall into."""
-        partitions = rows.select(*INDEX_PARTITIONS).distinct()
-        few = partitions.limit(FEW_PARTITIONS + 1).collect()
-        current = self.read()
-        if len(few) > FEW_PARTITIONS:
-            return current.join(partitions, INDEX_PARTITIONS, "left_semi")
-        # Named partitions are pruned when the scan is planned.
-        return current.filter(
-            F.col("model").isin([p.model for p in few])
-            & F.col("repo_name").isin([p.repo_name for p in few])
-        ).join(partitions, INDEX_PARTITIONS, "left_semi")
+        rows = materialize(self._placed(rows), "batch")
+        stored = self._stored()
+        if stored is None:
+            current = self.spark.createDataFrame([], STORED_INDEX)
+        else:
+            self._check_buckets(stored, rows)
+            current = self._restrict(stored, rows.select(*INDEX_PARTITIONS).distinct())
+        key = ["model", "bucket", *NATURAL_KEY]
+        self._overwrite(merge_index(current, rows, key))
 
     def copy_to(self, other: IndexStore, rows_of: DataFrame | None = None) -> DataFrame:
         """Write this store's rows to another one and compare their counts."""
         other.replace(self.read() if rows_of is None else rows_of)
         return reconcile(self.read(), other.read())
 
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(STORED_INDEX).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _places(self) -> DataFrame | None:
+        """Partitions of the stored rows, with the directory each lies in."""
+        stored = self._stored()
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        if stored is None:
+            return None
+        return stored.select(*INDEX_PARTITIONS, folder.alias("folder"))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        number = F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("string")
+        return rows.select(*INDEX_COLUMNS).withColumn(
+            "bucket", F.concat(number, F.lit(f"of{self.buckets}"))
+        )
+
+    def _restrict(self, stored: DataFrame, partitions: DataFrame) -> DataFrame:
+        """Stored rows of some partitions, which are named to the scan if they are few."""
+        columns = partitions.columns
+        few = partitions.limit(FEW_PARTITIONS + 1).collect()
+        if len(few) <= FEW_PARTITIONS:
+            for column in columns:
+                values = sorted({p[column] for p in few})
+                stored = stored.filter(F.col(column).isin(values))
+        return stored.join(partitions, columns, "left_semi")
+
+    def _check_buckets(self, stored: DataFrame, rows: DataFrame) -> None:
+        repos = rows.select("model", "repo_name").distinct()
+        others = self._restrict(stored, repos).filter(
+            ~F.col("bucket").endswith(f"of{self.buckets}")
+        )
+        if not others.select("bucket").isEmpty():
+            raise ValueError(f"the index has another number of buckets than {self.buckets}")
+
+    def _empty(self, places: DataFrame) -> None:
+        """Empty the partitions at ``places``: one directory each."""
+        nothing = self.spark.createDataFrame([], INDEX).drop(*INDEX_PARTITIONS)
+        for found in places.select("folder").distinct().toLocalIterator():
+            nothing.write.mode("overwrite").parquet(unquote(found.folder))
+
     def _overwrite(self, rows: DataFrame) -> None:
-        # Rebalancing splits a large repository over several tasks and files and joins
+        # Rebalancing splits a large partition over several tasks and files and joins
         # small ones; the sort gives row groups of one language.
         (
-            rows.select(*INDEX_COLUMNS)
+            rows.select(*INDEX_COLUMNS, "bucket")
             .hint("rebalance", *[F.col(c) for c in INDEX_PARTITIONS])
             .sortWithinPartitions(*INDEX_PARTITIONS, "language", "file_path", "start_line")
             .write.mode("overwrite")
@@ -120,7 +159,7 @@ class IndexStore:
 
 
 def index_rows(
-    chunks: DataFrame, model: str, vector: str = "embedding", strict: bool = True
+    chunks: DataFrame, model: str | ModelSpec, vector: str = "embedding", strict: bool = True
 ) -> DataFrame:
     """Embedded chunks in the layout of the index, checked against the store's limits."""
     spec = model_spec(model)

@@ -196,3 +196,39 @@ def test_incremental_refresh_equals_one_run(spark, tmp_path):
     columns = [c for c in INDEX_COLUMNS if c != "indexed_at"]
     got, expected = (sorted(map(str, s.read().select(*columns).collect())) for s in (store, whole))
     assert got == expected and len(got) == 7
+
+
+def test_buckets_limit_what_an_update_rewrites(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=8)
+    paths = [f"p{i}" for i in range(40)]
+    store.replace(spark.createDataFrame([row("one", p) for p in paths], INDEX))
+
+    def files():
+        place = F.col("_metadata.file_path").alias("f")
+        return {r.f for r in store.read().select("file_path", place).collect()}
+
+    before = files()
+    assert len(before) > 4
+    store.upsert(spark.createDataFrame([row("one", "p3", content="new", day=3)], INDEX))
+    assert len(files() - before) == 1
+    assert {r.file_path: r.content for r in store.read().collect()}["p3"] == "new"
+    assert store.read().count() == 40
+    # A replacement also empties the buckets it has no rows for.
+    store.replace(spark.createDataFrame([row("one", "p1")], INDEX))
+    assert [r.file_path for r in store.read().collect()] == ["p1"]
+    with pytest.raises(ValueError, match="buckets"):
+        IndexStore(spark, str(tmp_path / "index"), buckets=4).upsert(
+            spark.createDataFrame([row("one", "p1")], INDEX)
+        )
+
+
+def test_merge_of_many_copies_of_one_key(spark):
+    current = spark.createDataFrame([row("r", "a")], INDEX)
+    copies = spark.range(20000).select(
+        F.lit("a").alias("file_path"), F.lit("file").alias("chunk_type"), F.lit("f").alias("name"),
+        F.lit("same").alias("content"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"),
+        F.expr("array(1f, 0f)").alias("embedding"), F.lit("go").alias("language"),
+        F.lit("2024-02-02").cast("timestamp").alias("indexed_at"), F.lit("m").alias("model"),
+        F.lit("r").alias("repo_name"),
+    )
+    assert [(r.content, r.indexed_at.month) for r in merge_index(current, copies).collect()] == [("same", 2)]
