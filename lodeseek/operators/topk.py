@@ -175,7 +175,8 @@ def _query_blocks(
     # Hashing spreads queries unevenly, hence twice the blocks.
     blocks = -(-2 * count // per_block)
     block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    return [wanted.filter(block == b).toArrow() for b in range(blocks)]
+    found = (wanted.filter(block == b).toArrow() for b in range(blocks))
+    return [queries_ for queries_ in found if queries_.num_rows]
 
 
 def _block_top_k(
@@ -253,6 +254,8 @@ def _block_top_k(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pa.Table | None = None
+        if len(ids) == 0:
+            return
         step = max(1, SCORES_AT_ONCE // max(len(ids), 1))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
