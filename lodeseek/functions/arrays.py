@@ -28,13 +28,15 @@ def to_matrix(vectors: pa.Array, dims: int | None = None) -> tuple[np.ndarray, n
     return matrix, present
 
 
-def from_matrix(matrix: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
-    """Matrix rows as a float32 list column; rows outside ``present`` are NULL."""
+def from_matrix(
+    matrix: np.ndarray, present: np.ndarray | None = None, dtype: type = np.float32
+) -> pa.Array:
+    """Matrix rows as a list column; rows outside ``present`` are NULL."""
     rows, dims = matrix.shape
     offsets = np.arange(0, (rows + 1) * dims, dims, dtype=np.int32) if dims else np.zeros(
         rows + 1, dtype=np.int32
     )
-    values = pa.array(np.ascontiguousarray(matrix, dtype=np.float32).ravel())
+    values = pa.array(np.ascontiguousarray(matrix, dtype=dtype).ravel())
     mask = None if present is None or present.all() else pa.array(~present)
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 

@@ -31,7 +31,20 @@ def _token_numbers(words: pa.Array) -> np.ndarray:
         dtype=np.int64,
         count=len(encoded.dictionary),
     )
-    return numbers[encoded.indices.to_numpy()]
+    return numbers[encoded.indices.to_numpy()] if len(words) else numbers
+
+
+def token_ids(words: Column) -> Column:
+    """The number of each token of a list."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def number(token_lists: pa.Array) -> pa.Array:
+        values = pa.array(_token_numbers(token_lists.flatten()), pa.int64())
+        offsets = np.zeros(len(token_lists) + 1, dtype=np.int32)
+        np.cumsum(token_lists.value_lengths().fill_null(0), out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=token_lists.is_null())
+
+    return number(words)
 
 
 def hash_embed(text: Column, dims: int, max_length: int = 256) -> Column:

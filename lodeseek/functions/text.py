@@ -141,13 +141,6 @@ def tokens(text: Column, max_length: int | None = None) -> Column:
     return words if max_length is None else F.slice(words, 1, max_length)
 
 
-def token_ids(words: Column) -> Column:
-    """A number per token: the first 32 bits of its MD5 digest."""
-    return F.transform(
-        words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint")
-    )
-
-
 def padded_ids(ids: Column, length: int) -> Column:
     """Token numbers filled with 0 up to ``length``."""
     missing = F.greatest(F.lit(length) - F.size(ids), F.lit(0))

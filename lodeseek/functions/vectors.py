@@ -1,8 +1,9 @@
 """Vector arithmetic on array columns, in double precision.
 
-Two forms. The Column expressions (`dot`, `cosine_similarity`, ...) work between any
-two array columns and stay in the JVM. The scorers (`cosine_to`, `dot_to`) compare a
-column with one known vector as an Arrow matrix product, several times faster per row.
+All of it works on Arrow batches as numpy matrices: measured on 64 components, four times
+the speed of `zip_with` and `aggregate`, which Spark interprets element by element. Spark
+evaluates all of these functions of one projection in one pass through Python. Vectors
+of different dimensions are an error; a NULL vector gives NULL.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseek.functions.arrays import from_matrix, to_matrix
+from lodeseek.functions.arrays import from_matrix, to_matrix, unit_rows
 
 # Vectors are float32, so score differences below this many decimals are summation
 # noise. Scores are rounded to it before they are ranked, which makes copies of one
@@ -23,49 +24,69 @@ from lodeseek.functions.arrays import from_matrix, to_matrix
 SCORE_DECIMALS = 9
 
 
-def as_column(vector: Sequence[float] | Column) -> Column:
-    if isinstance(vector, Column):
-        return vector
-    return F.array(*[F.lit(float(x)) for x in vector])
+def _norms(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+
+
+def _cosines(dots: np.ndarray, norms: np.ndarray, present: np.ndarray) -> pa.Array:
+    """Dot products by the product of the norms; NULL where that is zero."""
+    defined = present & (norms > 0)
+    return pa.array(dots / np.where(defined, norms, 1.0), mask=~defined)
+
+
+def _pair(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    left, has_left = to_matrix(a)
+    right, has_right = to_matrix(b, left.shape[1] if has_left.any() else None)
+    present = has_left & has_right
+    if not present.any():
+        left, right = np.zeros((len(a), 0)), np.zeros((len(a), 0))
+    return left, right, present
+
+
+def dot(a: Column, b: Column) -> Column:
+    @F.arrow_udf(T.DoubleType())
+    def product(left: pa.Array, right: pa.Array) -> pa.Array:
+        x, y, present = _pair(left, right)
+        return pa.array(np.einsum("ij,ij->i", x, y), mask=~present)
+
+    return product(a, b)
+
 
+def cosine_similarity(a: Column, b: Column) -> Column:
+    """NULL where either vector has length zero."""
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+    @F.arrow_udf(T.DoubleType())
+    def cosine(left: pa.Array, right: pa.Array) -> pa.Array:
+        x, y, present = _pair(left, right)
+        return _cosines(np.einsum("ij,ij->i", x, y), _norms(x) * _norms(y), present)
 
+    return cosine(a, b)
 
-def dot(a: Column, b: Sequence[float] | Column) -> Column:
-    return _sum(
-        F.zip_with(a, as_column(b), lambda x, y: x.cast("double") * y.cast("double"))
-    )
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    return F.lit(1.0) - cosine_similarity(a, b)
 
 
 def l2_norm(vector: Column) -> Column:
-    return F.sqrt(_sum(F.transform(vector, lambda x: x.cast("double") * x.cast("double"))))
+    @F.arrow_udf(T.DoubleType())
+    def norm(vectors: pa.Array) -> pa.Array:
+        matrix, present = to_matrix(vectors)
+        return pa.array(_norms(matrix), mask=~present)
+
+    return norm(vector)
 
 
 def l2_normalize(vector: Column, normalize: bool = True) -> Column:
-    """Scale to length 1; a zero vector stays zero."""
+    """Scale to length 1, as doubles; a zero vector stays zero."""
     if not normalize:
         return vector
-    # The norm is bound once per row by passing it through a one-element array.
-    scaled = F.transform(
-        F.array(l2_norm(vector)),
-        lambda norm: F.transform(
-            vector,
-            lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm),
-        ),
-    )
-    return F.element_at(scaled, 1)
-
-
-def cosine_similarity(a: Column, b: Sequence[float] | Column) -> Column:
-    """NULL where either vector has length zero."""
-    other = as_column(b)
-    return F.try_divide(dot(a, other), l2_norm(a) * l2_norm(other))
 
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unit(vectors: pa.Array) -> pa.Array:
+        matrix, present = to_matrix(vectors)
+        return from_matrix(unit_rows(matrix), present, np.float64)
 
-def cosine_distance(a: Column, b: Sequence[float] | Column) -> Column:
-    return F.lit(1.0) - cosine_similarity(a, b)
+    return unit(vector)
 
 
 def vector_to_text(vector: Column) -> Column:
@@ -77,25 +98,20 @@ def text_to_vector(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
-def _known(vector: Sequence[float]) -> np.ndarray:
-    return np.asarray(vector, dtype=np.float64)
-
-
 def cosine_to(vector: Sequence[float]):
-    """A function of an array column: its cosine similarity to ``vector``.
+    """A function of an array column: its cosine similarity to ``vector``, for ranking.
 
     NULL for a NULL or zero-length vector.
     """
-    query = _known(vector)
+    query = np.asarray(vector, dtype=np.float64)
     query_norm = float(np.sqrt(query @ query))
 
     @F.arrow_udf(T.DoubleType())
     def score(vectors: pa.Array) -> pa.Array:
         matrix, present = to_matrix(vectors, len(query))
-        norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * query_norm
-        defined = present & (norms > 0)
-        scores = (matrix @ query) / np.where(defined, norms, 1.0)
-        return pa.array(np.round(scores, SCORE_DECIMALS) + 0.0, mask=~defined)
+        cosines = _cosines(matrix @ query, _norms(matrix) * query_norm, present)
+        scores = np.round(cosines.fill_null(0.0).to_numpy(), SCORE_DECIMALS) + 0.0
+        return pa.array(scores, mask=np.asarray(cosines.is_null()))
 
     return score
 
@@ -105,7 +121,7 @@ def dot_to(vector: Sequence[float]):
 
     For unit vectors this is the cosine similarity without computing norms.
     """
-    query = _known(vector)
+    query = np.asarray(vector, dtype=np.float64)
 
     @F.arrow_udf(T.DoubleType())
     def score(vectors: pa.Array) -> pa.Array:
@@ -132,9 +148,12 @@ def pool_tokens(token_vectors: Column, mask: Column) -> Column:
         matrix, _ = to_matrix(vectors.flatten())
         weights = masks.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         pooled = np.zeros((len(vectors), matrix.shape[1]))
-        row = np.repeat(np.arange(len(vectors)), counts)
-        np.add.at(pooled, row, matrix * weights[:, None])
-        totals = np.bincount(row, weights=weights, minlength=len(vectors))
+        totals = np.zeros(len(vectors))
+        filled = counts > 0
+        if filled.any():
+            starts = (np.cumsum(counts) - counts)[filled]
+            pooled[filled] = np.add.reduceat(matrix * weights[:, None], starts)
+            totals[filled] = np.add.reduceat(weights, starts)
         return from_matrix(pooled / np.maximum(totals, 1e-9)[:, None], present)
 
     return pool(token_vectors, mask)

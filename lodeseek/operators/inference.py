@@ -112,9 +112,12 @@ def dense_score(
     features: Column,
     make_predict_fn: Callable[[], PredictFn],
     inputs: int = 51,
-    batch_size: int = 8,
+    batch_size: int = 1024,
 ) -> Column:
-    """One float per row of a fixed number of features."""
+    """One float per row of a fixed number of features.
+
+    A model that takes no more rows at a time gets them in batches of ``batch_size``.
+    """
     predict = predict_batch_udf(
         make_predict_fn,
         return_type=T.FloatType(),

@@ -8,8 +8,10 @@ of any size, and rows with equal values, spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodeseek.session import materialize
@@ -18,46 +20,26 @@ _ROW, _PART = "__row", "__part"
 
 
 def number_rows(
-    df: DataFrame,
-    order: Sequence[str | Column],
-    by: Sequence[str] = (),
-    name: str = "position",
-    size_name: str | None = None,
+    df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "position"
 ) -> DataFrame:
     """Add 1, 2, ... in ``order`` within each group of ``by`` (or over the whole table).
 
-    ``size_name`` also adds the number of rows in the group. ``order`` should end in a
-    unique key; rows which tie on all of it are numbered in any order.
+    ``order`` should end in a unique key; rows which tie on all of it are numbered in
+    any order.
 
     One range shuffle and one write; the numbers then come from the sorted row ids minus
     where each group's stretch of a partition starts. The range shuffle reads ``df``
     twice, once for a sample, so costly work should be materialized before.
     """
-    sorted_rows = df.orderBy(*by, *order).withColumn(_ROW, F.monotonically_increasing_id())
-    stored = materialize(sorted_rows, "numbered").withColumn(
-        _PART, F.shiftrightunsigned(F.col(_ROW), 33)
-    )
+    stored = _sorted_and_stored(df, [*by, *order])
     # At most (groups + partitions) rows, and per group at most one per partition.
     stretches = stored.groupBy(*by, _PART).agg(
         F.min(_ROW).alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
-    group = Window.partitionBy(*by)
-    before = group.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    stretches = stretches.select(
-        *[F.col(c).alias(f"__{c}") for c in by],
-        F.col(_PART).alias("__stretch"),
-        (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first") + 1).alias(
-            "__shift"
-        ),
-        *([F.sum("__rows").over(group).alias(size_name)] if size_name else []),
-    )
-    same = F.col(_PART) == F.col("__stretch")
-    for column in by:
-        same = same & F.col(column).eqNullSafe(F.col(f"__{column}"))
-    return stored.join(stretches, same).select(
-        *df.columns,
-        (F.col(_ROW) + F.col("__shift")).alias(name),
-        *([size_name] if size_name else []),
+    shift = F.coalesce(F.sum("__rows").over(_before(by)), F.lit(0)) - F.col("__first") + 1
+    stretches = stretches.select(*by, _PART, shift.alias("__shift"))
+    return _with_stretch(stored, stretches, by).select(
+        *df.columns, (F.col(_ROW) + F.col("__shift")).alias(name)
     )
 
 
@@ -67,20 +49,72 @@ def exact_percentiles(
     """Percentiles by linear interpolation, one row per group, one column per entry.
 
     Equal to the built-in ``percentile``, which keeps the distinct values of a group in
-    one task's memory; this sorts them across tasks instead, and aggregates the one or
-    two rows that each percentile lies between.
+    one task's memory. Here equal values are counted before the shuffle, the distinct
+    ones are sorted across tasks, and only the stretches of them which hold a wanted
+    rank are looked into.
     """
-    values = df.select(*by, value).filter(F.col(value).isNotNull())
-    ranked = number_rows(values, [value], by, "__rank", "__size")
-    parts, wanted = [], F.lit(False)
-    for label, p in probabilities.items():
+    by = list(by)
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).alias("__value"))
+        .agg(F.count(F.lit(1)).alias("__count"))
+    )
+    stored = _sorted_and_stored(counts, [*by, "__value"])
+    stretches = (
+        stored.groupBy(*by, _PART)
+        .agg(F.sum("__count").alias("__rows"))
+        .withColumn("__before", F.coalesce(F.sum("__rows").over(_before(by)), F.lit(0)))
+        .withColumn("__size", F.sum("__rows").over(Window.partitionBy(*by)))
+    )
+
+    def ranks(p: float) -> tuple[Column, Column]:
+        """The lower of the two ranks (from 1) around a percentile, the share of the upper."""
         at = F.lit(float(p)) * (F.col("__size") - 1)
-        low, share = F.floor(at) + 1, at - F.floor(at)
-        here, after = F.col("__rank") == low, F.col("__rank") == low + 1
-        wanted = wanted | here | after
-        weight = F.when(here, 1 - share).when(after, share)
-        parts.append(F.sum(weight * F.col(value)).alias(label))
-    return ranked.filter(wanted).groupBy(*by).agg(*parts)
+        return F.floor(at) + 1, at - F.floor(at)
+
+    def holds(rank: Column, first: Column, rows: Column) -> Column:
+        return (rank > first) & (rank <= first + rows)
+
+    lower = [ranks(p)[0] for p in probabilities.values()]
+    hit = reduce(
+        or_,
+        [holds(r, F.col("__before"), F.col("__rows")) for low in lower for r in (low, low + 1)],
+    )
+    # A stretch is a part of one range partition, however large its group is.
+    within = Window.partitionBy(*by, _PART).orderBy(_ROW)
+    first = F.col("__before") + F.sum("__count").over(within) - F.col("__count")
+    values = _with_stretch(stored, stretches.filter(hit), by).withColumn("__at", first)
+    parts = []
+    for label, p in probabilities.items():
+        low, share = ranks(p)
+        weight = F.when(holds(low, F.col("__at"), F.col("__count")), 1 - share).otherwise(0.0)
+        weight += F.when(holds(low + 1, F.col("__at"), F.col("__count")), share).otherwise(0.0)
+        parts.append(F.sum(weight * F.col("__value")).alias(label))
+    return values.groupBy(*by).agg(*parts)
+
+
+def _sorted_and_stored(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` range-partitioned in order, with ascending row ids and partition numbers."""
+    sorted_rows = df.orderBy(*order).withColumn(_ROW, F.monotonically_increasing_id())
+    return materialize(sorted_rows, "sorted").withColumn(
+        _PART, F.shiftrightunsigned(F.col(_ROW), 33)
+    )
+
+
+def _before(by: Sequence[str]) -> WindowSpec:
+    """The earlier stretches of a group."""
+    return Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_stretch(stored: DataFrame, stretches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stored rows with the columns of the stretch they belong to; groups may be NULL."""
+    keys = [*by, _PART]
+    renamed = stretches.select(
+        *[F.col(c).alias(f"__of_{c}") for c in keys],
+        *[c for c in stretches.columns if c not in keys],
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys])
+    return stored.join(renamed, same).drop(*[f"__of_{c}" for c in keys])
 
 
 def batch_groups(

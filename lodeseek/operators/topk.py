@@ -164,10 +164,11 @@ def _query_blocks(
     """The queries in blocks of bounded size."""
     columns = [query_id, vector, *filter_columns, *(["probes"] if cell else [])]
     wanted = queries.select(*columns)
-    count = wanted.count()
-    if count <= FEW_QUERIES:
-        return [wanted.toArrow()]
+    few = wanted.limit(FEW_QUERIES + 1).toArrow()
+    if few.num_rows <= FEW_QUERIES:
+        return [few]
     wanted = materialize(wanted, "queries")
+    count = wanted.count()
     width = wanted.agg(F.max(F.size(vector))).first()[0]
     per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(width or 1, 1)))
     if count <= per_block:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.chunking import chunks_of
@@ -65,16 +65,22 @@ def index_tree(
     manifest: DataFrame | None = None,
     exclude: Iterable[str] = (),
     repos: Sequence[str] = (),
-) -> None:
+) -> dict[str, int]:
     """Index one repository, or with no ``repo_name`` every one directly below ``root``.
 
     ``replace`` makes the result the whole content of the repositories; without it known
     chunks are updated and new ones added, and chunks that are gone stay. ``repos`` names
-    repositories to empty if nothing is found in them.
+    repositories to empty if nothing is found in them. Returns the numbers of files read
+    and of chunks written, counted while they pass.
     """
     spec = model_spec(model)
-    rows = rows_for_index(scan_tree(spark, root, repo_name, manifest, exclude), spec)
+    read, made = Observation("files"), Observation("chunks")
+    total = F.count(F.lit(1))
+    files = scan_tree(spark, root, repo_name, manifest, exclude)
+    rows = rows_for_index(files.observe(read, total.alias("files")), spec)
+    rows = rows.observe(made, total.alias("chunks"))
     if replace:
         store.replace(rows, repos or ([repo_name] if repo_name else ()), spec.name)
     else:
         store.upsert(rows)
+    return {**read.get, **made.get}

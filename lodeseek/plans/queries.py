@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeseek.functions import chunking, formatting, text, vectors
+from lodeseek.functions import chunking, formatting, hashing, text, vectors
 from lodeseek.operators import cells, inference, merging, pooling, stats
 from lodeseek.operators.positions import batch_groups
 from lodeseek.operators.topk import cosine_top_k, multi_query_top_k
@@ -17,7 +17,7 @@ from lodeseek.plans.indexing import chunk_files, embed_chunks
 from lodeseek.plans.searching import query_vector, similarity
 from lodeseek.registry import ModelSpec, model_spec
 from lodeseek.schemas import NATURAL_KEY
-from lodeseek.session import load_table
+from lodeseek.session import load_table, materialize
 from lodeseek.sources.repositories import exclude_repos, indexable, tracked_only
 from lodeseek.sources.responses import parse_responses
 
@@ -132,7 +132,7 @@ def dot_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_cells(spark: SparkSession, sf_dir: str) -> tuple[cells.Cells, DataFrame, DataFrame]:
     """Cells around the mean vector of each label; stored vectors; the means as queries."""
     stored = load_table(spark, sf_dir, "embeddings")
-    means = pooling.masked_mean(stored, ["label"])
+    means = materialize(pooling.masked_mean(stored, ["label"]), "means")
     around = cells.centroids_of(means, "label")
     in_cells = stored.withColumn("cell", around.assign(F.col("embedding")))
     queries = pooling.assemble(means, ["label"]).withColumnRenamed("label", "query_id")
@@ -273,7 +273,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = corpus.documents(spark, sf_dir).select(
         "doc_id", text.tokens(F.col("text")).alias("words")
     )
-    ids = text.token_ids(F.slice("words", 1, 256))
+    ids = hashing.token_ids(F.slice("words", 1, 256))
     kept = words.select("doc_id", "words", ids.alias("ids"))
     total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
     mask = text.attention_mask(F.col("ids"), 256)

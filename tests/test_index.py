@@ -133,7 +133,7 @@ def test_refused_rows(spark, change, message):
 def test_index_and_search_a_tree(spark, tmp_path):
     root = tree(tmp_path / "src", FILES)
     store = IndexStore(spark, str(tmp_path / "index"))
-    index_tree(spark, root, store, model=SMALL)
+    assert index_tree(spark, root, store, model=SMALL) == {"files": 4, "chunks": 5}
     index = store.read("small")
     assert index_total(index).first().chunks == 5
     assert [(r.repo_name, r.chunks) for r in index_summary(index).collect()] == [("alpha", 3), ("beta", 2)]

@@ -34,12 +34,12 @@ def unit(rng, n, dims):
 def test_numbering_of_a_hot_group_with_ties(spark, partitions):
     rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i % 4, i) for i in range(2000)]
     frame = spark.createDataFrame(rows, "g string, v int, id int").repartition(partitions)
-    got = number_rows(frame, [F.desc("v"), "id"], ["g"], "n", "size").collect()
+    got = number_rows(frame, [F.desc("v"), "id"], ["g"], "n").collect()
     groups = {}
     for g, v, i in sorted(rows, key=lambda r: (-r[1], r[2])):
         groups.setdefault(g, []).append(i)
-    expected = {i: (n, len(ids)) for ids in groups.values() for n, i in enumerate(ids, 1)}
-    assert {r.id: (r.n, r["size"]) for r in got} == expected
+    expected = {i: n for ids in groups.values() for n, i in enumerate(ids, 1)}
+    assert {r.id: r.n for r in got} == expected
 
 
 def test_numbering_of_a_whole_table(spark):
@@ -56,7 +56,11 @@ def test_percentiles_golden_and_against_the_built_in(spark):
     got = {r.g: (round(r.p50, 9), round(r.p95, 9), round(r.p99, 9)) for r in exact_percentiles(golden, "v", wanted, ["g"]).collect()}
     assert got == {"a": (3.0, 8.25, 8.85), "b": (5.0, 5.0, 5.0)}
 
-    frame = spark.range(5003).select((F.col("id") % 3).alias("g"), (F.hash("id") % 500 / 7).alias("v"))
+    # Group 0 holds a third of all rows with one value.
+    frame = spark.range(5003).select(
+        (F.col("id") % 3).alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(2.5)).otherwise(F.hash("id") % 5000 / 7).alias("v"),
+    )
     mine = exact_percentiles(frame, "v", wanted, ["g"]).orderBy("g").collect()
     built_in = frame.groupBy("g").agg(F.percentile("v", [0.5, 0.95, 0.99]).alias("p")).orderBy("g").collect()
     for m, b in zip(mine, built_in):
@@ -167,14 +171,22 @@ def test_column_expressions_agree_with_the_scorers(spark):
     rng = np.random.default_rng(4)
     docs = vector_frame(spark, list(unit(rng, 20, 5)) + [np.zeros(5)])
     query = [float(x) for x in np.float32(rng.normal(size=5))]
-    v = F.col("embedding")
+    v, same = F.col("embedding"), F.array(*[F.lit(x) for x in query])
     for r in docs.select(
-        vectors.cosine_similarity(v, query).alias("a"), vectors.cosine_to(query)(v).alias("b"),
-        vectors.dot(v, query).alias("c"), vectors.dot_to(query)(v).alias("d"),
-        vectors.cosine_distance(v, query).alias("e"),
+        "id", "embedding", vectors.cosine_similarity(v, same).alias("a"), vectors.cosine_to(query)(v).alias("b"),
+        vectors.dot(v, same).alias("c"), vectors.dot_to(query)(v).alias("d"),
+        vectors.cosine_distance(v, same).alias("e"), vectors.l2_norm(v).alias("n"),
     ).collect():
-        assert (r.a is None and r.b is None and r.e is None) or abs(r.a - r.b) < 1e-8 and abs(r.a + r.e - 1) < 1e-12
-        assert abs(r.c - r.d) < 1e-8
+        assert abs(r.c - np.dot(r.embedding, query)) < 1e-9 and abs(r.c - r.d) < 1e-8
+        assert abs(r.n - np.linalg.norm(r.embedding)) < 1e-9
+        if r.id == 20:
+            assert (r.a, r.b, r.e) == (None, None, None)
+        else:
+            assert abs(r.a - r.c / r.n / np.linalg.norm(query)) < 1e-8
+            assert abs(r.a - r.b) < 1e-8 and abs(r.a + r.e - 1) < 1e-12
+    nulls = spark.createDataFrame([(None, [1.0]), ([2.0], None), ([2.0], [3.0]), (None, None)],
+                                  "a array<float>, b array<float>")
+    assert [r[0] for r in nulls.coalesce(1).select(vectors.dot(F.col("a"), F.col("b"))).collect()] == [None, None, 6.0, None]
 
 
 def test_all_cells_give_the_exact_result(spark):
