@@ -1,91 +1,188 @@
-"""Source trees as tables of text files."""
+"""Source trees as tables of text files.
+
+Spark's file sources pass over every name that starts with ``_`` or ``.``, so they would
+lose ``__init__.py`` or ``.github/``. Here a tree is listed and read by tasks of its own:
+directories are spread over the cluster to be listed, files to be read, and between the
+two all filters on names run on the listing, so that a file which is not indexed is never
+opened.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+import os
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseek.functions.text import (
-    LANGUAGE_BY_EXTENSION,
+    SKIPPED_DIRECTORIES,
     in_skipped_directory,
     language_of,
     lenient_utf8,
     not_blank,
 )
+from lodeseek.session import materialize
 
-# Schema of the binary file source; streams need it stated.
-BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
-
-# A row cannot hold more, so a larger file cannot be read as one value.
+# A row cannot hold more, so a larger file is refused.
 MAX_FILE_BYTES = 2**31 - 1
 
-_INDEXED_NAME = r"(?i)[^/]\.(" + "|".join(e[1:] for e in LANGUAGE_BY_EXTENSION) + r")\z"
-
+# Bytes of files that one task reads, and that it hands over at a time.
+TASK_BYTES = 128 << 20
+BATCH_BYTES = 32 << 20
+
+_ENTRIES = pa.schema(
+    [
+        ("rel_path", pa.string()),
+        ("is_directory", pa.bool_()),
+        ("size", pa.int64()),
+        ("modified_ns", pa.int64()),
+    ]
+)
+_ENTRIES_DDL = "rel_path string, is_directory boolean, size bigint, modified_ns bigint"
+
+
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    """File system and base directory of an absolute path or a URI."""
+    if root.startswith("/"):
+        return pafs.LocalFileSystem(), root.rstrip("/")
+    system, base = pafs.FileSystem.from_uri(root)
+    return system, base.rstrip("/")
+
+
+def _children(system: pafs.FileSystem, base: str, directory: str) -> Iterator[tuple]:
+    """Entries of one directory, without skipped and without linked directories."""
+    try:
+        found = system.get_file_info(pafs.FileSelector(f"{base}/{directory}".rstrip("/")))
+    except OSError:
+        return  # a directory that cannot be listed has no files to offer
+    local = isinstance(system, pafs.LocalFileSystem)
+    for info in found:
+        is_directory = info.type == pafs.FileType.Directory
+        if is_directory and (
+            info.base_name in SKIPPED_DIRECTORIES or local and os.path.islink(info.path)
+        ):
+            continue
+        if is_directory or info.type == pafs.FileType.File:
+            path = f"{directory}/{info.base_name}".lstrip("/")
+            yield path, is_directory, info.size or 0, info.mtime_ns or 0
+
+
+def _listing(root: str, recursive: bool) -> Callable:
+    """Replaces directories by their entries, or by all files below them."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out), _ENTRIES)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=_ENTRIES)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not row["is_directory"]:
+                    out.append(tuple(row.values()))
+                    continue
+                pending = [row["rel_path"]]
+                while pending:
+                    for entry in _children(system, base, pending.pop()):
+                        if recursive and entry[1]:
+                            pending.append(entry[0])
+                        else:
+                            out.append(entry)
+                        if len(out) >= 10_000:
+                            yield flush()
+        if out:
+            yield flush()
+
+    return expand
+
+
+def list_tree(spark: SparkSession, root: str, repo_name: str | None = None) -> DataFrame:
+    """All files below ``root``: repo_name, rel_path, size, modified_ns.
 
-def read_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """All files below the roots, as bytes; files that vanish or fail are passed over."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-        .load(roots)
+    With ``repo_name`` the root is that repository; else each directory directly below
+    the root is one. Two levels are listed one by one, each spread over the cluster; the
+    directories below them are walked in parallel. Skipped directories are not entered.
+    """
+    _open(root)  # a root that cannot be understood fails here
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-
-
-def stream_files(
-    spark: SparkSession, root: str, max_files_per_trigger: int = 1000
-) -> DataFrame:
-    """Files below the root as a stream; changed files come again."""
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILES)
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .load(root)
+    entries = spark.createDataFrame([("", True, 0, 0)], _ENTRIES_DDL)
+    for recursive in (False, False, True):
+        # A given number of partitions, as they are small in bytes but not in work.
+        entries = entries.mapInArrow(_listing(root, recursive), _ENTRIES_DDL)
+        if not recursive:
+            entries = entries.repartition(tasks, "rel_path")
+    path = F.col("rel_path")
+    if repo_name is None:
+        entries = entries.filter(path.contains("/"))
+        name, rest = F.substring_index(path, "/", 1), F.substring(
+            path, F.locate("/", path) + 1, F.length(path)
+        )
+    else:
+        name, rest = F.lit(repo_name), path
+    return entries.select(
+        name.alias("repo_name"),
+        rest.alias("rel_path"),
+        "size",
+        "modified_ns",
     )
 
 
-# Scheme and authority, as in file:/x, hdfs://host/x or s3a://bucket/x.
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-
-
-def _components(root: str) -> list[str]:
-    """Path components of a root directory, which must be absolute."""
-    plain = re.sub(_SCHEME, "", root)
-    if not plain.startswith("/") and plain == root:
-        raise ValueError(f"root {root!r} is not an absolute path")
-    return [part for part in plain.split("/") if part]
+def read_files(listing: DataFrame, root: str, whole_root: bool) -> DataFrame:
+    """``listing`` with ``content`` (bytes), or ``error`` where a file cannot be read.
 
-
-def _below(path: Column, root: str) -> Column:
-    """The part of a file's path after the root directory."""
-    prefix = len("/".join(["", *_components(root), ""]))
-    plain = F.regexp_replace(path, _SCHEME + "/*", "/")
-    return F.substring(plain, F.lit(prefix + 1), F.length(plain))
-
-
-def tree_files(files: DataFrame, root: str, repo_name: str | None = None) -> DataFrame:
-    """Files of a tree with ``repo_name`` and ``rel_path``, before any filter.
-
-    With ``repo_name`` the root is that repository; else each directory directly below
-    the root is one.
+    ``whole_root`` tells that the root is one repository. The listing is stored first, to
+    know how many tasks its bytes need.
     """
-    below = _below(F.col("path"), root)
-    if repo_name is None:
-        name, rel_path = F.substring_index(below, "/", 1), F.substring(
-            below, F.locate("/", below) + 1, F.length(below)
-        )
-        files = files.filter(below.contains("/"))
-    else:
-        name, rel_path = F.lit(repo_name), below
-    return files.withColumn("repo_name", name).withColumn("rel_path", rel_path)
+    listing = materialize(listing, "listing")
+    total = listing.agg(F.sum("size")).first()[0] or 0
+    slots = listing.sparkSession.sparkContext.defaultParallelism
+    tasks = max(slots, -(-total // TASK_BYTES))
+    schema = T.StructType(
+        listing.schema.fields
+        + [T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
+    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        for batch in batches:
+            done, held, contents, errors = 0, 0, [], []
+
+            def flush() -> pa.RecordBatch:
+                read_now = [pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+                return pa.RecordBatch.from_arrays(
+                    [*batch.slice(done, len(contents)).columns, *read_now],
+                    names=[*batch.schema.names, "content", "error"],
+                )
+
+            for row in batch.to_pylist():
+                inside = "" if whole_root else f"{row['repo_name']}/"
+                content, error = None, None
+                try:
+                    if row["size"] > MAX_FILE_BYTES:
+                        raise OSError(f"{row['size']} bytes are more than a row can hold")
+                    with system.open_input_stream(f"{base}/{inside}{row['rel_path']}") as stream:
+                        content = stream.read()
+                except OSError as problem:
+                    error = str(problem)
+                contents.append(content)
+                errors.append(error)
+                held += len(content or b"")
+                if held >= BATCH_BYTES:
+                    yield flush()
+                    done, held, contents, errors = done + len(contents), 0, [], []
+            if contents:
+                yield flush()
+
+    return listing.repartition(tasks, "repo_name", "rel_path").mapInArrow(read, schema)
 
 
 def scan_tree(
@@ -98,24 +195,12 @@ def scan_tree(
     """The indexable files below ``root``: repo_name, rel_path, content, language.
 
     ``manifest`` (repo_name, rel_path) restricts to tracked files; ``exclude`` names
-    repositories to leave out.
-    """
-    files = tree_files(prune_at_listing(read_files(spark, root), root), root, repo_name)
-    return source_texts(exclude_repos(tracked_only(files, manifest), exclude))
-
-
-def prune_at_listing(files: DataFrame, root: str) -> DataFrame:
-    """Drop files by name while the scan is planned, so that they are never opened.
-
-    Only a predicate on file metadata has that effect. There the path is a URL, whose
-    escapes touch neither the slashes nor the names that are looked for.
+    repositories to leave out. Files that cannot be read are left out; `read_files` tells
+    why.
     """
-    depth = len(_components(root))
-    parts = F.split(F.regexp_replace(F.col("_metadata.file_path"), _SCHEME + "/*", ""), "/")
-    relative = F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/")
-    return files.filter(
-        F.col("_metadata.file_name").rlike(_INDEXED_NAME) & ~in_skipped_directory(relative)
-    )
+    wanted = indexable(list_tree(spark, root, repo_name))
+    wanted = exclude_repos(tracked_only(wanted, manifest), exclude)
+    return source_texts(read_files(wanted, root, repo_name is not None))
 
 
 def indexable(files: DataFrame) -> DataFrame:
@@ -129,13 +214,11 @@ def indexable(files: DataFrame) -> DataFrame:
 
 
 def source_texts(files: DataFrame) -> DataFrame:
-    """Decoded, non-blank indexable files."""
-    readable = indexable(files)
-    if "length" in files.columns:
-        readable = readable.filter(F.col("length") <= MAX_FILE_BYTES)
-    if isinstance(files.schema["content"].dataType, T.BinaryType):
-        readable = readable.withColumn("content", lenient_utf8(F.col("content")))
-    return readable.filter(not_blank(F.col("content"))).select(
+    """Read files as text: decoded, without those that failed or are blank."""
+    texts = files.filter(F.col("error").isNull()).withColumn(
+        "content", lenient_utf8(F.col("content"))
+    )
+    return texts.filter(not_blank(F.col("content"))).select(
         "repo_name", "rel_path", "content", "language"
     )
 

@@ -1,40 +1,86 @@
-"""Incremental index refresh: new and changed files update the index as they appear."""
+"""Incremental index refresh: new and changed files update the index.
+
+A listing of the tree is compared with the files seen before, and what is new or changed
+is appended to a table of changes. A stream over that table reads the files, cuts and
+embeds them and merges them into the index.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lodeseek.plans.indexing import rows_for_index
 from lodeseek.registry import DEFAULT_MODEL, ModelSpec
 from lodeseek.sources.index_store import IndexStore
-from lodeseek.sources.repositories import source_texts, stream_files, tree_files
+from lodeseek.sources.repositories import (
+    exclude_repos,
+    indexable,
+    list_tree,
+    read_files,
+    source_texts,
+    tracked_only,
+)
+
+CHANGES = "repo_name string, rel_path string, size bigint, modified_ns bigint, language string"
+
+
+def note_changes(listing: DataFrame, changes: str, files_per_batch: int) -> None:
+    """Append files that are new, or differ in size or time, to the table of changes."""
+    spark = listing.sparkSession
+    try:
+        seen = spark.read.schema(CHANGES).parquet(changes)
+        listing = listing.join(
+            seen, ["repo_name", "rel_path", "size", "modified_ns"], "left_anti"
+        )
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    columns = [field.split()[0] for field in CHANGES.split(", ")]
+    (
+        listing.select(*columns)
+        .write.mode("append")
+        .option("maxRecordsPerFile", files_per_batch)
+        .parquet(changes)
+    )
 
 
 def refresh_index(
     spark: SparkSession,
     root: str,
     store: IndexStore,
-    checkpoint: str,
+    state: str,
     repo_name: str | None = None,
     model: str | ModelSpec = DEFAULT_MODEL,
-    max_files_per_trigger: int = 1000,
+    manifest: DataFrame | None = None,
+    exclude: Iterable[str] = (),
+    files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Index what is new below ``root`` since the last run, then stop.
+    """Index what is new or changed below ``root`` since the last run, then stop.
 
+    ``state`` is a directory for the table of changes and the progress of the stream.
     Every micro-batch is an upsert by natural key, so a batch that is replayed after a
     failure changes nothing. As with an upsert, chunks that are gone from a file stay
     until their repository is replaced.
     """
+    listing = indexable(list_tree(spark, root, repo_name))
+    listing = exclude_repos(tracked_only(listing, manifest), exclude)
+    changes = f"{state.rstrip('/')}/changes"
+    note_changes(listing, changes, files_per_batch)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(rows_for_index(batch, model))
+        files = source_texts(read_files(batch, root, repo_name is not None))
+        store.upsert(rows_for_index(files, model))
 
-    files = tree_files(stream_files(spark, root, max_files_per_trigger), root, repo_name)
     return (
-        source_texts(files)
+        spark.readStream.schema(CHANGES)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(changes)
         .writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", f"{state.rstrip('/')}/progress")
         .trigger(availableNow=True)
         .start()
     )

@@ -182,15 +182,18 @@ def test_incremental_refresh_equals_one_run(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
 
     def refresh():
-        query = refresh_index(spark, root, store, str(tmp_path / "progress"), model=SMALL, max_files_per_trigger=2)
+        query = refresh_index(spark, root, store, str(tmp_path / "state"), model=SMALL, files_per_batch=2)
         query.awaitTermination()
         assert query.exception() is None
 
     refresh()
     assert store.read().count() == 5
-    tree(tmp_path / "src", {"gamma/new.rb": "puts 1", "alpha/c.py": "def late(): pass"})
+    tree(tmp_path / "src", {"gamma/new.rb": "puts 1", "alpha/__init__.py": "def late(): pass",
+                            "beta/x.sql": "select count(*) from customers"})
     refresh()
+    before = store.read().agg(F.max("indexed_at")).first()[0]
     refresh()
+    assert store.read().agg(F.max("indexed_at")).first()[0] == before
     whole = IndexStore(spark, str(tmp_path / "whole"))
     index_tree(spark, root, whole, model=SMALL)
     columns = [c for c in INDEX_COLUMNS if c != "indexed_at"]

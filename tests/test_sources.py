@@ -4,7 +4,12 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text
-from lodeseek.sources.repositories import prune_at_listing, read_files, scan_tree
+from lodeseek.sources.repositories import (
+    indexable,
+    list_tree,
+    read_files,
+    scan_tree,
+)
 from lodeseek.sources.responses import parse_responses, response_errors
 
 
@@ -28,6 +33,8 @@ FILES = {
     "beta/x.tar.sh": "echo\r\nhi\rthere",
     "beta/builder/k.rs": "fn main() {}",
     "gone/z.c": "int z;",
+    "beta/pkg/__init__.py": "import os",
+    "beta/.github/deep/er/.hook.sh": "exit 0",
     "toplevel.py": "x",
 }
 
@@ -42,8 +49,10 @@ def test_scan_of_several_repositories(spark, tmp_path):
         ("alpha", "sp ace/ü#%41.ts", "typescript"),
         ("beta", "x.tar.sh", "bash"),
         ("beta", "builder/k.rs", "rust"),
+        ("beta", "pkg/__init__.py", "python"),
+        ("beta", ".github/deep/er/.hook.sh", "bash"),
     }
-    assert {r.content for r in rows if r.language == "bash"} == {"echo\nhi\nthere"}
+    assert {r.content for r in rows if r.rel_path == "x.tar.sh"} == {"echo\nhi\nthere"}
 
 
 def test_scan_of_one_repository_and_manifest(spark, tmp_path):
@@ -54,22 +63,34 @@ def test_scan_of_one_repository_and_manifest(spark, tmp_path):
     assert [(r.repo_name, r.rel_path) for r in rows] == [("one", "alpha/src/a.py")]
 
 
-def test_skipped_files_are_not_opened(spark, tmp_path):
+def test_listing_enters_no_skipped_or_linked_directory(spark, tmp_path):
     root = tree(tmp_path, FILES)
-    pruned = prune_at_listing(read_files(spark, root), root)
-    rows = pruned.select("path")
-    names = {Path(r.path).name for r in rows.collect()}
-    plan = rows._jdf.queryExecution().executedPlan()
-    assert names == {"a.py", "B.PY", "blank.md", "ü#%41.ts", "x.tar.sh", "k.rs", "z.c", "toplevel.py"}
-    metrics = plan.collectLeaves().apply(0).metrics()
-    assert metrics.apply("numFiles").value() == len(names)
+    (tmp_path / "alpha/loop").symlink_to(tmp_path / "alpha")
+    listed = {f"{r.repo_name}/{r.rel_path}": r.size for r in list_tree(spark, root).collect()}
+    visible = [p for p in FILES if "node_modules" not in p and "/build/" not in p and "/" in p]
+    assert listed == {p: len(FILES[p].encode()) for p in visible}
+    below_file_url = {f"{r.repo_name}/{r.rel_path}" for r in list_tree(spark, f"file://{root}").collect()}
+    assert below_file_url == set(visible)
 
 
-def test_vanished_file_is_passed_over(spark, tmp_path):
+def test_unreadable_files_have_an_error(spark, tmp_path):
     root = tree(tmp_path, FILES)
-    files = scan_tree(spark, root)
+    listing = indexable(list_tree(spark, root)).withColumn(
+        "size", F.when(F.col("rel_path") == "z.c", F.lit(2**31)).otherwise(F.col("size"))
+    )
+    files = read_files(listing, root, False)
     (tmp_path / "alpha/src/a.py").unlink()
-    assert ("alpha", "src/a.py") not in {(r.repo_name, r.rel_path) for r in files.collect()}
+    rows = {r.rel_path: r for r in files.collect()}
+    assert "more than a row can hold" in rows["z.c"].error
+    assert rows["src/a.py"].content is None and rows["src/a.py"].error
+    assert rows["src/B.PY"].error is None and bytes(rows["src/B.PY"].content) == b"x = 1\n"
+
+
+def test_reading_in_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodeseek.sources.repositories.BATCH_BYTES", 10)
+    root = tree(tmp_path, {f"r/f{i}.c": f"int x{i};" for i in range(50)})
+    rows = scan_tree(spark, root).collect()
+    assert {r.rel_path: r.content for r in rows} == {f"f{i}.c": f"int x{i};" for i in range(50)}
 
 
 def test_lenient_decoding(spark):
