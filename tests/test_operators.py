@@ -12,7 +12,7 @@ from lodeseek import MODELS, ModelSpec, model_spec, register_model
 from lodeseek.functions import formatting, vectors
 from lodeseek.functions.hashing import hash_embed
 from lodeseek.functions.text import tokens
-from lodeseek.operators import cells, inference, pooling, topk
+from lodeseek.operators import cells, inference, pooling, positions, topk
 from lodeseek.operators.positions import batch_groups, exact_percentiles, number_rows
 from lodeseek.operators.stats import batch_throughput, latency_stats, throughput_stats
 
@@ -50,7 +50,9 @@ def test_numbering_of_a_whole_table(spark):
     assert number_rows(frame.limit(0), ["v", "id"]).count() == 0
 
 
-def test_percentiles_golden_and_against_the_built_in(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_percentiles_golden_and_against_the_built_in(spark, monkeypatch, few):
+    monkeypatch.setattr(positions, "FEW_VALUES", few)
     golden = spark.createDataFrame([("a", x) for x in (9.0, 1.0, 4.0, 2.0)] + [("b", 5.0)], "g string, v double")
     wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     got = {r.g: (round(r.p50, 9), round(r.p95, 9), round(r.p99, 9)) for r in exact_percentiles(golden, "v", wanted, ["g"]).collect()}
