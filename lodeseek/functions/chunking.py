@@ -1,173 +1,116 @@
 """Source text to chunks: functions and classes of Python files, else whole files.
 
-The scan of a Python file is one `aggregate` over its lines that runs in the JVM. Its
-state is the open definition and the line ranges found so far; contents are cut out
-afterwards.
+The definitions of a Python file depend on each other in sequence: where one ends decides
+what may start next. A fold over the lines in Spark SQL copies its whole result at every
+line, so its cost grows with the square of a file. Here Arrow batches of files go through
+two searches per definition, for its start and for its end, over the text as a whole; the
+cost is linear and a line costs no Python step.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeseek.functions.text import NOT_SPACE, SPACE, WORD, file_name, not_blank
+from lodeseek.functions.text import file_name, not_blank
 from lodeseek.schemas import CHUNK_ARRAY
 
-NONE, FUNCTION, CLASS = 0, 1, 2
-
-_FUNCTION_LINE = rf"(?U)^({SPACE}*)def{SPACE}+({WORD}+){SPACE}*\("
-_CLASS_LINE = rf"(?U)^({SPACE}*)class{SPACE}+({WORD}+)"
-_DEFINITION_HINT = rf"(?U)^{SPACE}*(?:def|class){SPACE}"
-_COMMENT_LINE = rf"(?U)^{SPACE}*#"
-
-_LINE = (
-    "struct<number:int,kind:int,indent:int,name:string,spaces:int,tabs:int,comment:boolean>"
-)
-_RANGES = "array<struct<kind:int,name:string,first:int,last:int>>"
-_STATE = f"struct<open:{_LINE},recent:{_RANGES},earlier:array<{_RANGES}>>"
-
-# Found ranges are appended to a short array, and full short arrays to a long one:
-# appending copies, so one array would cost the square of the number of chunks.
-_RECENT = 256
-
-
-def _lines(content: Column) -> Column:
-    return F.split(content, "\n", -1)
-
-
-def _describe(line: Column, position: Column) -> Column:
-    """What the scan needs to know of one line; NULL for a blank line."""
-    hinted = line.rlike(_DEFINITION_HINT)
-    kind = (
-        F.when(~hinted, F.lit(NONE))
-        .when(line.rlike(_FUNCTION_LINE), F.lit(FUNCTION))
-        .when(line.rlike(_CLASS_LINE), F.lit(CLASS))
-        .otherwise(F.lit(NONE))
+_CHUNKS = pa.list_(
+    pa.struct(
+        [
+            ("chunk_type", pa.string()),
+            ("name", pa.string()),
+            ("content", pa.string()),
+            ("start_line", pa.int32()),
+            ("end_line", pa.int32()),
+        ]
     )
-    pattern = rf"(?U)^({SPACE}*)(?:def|class){SPACE}+({WORD}+)"
-    described = F.struct(
-        (position + 1).alias("number"),
-        kind.alias("kind"),
-        F.when(hinted, F.length(F.regexp_extract(line, pattern, 1)))
-        .otherwise(F.lit(0))
-        .alias("indent"),
-        F.when(hinted, F.regexp_extract(line, pattern, 2)).alias("name"),
-        (F.length(line) - F.length(F.ltrim(line))).alias("spaces"),
-        (F.length(line) - F.length(F.ltrim(line, F.lit("\t")))).alias("tabs"),
-        line.rlike(_COMMENT_LINE).alias("comment"),
-    )
-    return F.when(line.rlike("(?U)" + NOT_SPACE), described.cast(_LINE))
-
-
-def _ends(open_: Column, line: Column) -> Column:
-    """Whether a later non-blank line ends the open definition."""
-    outside_function = (
-        (line["spaces"] <= open_["indent"])
-        & (line["tabs"] <= F.shiftright(open_["indent"], 2))
-        & ~line["comment"]
-    )
-    outside_class = (line["spaces"] == 0) & (line["tabs"] == 0)
-    return F.when(open_["kind"] == FUNCTION, outside_function).otherwise(outside_class)
-
+)
 
-def _range(open_: Column, last: Column) -> Column:
-    return F.struct(
-        open_["kind"].alias("kind"),
-        open_["name"].alias("name"),
-        open_["number"].alias("first"),
-        last.alias("last"),
-    )
+# White space within a line.
+_GAP = r"[^\S\n]"
+_START = re.compile(
+    rf"^(?P<indent>{_GAP}*)"
+    rf"(?:def{_GAP}+(?P<function>\w+){_GAP}*\(|class{_GAP}+(?P<class>\w+))",
+    re.MULTILINE,
+)
+# The first line that ends a class: filled, and starting with neither blank nor tab.
+_CLASS_END = re.compile(rf"^(?![ \t]|{_GAP}*$)", re.MULTILINE)
+
+
+@lru_cache(maxsize=1000)
+def _function_end(indent: int) -> re.Pattern:
+    """The first line that ends a function: filled, not deeper indented, no comment."""
+    deeper = rf" {{{indent + 1}}}|\t{{{indent // 4 + 1}}}"
+    return re.compile(rf"^(?!{deeper}|{_GAP}*(?:#|$))", re.MULTILINE)
+
+
+def _definitions(text: str) -> Iterator[tuple]:
+    """Top-most definitions of a file, in order: a chunk each."""
+    at, line = 0, 1  # a line start, and its number
+    while opened := _START.search(text, at):
+        start = opened.start()
+        line += text.count("\n", at, start)
+        kind = "function" if opened["function"] else "class"
+        end = _function_end(len(opened["indent"])) if opened["function"] else _CLASS_END
+        following = text.find("\n", opened.end()) + 1
+        closed = end.search(text, following) if following else None
+        # Without the line feed before the line that ends it.
+        chunk = text[start : closed.start() - 1] if closed else text[start:]
+        last = line + chunk.count("\n")
+        yield kind, opened[kind], chunk, line, last
+        if not closed:
+            return
+        at, line = closed.start(), last + 1
 
 
-def _step(state: Column, line: Column) -> Column:
-    open_, recent, earlier = state["open"], state["recent"], state["earlier"]
-    ended = (open_["kind"] != NONE) & _ends(open_, line)
-    full = ended & (F.size(recent) >= _RECENT)
-    found = F.array(_range(open_, line["number"] - 1))
-    return F.struct(
-        F.when((open_["kind"] == NONE) | ended, line).otherwise(open_).alias("open"),
-        F.when(full, found)
-        .when(ended, F.concat(recent, found))
-        .otherwise(recent)
-        .cast(_RANGES)
-        .alias("recent"),
-        F.when(full, F.concat(earlier, F.array(recent))).otherwise(earlier).alias("earlier"),
-    ).cast(_STATE)
-
-
-def python_ranges(content: Column) -> Column:
-    """Line ranges of the top-most definitions, in order and without overlap."""
-    lines = _lines(content)
-    described = F.filter(F.transform(lines, _describe), lambda line: line.isNotNull())
-    nothing_open = F.struct(
-        F.lit(0).alias("number"),
-        F.lit(NONE).alias("kind"),
-        F.lit(0).alias("indent"),
-        F.lit(None).cast("string").alias("name"),
-        F.lit(0).alias("spaces"),
-        F.lit(0).alias("tabs"),
-        F.lit(False).alias("comment"),
-    )
-    start = F.struct(
-        nothing_open.alias("open"),
-        F.array().cast(_RANGES).alias("recent"),
-        F.array().cast(f"array<{_RANGES}>").alias("earlier"),
-    ).cast(_STATE)
+def python_definitions(content: Column) -> Column:
+    """Function and class chunks of a Python file; NULL for NULL."""
 
-    def finish(state: Column) -> Column:
-        found = F.concat(F.flatten(state["earlier"]), state["recent"])
-        last = F.array(_range(state["open"], F.size(lines))).cast(_RANGES)
-        return F.when(state["open"]["kind"] != NONE, F.concat(found, last)).otherwise(found)
+    @F.arrow_udf(CHUNK_ARRAY)
+    def find(texts: pa.Array) -> pa.Array:
+        fields = _CHUNKS.value_type
+        names = [f.name for f in fields]
+        found = [
+            None if text is None else [dict(zip(names, chunk)) for chunk in _definitions(text)]
+            for text in texts.to_pylist()
+        ]
+        return pa.array(found, _CHUNKS)
 
-    return F.aggregate(described, start, _step, finish)
+    return find(content)
 
 
 def file_chunk(content: Column, file_path: Column) -> Column:
     """One chunk for the whole file; lines are counted with a trailing empty one."""
+    feeds = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit("")))
     return F.array(
         F.struct(
             F.lit("file").alias("chunk_type"),
             file_name(file_path).alias("name"),
             content.alias("content"),
             F.lit(1).alias("start_line"),
-            F.size(_lines(content)).alias("end_line"),
+            (feeds + 1).alias("end_line"),
         )
     ).cast(CHUNK_ARRAY)
 
 
-def python_definitions(content: Column) -> Column:
-    """Function and class chunks of a Python file."""
-    lines = _lines(content)
-    return F.transform(
-        python_ranges(content),
-        lambda r: F.struct(
-            F.when(r["kind"] == FUNCTION, "function").otherwise("class").alias("chunk_type"),
-            r["name"].alias("name"),
-            F.array_join(
-                F.slice(lines, r["first"], r["last"] - r["first"] + 1), "\n"
-            ).alias("content"),
-            r["first"].alias("start_line"),
-            r["last"].alias("end_line"),
-        ),
-    ).cast(CHUNK_ARRAY)
-
-
-def python_chunks(content: Column, file_path: Column) -> Column:
-    """Definitions of a Python file; a file without any is one file chunk."""
-    # A file without either keyword needs no scan.
-    definitions = F.when(
-        content.contains("def") | content.contains("class"), python_definitions(content)
-    ).otherwise(F.array().cast(CHUNK_ARRAY))
-    return F.transform(
-        F.array(definitions),
-        lambda found: F.when(F.size(found) > 0, found)
-        .when(not_blank(content), file_chunk(content, file_path))
-        .otherwise(F.array().cast(CHUNK_ARRAY)),
-    )[0]
-
-
 def chunks_of(content: Column, file_path: Column, language: Column) -> Column:
-    """Chunks of a file by its language."""
-    return F.when(language == "python", python_chunks(content, file_path)).otherwise(
-        file_chunk(content, file_path)
+    """Chunks of a file: definitions in Python, else the file.
+
+    A Python file without definitions is one file chunk, unless it is blank.
+    """
+    # Other files are not sent to Python, nor are Python files without either keyword.
+    searched = F.when(
+        (language == "python") & (content.contains("def") | content.contains("class")), content
+    )
+    definitions = python_definitions(searched)
+    return (
+        F.when(F.size(definitions) > 0, definitions)
+        .when((language != "python") | not_blank(content), file_chunk(content, file_path))
+        .otherwise(F.array().cast(CHUNK_ARRAY))
     )

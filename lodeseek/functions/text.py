@@ -45,11 +45,8 @@ SKIPPED_DIRECTORIES = [
 EMBEDDED_CHARS = 500
 STORED_CHARS = 10_000
 
-# Whitespace and word characters as Unicode defines them. Java's (?U)\s lacks the four
-# separators U+001C..U+001F, and its (?U)\w also takes marks and joiners.
-SPACE = r"[\s\x1c-\x1f]"
+# Any character but white space. Java's (?U)\s lacks the separators U+001C to U+001F.
 NOT_SPACE = r"[^\s\x1c-\x1f]"
-WORD = r"[\p{L}\p{N}_]"
 
 
 def file_name(path: Column) -> Column:

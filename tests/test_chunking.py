@@ -119,17 +119,19 @@ def test_random_sources_match_the_rules(spark, sources):
 
 
 def test_many_definitions_in_one_file(spark):
-    source = "\n".join(f"def f{i}():\n    return {i}" for i in range(1500))
+    source = "\n".join(f"def f{i}():\n    return {i}" for i in range(20000))
     chunks = chunk_all(spark, [source])[0]
-    assert len(chunks) == 1500
-    assert [c.name for c in chunks] == [f"f{i}" for i in range(1500)]
+    assert len(chunks) == 20000
+    assert [c.name for c in chunks] == [f"f{i}" for i in range(20000)]
     assert all(c.end_line == c.start_line + 1 for c in chunks)
 
 
-def test_scan_stays_in_the_jvm(spark):
-    frame = spark.createDataFrame([("x",)], "content string")
-    plan = plan_of(frame.select(chunking.python_chunks(F.col("content"), F.lit("a.py"))))
-    assert "EvalPython" not in plan
+def test_plan_sends_batches_of_python_files_only(spark):
+    frame = spark.createDataFrame([("x", "go")], "content string, language string")
+    chunks = chunking.chunks_of(F.col("content"), F.lit("a.py"), F.col("language"))
+    plan = plan_of(frame.select(F.explode(chunks)))
+    assert "BatchEvalPython" not in plan and plan.count("ArrowEvalPython") == 1
+    assert re.search(r"ArrowEvalPython \[find\(CASE WHEN", plan)
 
 
 @pytest.mark.parametrize("kind", ["def", "class"])
