@@ -228,40 +228,47 @@ def _block_top_k(
                     scores[stored != value, q] = np.nan
         return scores
 
-    def best_of(batch: pa.RecordBatch) -> pa.Table:
+    def best_of(batch: pa.RecordBatch, least: np.ndarray) -> pa.Table | None:
+        """Pairs that may be among the k best, given the k-th score known per query."""
         vectors, stored = to_matrix(batch.column(vector), matrix.shape[1])
         defined = stored & (vectors != 0).any(axis=1)
         scores = np.round(all_scores(batch, unit_rows(vectors)), SCORE_DECIMALS) + 0.0
         # Undefined similarities rank after all others.
-        undefined = ~(defined[:, None] & defined_queries[None, :])
-        scores[undefined & ~np.isnan(scores)] = -np.inf
+        wanted_pairs = ~np.isnan(scores)
+        scores[~(defined[:, None] & defined_queries[None, :]) & wanted_pairs] = -np.inf
+        bound = least
         if batch.num_rows > k:
-            # Ties with the k-th score stay in; the key decides between them below.
-            ranked = np.where(np.isnan(scores), -np.inf, scores)
-            bound = -np.partition(-ranked, k - 1, axis=0)[k - 1]
-            rows, which = np.nonzero((scores >= bound) & ~np.isnan(scores))
-        else:
-            rows, which = np.nonzero(~np.isnan(scores))
-        return _pairs_table(batch, key, rows, which, scores[rows, which])
+            ranked = np.where(wanted_pairs, scores, -np.inf)
+            bound = np.maximum(least, -np.partition(-ranked, k - 1, axis=0)[k - 1])
+        # Ties with the k-th score stay in; the key decides between them.
+        rows, which = np.nonzero(wanted_pairs & (scores >= bound))
+        return _pairs_table(batch, key, rows, which, scores[rows, which]) if len(rows) else None
 
-    def keep_best(pairs: pa.Table) -> pa.Table:
+    def keep_best(pairs: pa.Table) -> tuple[pa.Table, np.ndarray]:
         ordered = pairs.sort_by(
             [("__query", "ascending"), ("similarity", "descending")]
             + [(c, "ascending") for c in key]
         )
         which = ordered.column("__query").to_numpy()
         place = np.arange(len(which)) - np.searchsorted(which, which, side="left")
-        return ordered.filter(pa.array(place < k))
+        least = np.full(len(matrix), -np.inf)
+        last = place == k - 1
+        least[which[last]] = ordered.column("similarity").to_numpy()[last]
+        return ordered.filter(pa.array(place < k)), least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: pa.Table | None = None
+        least = np.full(len(matrix), -np.inf)
         if len(ids) == 0:
             return
-        step = max(1, SCORES_AT_ONCE // max(len(ids), 1))
+        step = max(1, SCORES_AT_ONCE // len(ids))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
-                found = best_of(batch.slice(start, step))
-                best = keep_best(found if best is None else pa.concat_tables([best, found]))
+                found = best_of(batch.slice(start, step), least)
+                if found is not None:
+                    best, least = keep_best(
+                        found if best is None else pa.concat_tables([best, found])
+                    )
         if best is None:
             return
         scores = best.column("similarity").to_numpy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,16 @@ from lodeseek.functions.text import embedding_text, stored_content
 from lodeseek.operators.inference import embed
 from lodeseek.registry import DEFAULT_MODEL, ModelSpec, model_spec
 from lodeseek.schemas import CHUNK_COLUMNS
+from lodeseek.session import materialize
 from lodeseek.sources.index_store import IndexStore, index_rows
-from lodeseek.sources.repositories import scan_tree
+from lodeseek.sources.repositories import (
+    exclude_repos,
+    indexable,
+    list_tree,
+    read_files,
+    source_texts,
+    tracked_only,
+)
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
@@ -64,23 +72,28 @@ def index_tree(
     replace: bool = False,
     manifest: DataFrame | None = None,
     exclude: Iterable[str] = (),
-    repos: Sequence[str] = (),
 ) -> dict[str, int]:
     """Index one repository, or with no ``repo_name`` every one directly below ``root``.
 
-    ``replace`` makes the result the whole content of the repositories; without it known
-    chunks are updated and new ones added, and chunks that are gone stay. ``repos`` names
-    repositories to empty if nothing is found in them. Returns the numbers of files read
+    ``replace`` makes the result the whole content of the repositories that were listed,
+    also of those in which nothing is left to index; without it known chunks are updated
+    and new ones added, and chunks that are gone stay. Returns the numbers of files read
     and of chunks written, counted while they pass.
     """
     spec = model_spec(model)
+    listing = exclude_repos(list_tree(spark, root, repo_name), exclude)
+    listing = materialize(listing, "tree")
+    wanted = indexable(tracked_only(listing, manifest))
+    texts = source_texts(read_files(wanted, root, repo_name is not None))
     read, made = Observation("files"), Observation("chunks")
     total = F.count(F.lit(1))
-    files = scan_tree(spark, root, repo_name, manifest, exclude)
-    rows = rows_for_index(files.observe(read, total.alias("files")), spec)
+    rows = rows_for_index(texts.observe(read, total.alias("files")), spec)
     rows = rows.observe(made, total.alias("chunks"))
     if replace:
-        store.replace(rows, repos or ([repo_name] if repo_name else ()), spec.name)
+        repos = listing.select("repo_name").distinct()
+        if repo_name:
+            repos = spark.createDataFrame([(repo_name,)], "repo_name string")
+        store.replace(rows, repos, spec.name)
     else:
         store.upsert(rows)
     return {**read.get, **made.get}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from lodeseek.operators.topk import (
     search_stored,
 )
 from lodeseek.registry import DEFAULT_MODEL, ModelSpec, model_spec
-from lodeseek.schemas import NATURAL_KEY
+from lodeseek.schemas import CHUNK_COLUMNS, NATURAL_KEY
+from lodeseek.session import materialize
 from lodeseek.sources.index_store import IndexStore
 
 
@@ -54,17 +57,24 @@ def search_many(
     queries: DataFrame,
     limit: int = 10,
     model: str | ModelSpec = DEFAULT_MODEL,
-    key: Sequence[str] = NATURAL_KEY,
+    contents: bool = True,
 ) -> DataFrame:
     """`search` for every row (query_id, text, optional filter columns) at once.
 
-    Returns key, similarity and rank per query; join them to the index for contents.
+    Returns the hits of each query with their ``rank``; without ``contents`` only the key
+    and the similarity of each, which saves a second look at the index.
     """
     spec = model_spec(model)
+    index = store.read(spec.name)
     vectors = queries.withColumn("embedding", embed(F.col("text"), spec, "query"))
     filters = [c for c in FILTER_COLUMNS if c in queries.columns]
-    return multi_query_top_k(
-        store.read(spec.name), vectors, limit, key, filter_columns=filters
+    hits = multi_query_top_k(index, vectors, limit, NATURAL_KEY, filter_columns=filters)
+    if not contents:
+        return hits
+    hits = materialize(hits, "hits")
+    same = reduce(and_, [F.col(f"h.{c}").eqNullSafe(F.col(f"i.{c}")) for c in NATURAL_KEY])
+    return hits.alias("h").join(index.alias("i"), same).select(
+        "h.query_id", "h.rank", *[f"i.{c}" for c in CHUNK_COLUMNS], "h.similarity"
     )
 
 

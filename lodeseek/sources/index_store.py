@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -52,24 +51,24 @@ class IndexStore:
         return stored.select(*INDEX_COLUMNS)
 
     def replace(
-        self, rows: DataFrame, repos: Sequence[str] = (), model: str | None = None
+        self, rows: DataFrame, repos: DataFrame | None = None, model: str | None = None
     ) -> None:
         """Make ``rows`` the whole content of the repositories they belong to.
 
-        ``repos`` names the repositories that were indexed with ``model``; one of them
-        without a row is emptied.
+        ``repos`` (repo_name) are the repositories that were indexed, with ``model``; one
+        of them without a row is emptied.
         """
         rows = materialize(self._placed(rows), "replacement")
         self._overwrite(rows)
-        written = rows.select(*INDEX_PARTITIONS).distinct()
         places = self._places()
         if places is None:
             return
-        # Buckets that the repositories had before and have no rows for now.
+        # What the repositories had before in buckets they have no rows for now.
+        written = rows.select(*INDEX_PARTITIONS).distinct()
         left = self._restrict(places, rows.select("model", "repo_name").distinct())
         self._empty(left.join(written, INDEX_PARTITIONS, "left_anti"))
-        if repos:
-            named = places.filter(F.col("repo_name").isin(list(repos)))
+        if repos is not None:
+            named = self._restrict(places, repos.select("repo_name").distinct())
             if model:
                 named = named.filter(F.col("model") == model)
             self._empty(named.join(written, INDEX_PARTITIONS, "left_anti"))

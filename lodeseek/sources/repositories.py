@@ -198,8 +198,8 @@ def scan_tree(
     repositories to leave out. Files that cannot be read are left out; `read_files` tells
     why.
     """
-    wanted = indexable(list_tree(spark, root, repo_name))
-    wanted = exclude_repos(tracked_only(wanted, manifest), exclude)
+    listing = exclude_repos(list_tree(spark, root, repo_name), exclude)
+    wanted = indexable(tracked_only(listing, manifest))
     return source_texts(read_files(wanted, root, repo_name is not None))
 
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek import ModelSpec
+from conftest import plan_of
 from lodeseek.operators.merging import checked, merge_index, reconcile
+from lodeseek.operators.topk import with_filters
 from lodeseek.operators.stats import index_summary, index_total
 from lodeseek.plans.indexing import index_tree
 from lodeseek.plans.searching import formatted, search, search_many
@@ -77,7 +79,7 @@ def test_store_replace_touches_only_its_repositories(spark, tmp_path):
     ]
     # A repository that was indexed and has nothing left is emptied.
     nothing = spark.createDataFrame([], INDEX)
-    store.replace(nothing, ["we ird:%/name"], "m")
+    store.replace(nothing, spark.createDataFrame([("we ird:%/name",)], "repo_name string"), "m")
     assert sorted(r.repo_name for r in store.read().collect()) == ["123", "one"]
     store.clear("one", "another model")
     assert store.read().count() == 2
@@ -153,6 +155,13 @@ def test_index_and_search_a_tree(spark, tmp_path):
         "query_id bigint, text string, repo_name string",
     )
     many = search_many(store, queries, 2, SMALL)
+    assert {(r.query_id, r.similarity) for r in many.collect()} == {
+        (r.query_id, r.similarity) for r in search_many(store, queries, 2, SMALL, contents=False).collect()
+    }
+    one = search(store, "read config path", 2, model=SMALL).collect()
+    assert [tuple(h) for h in one] == [
+        tuple(r)[2:] for r in many.filter("query_id = 1").orderBy("rank").collect()
+    ]
     best = {(r.query_id, r["rank"]): (r.repo_name, r.name) for r in many.collect()}
     assert best[(1, 1)] == ("alpha", "read_config")
     assert {v[0] for k, v in best.items() if k[0] == 2} == {"beta"}
@@ -172,8 +181,9 @@ def test_reindexing_keeps_gone_chunks_until_replaced(spark, tmp_path):
     index_tree(spark, f"{root}/alpha", store, "alpha", SMALL, replace=True)
     names = {r.name for r in store.read("small").collect()}
     assert names == {"other", "readme.md", "x.sql"}
-    (tmp_path / "src/alpha/a.py").unlink()
-    index_tree(spark, f"{root}/alpha", store, "alpha", SMALL, replace=True)
+    # Nothing of the repository is left to index, though a file is still there.
+    (tmp_path / "src/alpha/a.py").rename(tmp_path / "src/alpha/a.txt")
+    index_tree(spark, root, store, model=SMALL, replace=True)
     assert {r.repo_name for r in store.read().collect()} == {"beta"}
 
 
@@ -201,6 +211,17 @@ def test_incremental_refresh_equals_one_run(spark, tmp_path):
     assert got == expected and len(got) == 7
 
 
+def test_filters_prune_partitions_and_contents(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.replace(spark.createDataFrame([row("one", "a"), row("two", "b")], INDEX))
+    found = with_filters(store.read("m"), repo_name="one", language="go", chunk_type="")
+    plan = plan_of(found.select("file_path", "embedding"))
+    partitions = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "model" in partitions and "repo_name" in partitions
+    assert "EqualTo(language,go)" in plan and "content" not in plan[plan.index("ReadSchema"):]
+    assert found.count() == 1
+
+
 def test_buckets_limit_what_an_update_rewrites(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"), buckets=8)
     paths = [f"p{i}" for i in range(40)]
