@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -43,9 +42,11 @@ _START = re.compile(
 _CLASS_END = re.compile(rf"^(?![ \t]|{_GAP}*$)", re.MULTILINE)
 
 
-@lru_cache(maxsize=1000)
 def _function_end(indent: int) -> re.Pattern:
-    """The first line that ends a function: filled, not deeper indented, no comment."""
+    """The first line that ends a function: filled, not deeper indented, no comment.
+
+    The `re` module keeps compiled patterns, so asking again costs a lookup.
+    """
     deeper = rf" {{{indent + 1}}}|\t{{{indent // 4 + 1}}}"
     return re.compile(rf"^(?!{deeper}|{_GAP}*(?:#|$))", re.MULTILINE)
 

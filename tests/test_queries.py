@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry_point
@@ -33,3 +38,26 @@ def test_entry(spark):
 def test_no_query_pairs_everything(spark, name):
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import __spark_entry__
+from lodeseek import build_session
+spark = build_session("local[2]", **{"spark.ui.enabled": "false"})
+queries = __spark_entry__.queries()
+for name in ("search_chunks", "ann_topk", "model_plugin", "dense_score", "tokenize", "pool_tokens", "cosine_pairs"):
+    assert queries[name](spark, "/root/testdata/sf0.001").count() > 0, name
+"""
+
+
+def test_workers_need_no_installation(tmp_path):
+    # Started elsewhere, Python workers cannot import the package.
+    root = Path(entry_point.__file__).resolve().parent
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run(
+        [sys.executable, "-c", SCRIPT, str(root)], cwd=tmp_path, env=env, capture_output=True, text=True,
+        timeout=300,
+    )
+    assert run.returncode == 0, run.stderr[-2000:]
