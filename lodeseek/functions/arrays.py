@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+# Matrix cells worked on at a time where a batch of vectors is taken in parts.
+CELLS_AT_ONCE = 1 << 19
+
 
 def to_matrix(vectors: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column as a float64 matrix, and a mask of the non-NULL rows.

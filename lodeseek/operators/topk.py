@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseek.functions.arrays import to_matrix, unit_rows
+from lodeseek.functions.arrays import CELLS_AT_ONCE, to_matrix, unit_rows
 from lodeseek.functions.vectors import SCORE_DECIMALS, cosine_to, dot_to
 from lodeseek.operators.positions import number_rows
 from lodeseek.schemas import HIT_COLUMNS, NATURAL_KEY
@@ -261,7 +261,7 @@ def _block_top_k(
         least = np.full(len(matrix), -np.inf)
         if len(ids) == 0:
             return
-        step = max(1, SCORES_AT_ONCE // len(ids))
+        step = max(1, min(SCORES_AT_ONCE // len(ids), CELLS_AT_ONCE // max(matrix.shape[1], 1)))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 found = best_of(batch.slice(start, step), least)
