@@ -16,12 +16,13 @@ from lodeseek.llm.html_blocks import Block, blocks_of
 from lodeseek.llm.text import bytes_of, hash_runs, lowered, word_runs
 from lodeseek.session import load_table
 
-PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 512, 64, 5
+PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 320, 32, 5
 INPUTS = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
-HIDDEN = 16
+HIDDEN = 12
 # Pages that are learnt from, at most, and the longest of them.
-MOST_PAGES, LONGEST_PAGE = 240, 200_000
-EPOCHS, BATCH, RATE = 14, 24, 0.01
+MOST_PAGES, LONGEST_PAGE = 160, 200_000
+# Arranged pages per real one, and how long the labeller is fitted.
+ARRANGED, EPOCHS, BATCH, RATE = 6, 8, 24, 0.02
 # Pages that are labelled together, and blocks of them.
 PAGES_AT_ONCE, BLOCKS_AT_ONCE = 64, 20_000
 
@@ -32,6 +33,10 @@ MAIN_PLACES = (
     "div.article-body", "section.story", "div#main", "div.post-content", "article.post",
     "main#main-content", "div.text", "div.page", "div.body-copy",
 )
+WRAPPERS = (
+    "div", "div.wrapper", "div.container", "div.layout", "div.row", "div.col", "div#page",
+    "div.inner", "section", "div.grid", "div.columns", "div#root", "div.outer", "div.site",
+)
 OTHER_PLACES = (
     "nav", "header", "footer", "aside", "form", "menu", "dialog", "nav.menu", "ul.nav", "ul.menu",
     "div.menu", "div.nav", "div.navbar", "div#navigation", "div.breadcrumb", "ol.breadcrumbs",
@@ -161,7 +166,7 @@ def _turned(lengths: np.ndarray, width: int) -> np.ndarray:
 def _lstm(x: np.ndarray, lengths: np.ndarray, weights: list[np.ndarray]):
     take, recur, bias = weights
     n, width, _ = x.shape
-    given = x @ take + bias
+    given = (x.reshape(n * width, -1) @ take + bias).reshape(n, width, -1)
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     states, steps = np.zeros((n, width, HIDDEN), np.float32), []
     for t in range(width):
@@ -264,7 +269,8 @@ def arranged_page(texts: list[str], rng: np.random.Generator) -> tuple[list[Bloc
         elif shape == 2:
             put("".join(f"<p>{words(3, 60)}</p>" for _ in range(rng.integers(1, 4))))
         else:
-            put(f"<h3>{words(1, 4)}</h3><div><p>{words(2, 30)}</p></div>")
+            level = int(rng.integers(1, 5))
+            put(f"<h{level}>{words(1, 6)}</h{level}><div><p>{words(2, 30)}</p></div>")
         put(stop)
 
     def paragraph() -> None:
@@ -280,26 +286,46 @@ def arranged_page(texts: list[str], rng: np.random.Generator) -> tuple[list[Bloc
         else:
             put(f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 9)}</td></tr></table>", True)
 
+    def opened(places: tuple[str, ...], most: int) -> list[str]:
+        chosen = [_opening(places[rng.integers(len(places))]) for _ in range(rng.integers(0, most + 1))]
+        for start, _ in chosen:
+            put(start)
+        return [stop for _, stop in reversed(chosen)]
+
+    def others(most: int) -> None:
+        for _ in range(rng.integers(0, most + 1)):
+            other()
+
     put("<html><body>")
-    wrapped = rng.random() < 0.3
-    if wrapped:
-        put('<div class="wrapper">')
-    for _ in range(rng.integers(0, 4)):
+    others(2)
+    wrappers = opened(WRAPPERS, 2)
+    others(2)
+    outer = opened((*MAIN_PLACES, *WRAPPERS), 1)
+    if rng.random() < 0.3:
         other()
     start, stop = _opening(MAIN_PLACES[rng.integers(len(MAIN_PLACES))])
     put(start)
+    inner = opened(WRAPPERS, 1) if rng.random() < 0.3 else []
     if rng.random() < 0.8:
         put(f"<h1>{words(2, 12)}</h1>", True)
     for _ in range(rng.integers(1, 9)):
         if rng.random() < 0.12:
             other()
         paragraph()
+    for end in inner:
+        put(end)
     if rng.random() < 0.3:
         other()
     put(stop)
-    for _ in range(rng.integers(0, 4)):
+    if rng.random() < 0.4:
         other()
-    put("</div></body></html>" if wrapped else "</body></html>")
+    for end in outer:
+        put(end)
+    others(2)
+    for end in wrappers:
+        put(end)
+    others(2)
+    put("</body></html>")
     blocks = blocks_of("".join(page))
     labels = np.array([any(a <= b.place < e for a, e in main) for b in blocks], dtype=np.float32)
     return blocks, labels
@@ -315,7 +341,7 @@ def fit_labeller(pages: list[str], seed: int = 5) -> Labeller:
         labels = [landmark_label(b.path) for b in blocks]
         if any(labels):
             examples.append((blocks, np.array([bool(v) for v in labels], dtype=np.float32)))
-    examples += [arranged_page(texts, rng) for _ in range(4 * len(pages) if texts else 0)]
+    examples += [arranged_page(texts, rng) for _ in range(ARRANGED * len(pages) if texts else 0)]
     examples = [(block_vectors(b)[:80], y[:80]) for b, y in examples if b]
     model = Labeller.new(seed)
     weights = model.weights
@@ -360,7 +386,9 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
         ):
             count += 1
         part, order = order[:count], order[count:]
-        x, lengths = _padded([block_vectors(blocks[i]) for i in part])
+        ends = np.cumsum([len(blocks[i]) for i in part])
+        vectors = block_vectors([b for i in part for b in blocks[i]])
+        x, lengths = _padded(np.split(vectors, ends[:-1]))
         keep = model.probabilities(x, lengths) >= 0.5
         for row, i in enumerate(part):
             result[i] = " ".join(b.text for b, k in zip(blocks[i], keep[row]) if k)
