@@ -41,6 +41,9 @@ def _code_points(column: pa.Array, tables: tuple) -> tuple[np.ndarray, np.ndarra
     Letters beyond the first plane share the codes of the private area.
     """
     data, offsets = bytes_of(column)
+    # A line end after every row, so that its last word has an edge too.
+    data = np.insert(data, offsets[1:], 10)
+    offsets = offsets + np.arange(len(offsets))
     leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     letters, lower = tables

@@ -182,12 +182,16 @@ def fit_field(x: np.ndarray, y: np.ndarray) -> Field:
     ``x`` holds features of (windows, WINDOW, groups), -1 outside a text; ``y`` the tags.
     """
     emit, step = np.zeros((FEATURES + 1, 3)), np.zeros((3, 3))
-    n, length, _ = x.shape
-    flat = np.where(x < 0, FEATURES, x).reshape(n * length, -1)
+    n, length, groups = x.shape
+    if not n:
+        # Nothing was learnt: every token is outside.
+        emit[:, O] = 1.0
+        return Field(emit[:FEATURES], step)
+    flat = np.where(x < 0, FEATURES, x).reshape(n * length, groups)
     target = np.eye(3)[y]
     pairs = np.einsum("nta,ntb->ab", target[:, :-1], target[:, 1:])
     square = [np.full_like(emit, 1e-8), np.full_like(step, 1e-8)]
-    for _ in range(STEPS if n else 0):
+    for _ in range(STEPS):
         emit[FEATURES] = 0.0
         scores = emit[flat].sum(axis=1).reshape(n, length, 3)
         forward, backward = np.empty_like(scores), np.zeros_like(scores)
