@@ -24,7 +24,7 @@ def to_matrix(vectors: pa.Array, dims: int | None = None) -> tuple[np.ndarray, n
         dims = int(lengths[0]) if len(lengths) else 0
     if (lengths != dims).any():
         bad = int(lengths[lengths != dims][0])
-        raise ValueError(f"expected {dims} dims, got {bad}")
+        raise ValueError(f"a vector has {bad} components, not {dims}")
     values = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = np.zeros((len(vectors), dims))
     matrix[present] = values.reshape(-1, dims) if dims else 0.0

@@ -47,8 +47,11 @@ def token_ids(words: Column) -> Column:
     return number(words)
 
 
-def hash_embed(text: Column, dims: int, max_length: int = 256) -> Column:
-    """Unit vector of ``dims`` components; a text without tokens gives zeros."""
+def hash_embed(text: Column, dims: int, max_length: int | None = None) -> Column:
+    """Unit vector of ``dims`` components, of all tokens unless ``max_length`` limits them.
+
+    A text without tokens gives zeros.
+    """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def embed(token_lists: pa.Array) -> pa.Array:

@@ -105,8 +105,11 @@ def not_blank(content: Column) -> Column:
 
 
 def decoded_text(value: Column) -> Column:
-    """Bytes as UTF-8 text, any other type as its text form."""
-    return value.cast("string")
+    """Bytes as UTF-8 text, any other type as its text form; bytes that are no UTF-8: NULL.
+
+    Only the row that holds them is without text; the others are not held up.
+    """
+    return F.try_validate_utf8(value.cast("string"))
 
 
 def embedding_text(

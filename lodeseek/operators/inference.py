@@ -24,12 +24,13 @@ def embed(text: Column, model: str | ModelSpec, role: str = "document") -> Colum
     """Unit vector of a text under a model, with the model's prefix for the role.
 
     A registered prediction function is loaded once per Python worker and called on
-    batches of the model's size; a model without one uses the token-hashing embedder.
+    batches of the model's size; a model without one uses the token-hashing embedder,
+    which takes whole texts: a token limit belongs to the model that needs one.
     """
     spec = model_spec(model)
     prefixed = with_role_prefix(text, spec, role)
     if spec.make_predict_fn is None:
-        return hash_embed(prefixed, spec.dims, spec.max_length)
+        return hash_embed(prefixed, spec.dims)
     predict = predict_batch_udf(
         _checked(spec.make_predict_fn, spec.dims), return_type=VECTOR, batch_size=spec.batch_size
     )
@@ -53,9 +54,9 @@ def _checked(make_predict_fn: Callable[[], PredictFn], dims: int) -> Callable[[]
 def _as_vectors(predicted: np.ndarray, inputs: int, dims: int) -> np.ndarray:
     vectors = np.asarray(predicted, dtype=np.float32)
     if len(vectors) != inputs:
-        raise RuntimeError(f"embedder returned {len(vectors)} embeddings for {inputs} inputs")
+        raise RuntimeError(f"{inputs} texts went in, {len(vectors)} vectors came out")
     if inputs and vectors.shape[1] != dims:
-        raise RuntimeError(f"expected {dims} dims, got {vectors.shape[1]}")
+        raise RuntimeError(f"the model's vectors have {vectors.shape[1]} components, not {dims}")
     # Models may or may not normalize; afterwards cosine and dot product agree.
     return unit_rows(vectors.astype(np.float64)).astype(np.float32) if inputs else vectors
 
@@ -80,7 +81,7 @@ def try_embed(text: Column, model: str | ModelSpec, role: str = "document") -> C
                 return list(_as_vectors(predict(texts), len(texts), dims)), [None] * len(texts)
             except Exception as error:
                 if len(texts) == 1:
-                    return [None], [f"Embedding failed: {error}"]
+                    return [None], [f"not embedded: {error}"]
             parts = [attempt(texts[i : i + 1]) for i in range(len(texts))]
             return [v for p in parts for v in p[0]], [e for p in parts for e in p[1]]
 
@@ -142,22 +143,16 @@ def score_once(
 ) -> DataFrame:
     """Add ``score(column)``, computed once per distinct value of the column.
 
-    Copies are merged before the shuffle. The way back is a left join whose large side
-    Spark splits where one value holds many rows. Hash first, then value: the sort
-    compares long texts only on equal hashes.
+    Values meet by their SHA-256 digest (NULL has one of its own), so the join compares
+    and carries no texts. Copies are merged before the shuffle. The way back is a left
+    join whose large side Spark splits where one value holds many rows.
     """
-    hashed = F.xxhash64(column)
-    distinct = df.select(F.col(column).alias("__value")).distinct()
-    scored = distinct.select(
-        F.xxhash64("__value").alias("__hash"), "__value", score(F.col("__value")).alias(name)
-    )
+    text = F.col(column).cast("string")
+    digest = F.coalesce(F.sha2(text, 256), F.lit("NULL"))
+    one_each = df.groupBy(digest.alias("__digest")).agg(F.first(column).alias("__value"))
+    scored = one_each.select("__digest", score(F.col("__value")).alias(name))
     return (
-        df.withColumn("__row_hash", hashed)
-        .join(
-            scored,
-            (F.col("__row_hash") == F.col("__hash"))
-            & F.col(column).eqNullSafe(F.col("__value")),
-            "left",
-        )
-        .drop("__row_hash", "__hash", "__value")
+        df.withColumn("__row_digest", digest)
+        .join(scored, F.col("__row_digest") == F.col("__digest"), "left")
+        .drop("__row_digest", "__digest")
     )

@@ -101,7 +101,7 @@ def checked(df: DataFrame, dims: int, vector: str = "embedding") -> DataFrame:
     Refused are a missing vector or one of another dimension, a missing repo_name,
     file_path, chunk_type or content, and a text over its length limit.
     """
-    rules = [(F.size(vector) == dims, f"expected {dims} dims")]
+    rules = [(F.size(vector) == dims, f"the vector has not {dims} components")]
     for column in ["repo_name", "file_path", "chunk_type", "content"]:
         if column in df.columns:
             rules.append((F.col(column).isNotNull(), f"{column} is NULL"))

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from lodeseek.session import materialize
 
-# Up to this many distinct values, over all groups, may be held by one task.
-FEW_VALUES = 1_000_000
-
 _ROW, _PART = "__row", "__part"
 
 
@@ -51,10 +48,9 @@ def exact_percentiles(
 ) -> DataFrame:
     """Percentiles by linear interpolation, one row per group, one column per entry.
 
-    Equal values are counted before the shuffle. If that leaves few distinct ones, the
-    built-in ``percentile`` takes them with their counts; it keeps the values of a group
-    in one task's memory. More are sorted across tasks, and only the stretches of them
-    which hold a wanted rank are looked into.
+    Equal values are counted before the shuffle. The distinct ones are sorted across
+    tasks, and only the stretches of them which hold a wanted rank are looked into: no
+    group's values meet in one task. A group without values has no row.
     """
     by = list(by)
     counts = (
@@ -63,13 +59,6 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("__count"))
     )
     counts = materialize(counts, "counts")
-    if counts.count() <= FEW_VALUES:
-        return counts.groupBy(*by).agg(
-            *[
-                F.percentile("__value", F.lit(float(p)), F.col("__count")).alias(label)
-                for label, p in probabilities.items()
-            ]
-        )
     stored = _sorted_and_stored(counts, [*by, "__value"])
     stretches = (
         stored.groupBy(*by, _PART)

@@ -19,10 +19,11 @@ def latency_stats(
 ) -> DataFrame:
     """Per configuration: iterations, mean, median, p95, p99, min, max in ms, sentences/s.
 
-    Samples of the warm-up phase do not count.
+    Samples of the warm-up phase do not count, those of a NULL phase do. A NULL
+    configuration, and one without any latency, is a group like others.
     """
     if phase:
-        samples = samples.filter(F.col(phase) != "warmup")
+        samples = samples.filter(~F.col(phase).eqNullSafe("warmup"))
     plain = samples.groupBy(by).agg(
         F.count(latency).alias("iterations"),
         F.avg(latency).alias("mean_ms"),
@@ -33,7 +34,7 @@ def latency_stats(
     ranked = exact_percentiles(
         samples, latency, {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, [by]
     )
-    return plain.join(ranked, by).select(
+    return _with_percentiles(plain, ranked, by).select(
         by,
         "iterations",
         "mean_ms",
@@ -74,7 +75,13 @@ def throughput_stats(
         F.avg("__latency").alias("mean_latency_ms"),
     )
     ranked = exact_percentiles(timed, "__latency", {"p95_latency_ms": 0.95}, [by])
-    return plain.join(ranked, by)
+    return _with_percentiles(plain, ranked, by)
+
+
+def _with_percentiles(plain: DataFrame, ranked: DataFrame, by: str) -> DataFrame:
+    """Groups keep their row if they have no percentile; NULL is a group."""
+    named = ranked.withColumnRenamed(by, "__by")
+    return plain.join(named, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
 def batch_throughput(

@@ -22,14 +22,10 @@ FILTER_COLUMNS = ["repo_name", "language", "chunk_type"]
 # Query vectors sent to every task at once, in bytes. More queries than fit are
 # answered in several passes over the documents.
 QUERY_BLOCK_BYTES = 64 << 20
-# Up to this many queries need no look at their width.
-FEW_QUERIES = 1024
 # Document-by-query scores held by a task at a time.
 SCORES_AT_ONCE = 4 << 20
 # Parts in which the results of the tasks for one query are merged.
 MERGE_PARTS = 32
-# Up to this many hits are looked up by place.
-FEW_HITS = 10_000
 
 
 def with_filters(df: DataFrame, **wanted: str | None) -> DataFrame:
@@ -73,9 +69,6 @@ def search_stored(
     The first step reads vectors and filter columns only and yields where the k best
     rows lie. The second opens the files of those rows, at most k, for the contents.
     """
-    if k > FEW_HITS:
-        wanted = index.select(*[c for c in HIT_COLUMNS if c != "similarity"], "embedding")
-        return cosine_top_k(wanted, query, k, **filters).select(*HIT_COLUMNS)
     spark = index.sparkSession
     place = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
@@ -163,21 +156,14 @@ def _query_blocks(
 ) -> list[pa.Table]:
     """The queries in blocks of bounded size."""
     columns = [query_id, vector, *filter_columns, *(["probes"] if cell else [])]
-    wanted = queries.select(*columns)
-    few = wanted.limit(FEW_QUERIES + 1).toArrow()
-    if few.num_rows <= FEW_QUERIES:
-        return [few]
-    wanted = materialize(wanted, "queries")
-    count = wanted.count()
-    width = wanted.agg(F.max(F.size(vector))).first()[0]
+    wanted = materialize(queries.select(*columns), "queries")
+    count, width = wanted.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(width or 1, 1)))
-    if count <= per_block:
-        return [wanted.toArrow()]
-    # Hashing spreads queries unevenly, hence twice the blocks.
-    blocks = -(-2 * count // per_block)
+    # Hashing spreads queries unevenly, hence twice the blocks if one does not do.
+    blocks = 1 if count <= per_block else -(-2 * count // per_block)
     block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     found = (wanted.filter(block == b).toArrow() for b in range(blocks))
-    return [queries_ for queries_ in found if queries_.num_rows]
+    return [q for q in found if q.num_rows] or [wanted.limit(0).toArrow()]
 
 
 def _block_top_k(

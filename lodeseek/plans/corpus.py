@@ -14,8 +14,16 @@ from lodeseek.functions.text import language_of
 from lodeseek.session import load_table, spread
 
 # Directories and file name endings given to documents in turn.
-DIRECTORIES = ["src", "lib/core", "build", "docs", "pkg/vendor/x"]
-ENDINGS = [".py", ".js", ".go", ".md", ".txt", ".PY", ".tsx"]
+# Every skipped directory and every known ending is among them; the two numbers of
+# entries have no common divisor, so all pairs occur.
+DIRECTORIES = [
+    "src", "lib/core", "docs", "app", "pkg/x", "tests", "node_modules/a", ".git", "__pycache__",
+    ".venv/lib", "venv", "dist", "build", ".next", ".cache/y", "pkg/vendor/x", "target",
+]
+ENDINGS = [
+    ".py", ".js", ".go", ".md", ".txt", ".PY", ".tsx", ".ts", ".jsx", ".py", ".rs", ".java",
+    ".cpp", ".c", ".h", ".rb", ".php", ".sql", ".sh",
+]
 
 
 def _in_turn(values: list[str], number: Column) -> Column:

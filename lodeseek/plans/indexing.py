@@ -17,6 +17,7 @@ from lodeseek.sources.index_store import IndexStore, index_rows
 from lodeseek.sources.repositories import (
     exclude_repos,
     indexable,
+    list_repositories,
     list_tree,
     read_files,
     source_texts,
@@ -77,23 +78,42 @@ def index_tree(
 
     ``replace`` makes the result the whole content of the repositories that were listed,
     also of those in which nothing is left to index; without it known chunks are updated
-    and new ones added, and chunks that are gone stay. Returns the numbers of files read
-    and of chunks written, counted while they pass.
+    and new ones added, and chunks that are gone stay. A repository of which a directory
+    could not be listed or a file not read is updated but not replaced, as the rest of it
+    is unknown. Returns the numbers of files read, of chunks written, and of directories
+    and files that ``failed``; `list_tree` and `read_files` tell which and why.
     """
     spec = model_spec(model)
     listing = exclude_repos(list_tree(spark, root, repo_name), exclude)
     listing = materialize(listing, "tree")
-    wanted = indexable(tracked_only(listing, manifest))
-    texts = source_texts(read_files(wanted, root, repo_name is not None))
-    read, made = Observation("files"), Observation("chunks")
+    unlisted = listing.filter("error IS NOT NULL").select("repo_name")
+    wanted = indexable(tracked_only(listing.filter("error IS NULL"), manifest))
+    files = read_files(wanted, root, repo_name is not None)
+    if replace:
+        # Errors have to be known before anything is replaced.
+        files = materialize(files, "files")
+    opened, read, made = Observation("opened"), Observation("files"), Observation("chunks")
     total = F.count(F.lit(1))
-    rows = rows_for_index(texts.observe(read, total.alias("files")), spec)
-    rows = rows.observe(made, total.alias("chunks"))
+    files = files.observe(opened, F.count_if(F.col("error").isNotNull()).alias("failed"))
+    texts = source_texts(files).observe(read, total.alias("files"))
+    rows = rows_for_index(texts, spec).observe(made, total.alias("chunks"))
     if replace:
-        repos = listing.select("repo_name").distinct()
+        rows = materialize(rows, "rows")
         if repo_name:
             repos = spark.createDataFrame([(repo_name,)], "repo_name string")
-        store.replace(rows, repos, spec.name)
+        else:
+            repos = exclude_repos(list_repositories(spark, root), exclude)
+        unread = files.filter("error IS NOT NULL").select("repo_name")
+        broken = materialize(unlisted.unionByName(unread).distinct(), "broken")
+        store.replace(
+            rows.join(broken, "repo_name", "left_anti"),
+            repos.join(broken, "repo_name", "left_anti"),
+            spec.name,
+        )
+        rows = rows.join(broken, "repo_name", "left_semi")
+        if not rows.isEmpty():
+            store.upsert(rows)
     else:
         store.upsert(rows)
-    return {**read.get, **made.get}
+    failed = opened.get["failed"] + unlisted.count()
+    return {**read.get, **made.get, "failed": failed}

@@ -6,8 +6,26 @@ from a self-join and a recursive walk, vectors from a relational count of tokens
 
 from __future__ import annotations
 
-from lodeseek.functions.text import LANGUAGE_BY_EXTENSION, SKIPPED_DIRECTORIES
-from lodeseek.plans.corpus import BATCH_SIZES, DIRECTORIES, ENDINGS, WORKERS
+# Fixed values, written out here so that a wrong one in the engine does not pass.
+DIRECTORIES = [
+    "src", "lib/core", "docs", "app", "pkg/x", "tests", "node_modules/a", ".git", "__pycache__",
+    ".venv/lib", "venv", "dist", "build", ".next", ".cache/y", "pkg/vendor/x", "target",
+]
+ENDINGS = [
+    ".py", ".js", ".go", ".md", ".txt", ".PY", ".tsx", ".ts", ".jsx", ".py", ".rs", ".java",
+    ".cpp", ".c", ".h", ".rb", ".php", ".sql", ".sh",
+]
+SKIPPED_DIRECTORIES = [
+    "node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".cache",
+    "vendor", "target",
+]
+LANGUAGE_BY_EXTENSION = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript",
+    ".tsx": "typescript", ".go": "go", ".rs": "rust", ".java": "java", ".cpp": "cpp", ".c": "c",
+    ".h": "c", ".rb": "ruby", ".php": "php", ".sql": "sql", ".sh": "bash", ".md": "markdown",
+}
+BATCH_SIZES = {"view": 1, "click": 4, "purchase": 8, "signup": 16, "error": 32}
+WORKERS = {"view": 1, "click": 2, "purchase": 4, "signup": 8, "error": 16}
 
 
 def _list(values: list[str]) -> str:
@@ -123,8 +141,7 @@ chunks AS (
          d.start_line, d.end_line, f.language
   FROM code_files f JOIN definitions d USING (doc_id)
   UNION ALL
-  SELECT f.repo_name, f.rel_path, 'file', 'doc_' || f.doc_id || right(f.rel_path,
-           length(f.rel_path) - instr(f.rel_path, '.') + 1),
+  SELECT f.repo_name, f.rel_path, 'file', regexp_extract(f.rel_path, '[^/]+$'),
          f.content, 1, len(string_split(f.content, {LF}))::INT, f.language
   FROM code_files f
   WHERE f.doc_id NOT IN (SELECT doc_id FROM definitions) AND regexp_matches(f.content, '\\S')
@@ -137,12 +154,11 @@ chunk_texts AS (
 )"""
 
 
-def _tokens(text: str, limit: int | None = 256) -> str:
-    words = (
+def _tokens(text: str) -> str:
+    return (
         rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'),"
         " lambda w: w <> '')"
     )
-    return words if limit is None else f"list_slice({words}, 1, {limit})"
 
 
 def _vectors(name: str, source: str, id_: str, text: str, dims: int) -> str:
@@ -393,7 +409,7 @@ FROM embeddings GROUP BY label
 """
 
 ORACLE["tokenize"] = f"""
-WITH words AS (SELECT doc_id, {_tokens("text", None)} AS words FROM documents),
+WITH words AS (SELECT doc_id, {_tokens("text")} AS words FROM documents),
 kept AS (SELECT doc_id, words, list_slice(words, 1, 256) AS kept FROM words)
 SELECT doc_id, len(words)::INT AS n_tokens, len(kept)::INT AS n_kept,
        coalesce(list_sum(list_transform(kept,
@@ -422,7 +438,7 @@ FROM documents
 
 ORACLE["model_plugin"] = """
 WITH counted AS (
-  SELECT doc_id, length(text) > 10000 AS refused,
+  SELECT doc_id, contains(text, 'Licensed') AS refused,
          [length(text) - length(replace(text, 'a', '')),
           length(text) - length(replace(text, 'e', '')),
           length(text) - length(replace(text, 'i', '')),
@@ -433,7 +449,7 @@ scaled AS (
   SELECT *, greatest(sqrt(c[1]*c[1] + c[2]*c[2] + c[3]*c[3] + c[4]*c[4]), 1e-9) AS norm
   FROM counted
 )
-SELECT doc_id, CASE WHEN refused THEN 'Embedding failed: text too long' END AS error,
+SELECT doc_id, CASE WHEN refused THEN 'not embedded: a license line' END AS error,
        CASE WHEN NOT refused THEN round((c[1] / norm)::FLOAT::DOUBLE, 5) END AS v0,
        CASE WHEN NOT refused THEN round((c[2] / norm)::FLOAT::DOUBLE, 5) END AS v1,
        CASE WHEN NOT refused THEN round((c[3] / norm)::FLOAT::DOUBLE, 5) END AS v2,
@@ -448,7 +464,7 @@ FROM parts WHERE pos < 51 GROUP BY vec_id
 """
 
 ORACLE["dedup_infer"] = f"""
-SELECT doc_id, len({_tokens("text", None)})::INT AS n_tokens FROM documents
+SELECT doc_id, len({_tokens("text")})::INT AS n_tokens FROM documents
 """
 
 ORACLE["chunk_python"] = f"""

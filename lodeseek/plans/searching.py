@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from lodeseek.operators.topk import (
 from lodeseek.registry import DEFAULT_MODEL, ModelSpec, model_spec
 from lodeseek.schemas import CHUNK_COLUMNS, NATURAL_KEY
 from lodeseek.session import materialize
-from lodeseek.sources.index_store import IndexStore
+from lodeseek.sources.index_store import PLACE, IndexStore
 
 
 def query_vector(
@@ -65,16 +63,17 @@ def search_many(
     and the similarity of each, which saves a second look at the index.
     """
     spec = model_spec(model)
-    index = store.read(spec.name)
+    index = store.read(spec.name, places=True)
+    # Rows without a full natural key may be stored more than once: the place tells them apart.
+    key = [*NATURAL_KEY, *PLACE]
     vectors = queries.withColumn("embedding", embed(F.col("text"), spec, "query"))
     filters = [c for c in FILTER_COLUMNS if c in queries.columns]
-    hits = multi_query_top_k(index, vectors, limit, NATURAL_KEY, filter_columns=filters)
+    hits = multi_query_top_k(index, vectors, limit, key, filter_columns=filters)
     if not contents:
-        return hits
-    hits = materialize(hits, "hits")
-    same = reduce(and_, [F.col(f"h.{c}").eqNullSafe(F.col(f"i.{c}")) for c in NATURAL_KEY])
-    return hits.alias("h").join(index.alias("i"), same).select(
-        "h.query_id", "h.rank", *[f"i.{c}" for c in CHUNK_COLUMNS], "h.similarity"
+        return hits.drop(*PLACE)
+    hits = materialize(hits.select("query_id", "rank", "similarity", *PLACE), "hits")
+    return hits.join(index.select(*PLACE, *CHUNK_COLUMNS), PLACE).select(
+        "query_id", "rank", *CHUNK_COLUMNS, "similarity"
     )
 
 

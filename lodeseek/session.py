@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -56,24 +57,56 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is absent, as in tests.
+    Where the setting is absent a local master gets a temporary folder, and any other is
+    refused: executors on other machines would not see what is written there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="lodeseek-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = _local_folder()
     return configured.rstrip("/")
 
 
+@cache
+def _local_folder() -> str:
+    """One temporary folder per driver process, for local masters."""
+    return tempfile.mkdtemp(prefix="lodeseek-")
+
+
+# Folders written by `materialize`, until they are released.
+_stored: list[str] = []
+
+
+def release_stored(spark: SparkSession) -> int:
+    """Delete what `materialize` has written so far; returns the number of folders.
+
+    To be called when the results that were built on it have been consumed.
+    """
+    released = len(_stored)
+    while _stored:
+        delete_path(spark, _stored.pop())
+    return released
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
     Cuts the lineage, so that values which depend on how rows were placed
     (``monotonically_increasing_id``) or cost much (inference) are computed once
-    and outlive a lost executor. Parquet keeps later reads column-pruned.
+    and outlive a lost executor. Parquet keeps later reads column-pruned. The folder
+    stays until `release_stored`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeseek/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 

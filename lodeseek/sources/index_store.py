@@ -17,10 +17,10 @@ from lodeseek.schemas import (
     NATURAL_KEY,
     STORED_INDEX,
 )
-from lodeseek.session import materialize
+from lodeseek.session import delete_path, materialize
 
-# Up to this many partitions are named in the filter of a read.
-FEW_PARTITIONS = 1000
+# Where a stored row lies: its file and its number in it.
+PLACE = ["file", "row"]
 
 
 class IndexStore:
@@ -41,14 +41,21 @@ class IndexStore:
         self.path = path.rstrip("/")
         self.buckets = buckets
 
-    def read(self, model: str | None = None) -> DataFrame:
-        """The index, or the part of one model; an index not yet written is empty."""
+    def read(self, model: str | None = None, places: bool = False) -> DataFrame:
+        """The index, or the part of one model; an index not yet written is empty.
+
+        ``places`` adds the columns of PLACE.
+        """
         stored = self._stored()
         if stored is None:
-            return self.spark.createDataFrame([], INDEX)
+            empty = self.spark.createDataFrame([], INDEX)
+            if places:
+                empty = empty.withColumns({"file": F.lit(""), "row": F.lit(0).cast("bigint")})
+            return empty
         if model:
             stored = stored.filter(F.col("model") == model)
-        return stored.select(*INDEX_COLUMNS)
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+        return stored.select(*INDEX_COLUMNS, *(place if places else []))
 
     def replace(
         self, rows: DataFrame, repos: DataFrame | None = None, model: str | None = None
@@ -120,13 +127,14 @@ class IndexStore:
         )
 
     def _restrict(self, stored: DataFrame, partitions: DataFrame) -> DataFrame:
-        """Stored rows of some partitions, which are named to the scan if they are few."""
+        """Stored rows of some partitions; the scan is told the values of each column.
+
+        Each value is a directory that the writer makes, so there are few of them.
+        """
         columns = partitions.columns
-        few = partitions.limit(FEW_PARTITIONS + 1).collect()
-        if len(few) <= FEW_PARTITIONS:
-            for column in columns:
-                values = sorted({p[column] for p in few})
-                stored = stored.filter(F.col(column).isin(values))
+        for column in columns:
+            values = sorted(p[0] for p in partitions.select(column).distinct().collect())
+            stored = stored.filter(F.col(column).isin(values))
         return stored.join(partitions, columns, "left_semi")
 
     def _check_buckets(self, stored: DataFrame, rows: DataFrame) -> None:
@@ -138,10 +146,9 @@ class IndexStore:
             raise ValueError(f"the index has another number of buckets than {self.buckets}")
 
     def _empty(self, places: DataFrame) -> None:
-        """Empty the partitions at ``places``: one directory each."""
-        nothing = self.spark.createDataFrame([], INDEX).drop(*INDEX_PARTITIONS)
+        """Delete the partitions at ``places``: one directory each, without a job for each."""
         for found in places.select("folder").distinct().toLocalIterator():
-            nothing.write.mode("overwrite").parquet(unquote(found.folder))
+            delete_path(self.spark, unquote(found.folder))
 
     def _overwrite(self, rows: DataFrame) -> None:
         # Rebalancing splits a large partition over several tasks and files and joins

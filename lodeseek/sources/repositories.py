@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -40,9 +41,12 @@ _ENTRIES = pa.schema(
         ("is_directory", pa.bool_()),
         ("size", pa.int64()),
         ("modified_ns", pa.int64()),
+        ("error", pa.string()),
     ]
 )
-_ENTRIES_DDL = "rel_path string, is_directory boolean, size bigint, modified_ns bigint"
+_ENTRIES_DDL = (
+    "rel_path string, is_directory boolean, size bigint, modified_ns bigint, error string"
+)
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
@@ -54,11 +58,18 @@ def _open(root: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _children(system: pafs.FileSystem, base: str, directory: str) -> Iterator[tuple]:
-    """Entries of one directory, without skipped and without linked directories."""
+    """Entries of one directory, without skipped and without linked directories.
+
+    A directory that cannot be listed is one entry with the error. The root has to be
+    there: a job over a mistyped one would take every repository for empty.
+    """
     try:
         found = system.get_file_info(pafs.FileSelector(f"{base}/{directory}".rstrip("/")))
-    except OSError:
-        return  # a directory that cannot be listed has no files to offer
+    except OSError as problem:
+        if not directory:
+            raise
+        yield directory, False, 0, 0, str(problem)
+        return
     local = isinstance(system, pafs.LocalFileSystem)
     for info in found:
         is_directory = info.type == pafs.FileType.Directory
@@ -68,11 +79,11 @@ def _children(system: pafs.FileSystem, base: str, directory: str) -> Iterator[tu
             continue
         if is_directory or info.type == pafs.FileType.File:
             path = f"{directory}/{info.base_name}".lstrip("/")
-            yield path, is_directory, info.size or 0, info.mtime_ns or 0
+            yield path, is_directory, info.size or 0, info.mtime_ns or 0, None
 
 
-def _listing(root: str, recursive: bool) -> Callable:
-    """Replaces directories by their entries, or by all files below them."""
+def _listing(root: str) -> Callable:
+    """Replaces directories by their entries."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(root)
@@ -85,18 +96,10 @@ def _listing(root: str, recursive: bool) -> Callable:
 
         for batch in batches:
             for row in batch.to_pylist():
-                if not row["is_directory"]:
-                    out.append(tuple(row.values()))
-                    continue
-                pending = [row["rel_path"]]
-                while pending:
-                    for entry in _children(system, base, pending.pop()):
-                        if recursive and entry[1]:
-                            pending.append(entry[0])
-                        else:
-                            out.append(entry)
-                        if len(out) >= 10_000:
-                            yield flush()
+                for entry in _children(system, base, row["rel_path"]):
+                    out.append(entry)
+                    if len(out) >= 10_000:
+                        yield flush()
         if out:
             yield flush()
 
@@ -104,25 +107,29 @@ def _listing(root: str, recursive: bool) -> Callable:
 
 
 def list_tree(spark: SparkSession, root: str, repo_name: str | None = None) -> DataFrame:
-    """All files below ``root``: repo_name, rel_path, size, modified_ns.
+    """All files below ``root``: repo_name, rel_path, size, modified_ns, error.
 
     With ``repo_name`` the root is that repository; else each directory directly below
-    the root is one. Two levels are listed one by one, each spread over the cluster; the
-    directories below them are walked in parallel. Skipped directories are not entered.
+    the root is one. The tree is listed level by level, the directories of each level
+    spread over the cluster. Skipped directories are not entered. A directory that cannot
+    be listed is a row with its ``error``; a root that cannot be listed fails.
     """
     _open(root)  # a root that cannot be understood fails here
     tasks = max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    entries = spark.createDataFrame([("", True, 0, 0)], _ENTRIES_DDL)
-    for recursive in (False, False, True):
+    directories = spark.createDataFrame([("", True, 0, 0, None)], _ENTRIES_DDL)
+    levels = []
+    while not directories.isEmpty():
+        level = materialize(directories.mapInArrow(_listing(root), _ENTRIES_DDL), "level")
+        levels.append(level.filter("NOT is_directory"))
         # A given number of partitions, as they are small in bytes but not in work.
-        entries = entries.mapInArrow(_listing(root, recursive), _ENTRIES_DDL)
-        if not recursive:
-            entries = entries.repartition(tasks, "rel_path")
+        directories = level.filter("is_directory").repartition(tasks, "rel_path")
+    entries = reduce(DataFrame.unionByName, levels)
     path = F.col("rel_path")
     if repo_name is None:
-        entries = entries.filter(path.contains("/"))
+        # A file beside the repositories is in none; one that cannot be listed is.
+        entries = entries.filter(path.contains("/") | F.col("error").isNotNull())
         name, rest = F.substring_index(path, "/", 1), F.substring(
             path, F.locate("/", path) + 1, F.length(path)
         )
@@ -133,16 +140,24 @@ def list_tree(spark: SparkSession, root: str, repo_name: str | None = None) -> D
         rest.alias("rel_path"),
         "size",
         "modified_ns",
+        "error",
     )
 
 
+def list_repositories(spark: SparkSession, root: str) -> DataFrame:
+    """The directories directly below ``root`` (repo_name), also those without files."""
+    top = spark.createDataFrame([("", True, 0, 0, None)], _ENTRIES_DDL)
+    entries = top.mapInArrow(_listing(root), _ENTRIES_DDL).filter("is_directory")
+    return entries.select(F.col("rel_path").alias("repo_name"))
+
+
 def read_files(listing: DataFrame, root: str, whole_root: bool) -> DataFrame:
     """``listing`` with ``content`` (bytes), or ``error`` where a file cannot be read.
 
     ``whole_root`` tells that the root is one repository. The listing is stored first, to
     know how many tasks its bytes need.
     """
-    listing = materialize(listing, "listing")
+    listing = materialize(listing.drop("error"), "listing")
     total = listing.agg(F.sum("size")).first()[0] or 0
     slots = listing.sparkSession.sparkContext.defaultParallelism
     tasks = max(slots, -(-total // TASK_BYTES))
@@ -195,8 +210,8 @@ def scan_tree(
     """The indexable files below ``root``: repo_name, rel_path, content, language.
 
     ``manifest`` (repo_name, rel_path) restricts to tracked files; ``exclude`` names
-    repositories to leave out. Files that cannot be read are left out; `read_files` tells
-    why.
+    repositories to leave out. Directories that cannot be listed and files that cannot be
+    read are left out; `list_tree` and `read_files` tell why.
     """
     listing = exclude_repos(list_tree(spark, root, repo_name), exclude)
     wanted = indexable(tracked_only(listing, manifest))

@@ -39,7 +39,7 @@ def response_errors(
     message = F.when(
         F.size(vectors) != F.col(expected),
         F.format_string(
-            "embedder returned %d embeddings for %d inputs", F.size(vectors), F.col(expected)
+            "%d texts went in, %d vectors came out", F.col(expected), F.size(vectors)
         ),
-    ).when(wrong.isNotNull(), F.format_string(f"expected {dims} dims, got %d", wrong))
+    ).when(wrong.isNotNull(), F.format_string(f"a vector has %d components, not {dims}", wrong))
     return responses.withColumn("error", message)

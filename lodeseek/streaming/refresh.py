@@ -11,10 +11,12 @@ from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodeseek.plans.indexing import rows_for_index
 from lodeseek.registry import DEFAULT_MODEL, ModelSpec
+from lodeseek.session import materialize
 from lodeseek.sources.index_store import IndexStore
 from lodeseek.sources.repositories import (
     exclude_repos,
@@ -26,22 +28,45 @@ from lodeseek.sources.repositories import (
 )
 
 CHANGES = "repo_name string, rel_path string, size bigint, modified_ns bigint, language string"
+FAILED = f"{CHANGES}, error string, batch_id bigint"
 
 
-def note_changes(listing: DataFrame, changes: str, files_per_batch: int) -> None:
-    """Append files that are new, or differ in size or time, to the table of changes."""
-    spark = listing.sparkSession
+VERSION = ["repo_name", "rel_path", "size", "modified_ns"]
+
+
+def _read_if_there(spark: SparkSession, schema: str, path: str) -> DataFrame:
     try:
-        seen = spark.read.schema(CHANGES).parquet(changes)
-        listing = listing.join(
-            seen, ["repo_name", "rel_path", "size", "modified_ns"], "left_anti"
-        )
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        return spark.createDataFrame([], schema)
+
+
+def note_changes(
+    listing: DataFrame, changes: str, failed: str, files_per_batch: int, buckets: int = 1
+) -> None:
+    """Append files that are new, or differ in size or time, to the table of changes.
+
+    So are files that could not be read as often as they were noted. Changes lie in the
+    order of the index's partitions, so that a batch touches few of them.
+    """
+    spark = listing.sparkSession
+    noted = _read_if_there(spark, CHANGES, changes).groupBy(*VERSION).agg(
+        F.count(F.lit(1)).alias("noted")
+    )
+    # A batch that is replayed has failed once.
+    broken = _read_if_there(spark, FAILED, failed).groupBy(*VERSION).agg(
+        F.count_distinct("batch_id").alias("failed")
+    )
+    done = noted.join(broken, VERSION, "left").filter(
+        F.col("noted") > F.coalesce("failed", F.lit(0))
+    )
     columns = [field.split()[0] for field in CHANGES.split(", ")]
     (
-        listing.select(*columns)
+        listing.join(done, VERSION, "left_anti")
+        .select(*columns)
+        .orderBy("repo_name", F.pmod(F.xxhash64("rel_path"), F.lit(buckets)), "rel_path")
         .write.mode("append")
         .option("maxRecordsPerFile", files_per_batch)
         .parquet(changes)
@@ -63,17 +88,26 @@ def refresh_index(
 
     ``state`` is a directory for the table of changes and the progress of the stream.
     Every micro-batch is an upsert by natural key, so a batch that is replayed after a
-    failure changes nothing. As with an upsert, chunks that are gone from a file stay
+    failure changes nothing. A file that cannot be read is kept in a table of its own,
+    with the reason, and tried again at the next run. As with an upsert, chunks that are gone from a file stay
     until their repository is replaced.
     """
-    listing = indexable(list_tree(spark, root, repo_name))
+    listing = indexable(list_tree(spark, root, repo_name).filter("error IS NULL"))
     listing = exclude_repos(tracked_only(listing, manifest), exclude)
     changes = f"{state.rstrip('/')}/changes"
-    note_changes(listing, changes, files_per_batch)
+    failed = f"{state.rstrip('/')}/failed"
+    note_changes(listing, changes, failed, files_per_batch, store.buckets)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        files = source_texts(read_files(batch, root, repo_name is not None))
-        store.upsert(rows_for_index(files, model))
+        files = materialize(read_files(batch, root, repo_name is not None), "refresh")
+        store.upsert(rows_for_index(source_texts(files), model))
+        (
+            files.filter("error IS NOT NULL")
+            .drop("content")
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .write.mode("append")
+            .parquet(failed)
+        )
 
     return (
         spark.readStream.schema(CHANGES)

@@ -1,4 +1,6 @@
 from datetime import datetime
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +10,14 @@ from conftest import plan_of
 from lodeseek.operators.merging import checked, merge_index, reconcile
 from lodeseek.operators.topk import with_filters
 from lodeseek.operators.stats import index_summary, index_total
+from lodeseek.plans import indexing
 from lodeseek.plans.indexing import index_tree
 from lodeseek.plans.searching import formatted, search, search_many
 from lodeseek.schemas import INDEX, INDEX_COLUMNS
+from lodeseek.session import materialize, release_stored, shared_dir
+from lodeseek.sources import repositories
 from lodeseek.sources.index_store import IndexStore
+from lodeseek.streaming import refresh
 from lodeseek.streaming.refresh import refresh_index
 from test_sources import tree
 
@@ -119,8 +125,8 @@ def test_redundant_store(spark, tmp_path):
 @pytest.mark.parametrize(
     "change, message",
     [
-        ({"embedding": "cast(array(1.0) as array<float>)"}, "expected 2 dims"),
-        ({"embedding": "cast(null as array<float>)"}, "expected 2 dims"),
+        ({"embedding": "cast(array(1.0) as array<float>)"}, "has not 2 components"),
+        ({"embedding": "cast(null as array<float>)"}, "has not 2 components"),
         ({"name": "repeat('x', 256)"}, "name exceeds 255"),
         ({"content": "cast(null as string)"}, "content is NULL"),
     ],
@@ -135,7 +141,7 @@ def test_refused_rows(spark, change, message):
 def test_index_and_search_a_tree(spark, tmp_path):
     root = tree(tmp_path / "src", FILES)
     store = IndexStore(spark, str(tmp_path / "index"))
-    assert index_tree(spark, root, store, model=SMALL) == {"files": 4, "chunks": 5}
+    assert index_tree(spark, root, store, model=SMALL) == {"files": 4, "chunks": 5, "failed": 0}
     index = store.read("small")
     assert index_total(index).first().chunks == 5
     assert [(r.repo_name, r.chunks) for r in index_summary(index).collect()] == [("alpha", 3), ("beta", 2)]
@@ -256,3 +262,111 @@ def test_merge_of_many_copies_of_one_key(spark):
         F.lit("r").alias("repo_name"),
     )
     assert [(r.content, r.indexed_at.month) for r in merge_index(current, copies).collect()] == [("same", 2)]
+
+
+def test_hits_of_many_queries_are_looked_up_by_place(spark, tmp_path):
+    # Two rows without a name share their natural key; both are stored, by design.
+    store = IndexStore(spark, str(tmp_path / "index"))
+    rows = spark.createDataFrame(
+        [("r", "a.go", "file", None, f"text {i}", 1, 2, "go", "small", [1.0, float(i)]) for i in range(2)],
+        "repo_name string, file_path string, chunk_type string, name string, content string, start_line int,"
+        " end_line int, language string, model string, embedding array<float>",
+    ).withColumn("indexed_at", F.current_timestamp())
+    store.upsert(rows.select(*INDEX_COLUMNS))
+    asked = spark.createDataFrame([(1, "text"), (2, "other")], "query_id int, text string")
+    two = ModelSpec("small", 2)
+    found = search_many(store, asked, 2, two).collect()
+    assert sorted((r.query_id, r["rank"]) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    for query in (1, 2):
+        assert {r.content for r in found if r.query_id == query} == {"text 0", "text 1"}
+    assert search_many(store, asked, 2, two, contents=False).count() == 4
+
+
+def test_an_emptied_repository_is_cleared(spark, tmp_path):
+    root = tree(tmp_path / "src", FILES)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    index_tree(spark, root, store, model=SMALL)
+    for path in list((tmp_path / "src" / "alpha").rglob("*")):
+        if path.is_file():
+            path.rename(tmp_path / f"gone-{path.name}")
+    index_tree(spark, root, store, model=SMALL, replace=True)
+    assert {r.repo_name for r in store.read().select("repo_name").distinct().collect()} == {"beta"}
+
+
+def test_a_repository_with_errors_is_not_replaced(spark, tmp_path, monkeypatch):
+    root = tree(tmp_path / "src", FILES)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    index_tree(spark, root, store, model=SMALL)
+    before = store.read().filter("repo_name = 'alpha'").count()
+    listed = repositories.list_tree
+
+    def with_error(session, *args):
+        bad = session.createDataFrame(
+            [("alpha", "sub", 0, 0, "no permission")],
+            "repo_name string, rel_path string, size bigint, modified_ns bigint, error string",
+        )
+        return listed(session, *args).filter("repo_name = 'beta'").unionByName(bad)
+
+    monkeypatch.setattr(indexing, "list_tree", with_error)
+    counts = index_tree(spark, root, store, model=SMALL, replace=True)
+    assert counts["failed"] == 1
+    assert store.read().filter("repo_name = 'alpha'").count() == before
+
+
+def test_a_root_that_is_not_there_fails(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    with pytest.raises(Exception, match="nowhere"):
+        index_tree(spark, str(tmp_path / "nowhere"), store, "alpha", SMALL, replace=True)
+
+
+def test_a_file_that_failed_is_tried_again(spark, tmp_path, monkeypatch):
+    root = tree(tmp_path / "src", FILES)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    reading = repositories.read_files
+
+    def failing(listing, *args):
+        bad = F.col("rel_path").endswith(".sql")
+        return reading(listing, *args).withColumns(
+            {
+                "error": F.when(bad, "busy").otherwise(F.col("error")),
+                "content": F.when(~bad, F.col("content")),
+            }
+        )
+
+    def run():
+        query = refresh_index(spark, root, store, str(tmp_path / "state"), model=SMALL)
+        query.awaitTermination()
+        return {r.file_path for r in store.read().collect()}
+
+    monkeypatch.setattr(refresh, "read_files", failing)
+    assert "x.sql" not in run() and "x.sql" not in run()
+    monkeypatch.setattr(refresh, "read_files", reading)
+    assert "x.sql" in run()
+    noted = spark.read.parquet(str(tmp_path / "state" / "changes")).count()
+    run()
+    assert spark.read.parquet(str(tmp_path / "state" / "changes")).count() == noted
+
+
+def test_stored_results_are_released(spark):
+    release_stored(spark)
+    kept = materialize(spark.range(5).toDF("id"), "five")
+    folder = Path(urlparse(kept.inputFiles()[0]).path).parent
+    assert kept.count() == 5 and folder.exists()
+    assert release_stored(spark) == 1 and not folder.exists()
+
+
+class NoFolder:
+    """A session on a cluster whose administrator has named no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(NoFolder)
+    NoFolder.sparkContext.master = "local[2]"
+    assert shared_dir(NoFolder) == shared_dir(NoFolder)

@@ -148,7 +148,7 @@ def test_responses_of_both_shapes(spark):
     assert errors == {
         1: None,
         2: None,
-        3: "expected 2 dims, got 3",
-        4: "embedder returned 1 embeddings for 3 inputs",
-        5: "embedder returned 0 embeddings for 1 inputs",
+        3: "a vector has 3 components, not 2",
+        4: "3 texts went in, 1 vectors came out",
+        5: "1 texts went in, 0 vectors came out",
     }
