@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,6 +97,31 @@ class Cells:
             .parquet(path)
         )
 
+    def store(self, vectors: DataFrame, path: str, vector: str = "embedding") -> None:
+        """`write` below ``path``, with the centroids, so that `load` can search it later."""
+        rows = [(n, [float(x) for x in c]) for n, c in enumerate(self.centroids)]
+        spark = vectors.sparkSession
+        spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/centroids")
+        self.write(vectors, f"{path}/vectors", vector)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> tuple[Cells, DataFrame]:
+        """The cells kept at ``path`` and the vectors in them."""
+        kept = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+        return cls([r.centroid for r in kept]), spark.read.parquet(f"{path}/vectors")
+
+    def add(self, vectors: DataFrame, path: str, vector: str = "embedding") -> None:
+        """Append vectors to the cells kept at ``path``; the centroids stay."""
+        (
+            vectors.withColumn("cell", self.assign(F.col(vector)))
+            .hint("rebalance", F.col("cell"))
+            .write.mode("append")
+            .partitionBy("cell")
+            .parquet(f"{path}/vectors")
+        )
+
     def top_k(
         self,
         stored: DataFrame,
@@ -120,11 +145,12 @@ class Cells:
         key: Sequence[str],
         query_id: str = "query_id",
         vector: str = "embedding",
+        filter_columns: Sequence[str] = (),
     ) -> DataFrame:
-        """`multi_query_top_k` within each query's nearest cells."""
+        """`multi_query_top_k` within each query's nearest cells, with its filters."""
         probing = queries.withColumn("probes", self.probes(F.col(vector), probes))
         return multi_query_top_k(
-            stored, probing, k, key, query_id, vector, cell="cell"
+            stored, probing, k, key, query_id, vector, filter_columns, cell="cell"
         )
 
 

@@ -180,8 +180,12 @@ def _block_top_k(
     columns = list(dict.fromkeys([*key, vector, *filter_columns, *([cell] if cell else [])]))
     needed = documents.select(*columns)
     probes = queries.column("probes").to_pylist() if cell else None
+    probing: dict[int, list[int]] = {}
+    for number, near in enumerate(probes or []):
+        for one in near or []:
+            probing.setdefault(one, []).append(number)
     if probes is not None:
-        needed = needed.filter(F.col(cell).isin(sorted({c for p in probes for c in p or []})))
+        needed = needed.filter(F.col(cell).isin(sorted(probing)))
     fields = {f.name: f for f in documents.schema.fields}
     schema = T.StructType(
         [
@@ -205,7 +209,7 @@ def _block_top_k(
             cells = batch.column(cell).to_numpy(zero_copy_only=False)
             for one in np.unique(cells):
                 rows = np.flatnonzero(cells == one)
-                which = np.array([q for q, p in enumerate(probes) if one in (p or [])], dtype=int)
+                which = np.array(probing.get(int(one), []), dtype=int)
                 scores[np.ix_(rows, which)] = vectors[rows] @ matrix[which].T
         for column, values in wanted.items():
             stored = np.array(batch.column(column).to_pylist(), dtype=object)

@@ -333,6 +333,19 @@ WITH {_CELLS}
 SELECT query_id, vec_id, round(s, 6) AS similarity, rank::INT AS rank FROM near WHERE rank <= 10
 """
 
+ORACLE["stored_cells"] = f"""
+WITH {_CELLS},
+wanted AS (
+  SELECT s.query_id, s.vec_id, s.s,
+         row_number() OVER (PARTITION BY s.query_id ORDER BY s.s DESC, s.vec_id) AS rank
+  FROM scored s JOIN placed p USING (vec_id)
+  JOIN probed b ON b.query_id = s.query_id AND b.cell = p.cell
+  JOIN embeddings e ON e.vec_id = s.vec_id
+  WHERE s.query_id % 2 = 1 OR s.query_id = 0 OR e.label = s.query_id
+)
+SELECT query_id, vec_id, round(s, 6) AS similarity, rank::INT AS rank FROM wanted WHERE rank <= 10
+"""
+
 ORACLE["ann_recall"] = f"""
 WITH {_CELLS}
 SELECT t.query_id, round(count(n.vec_id) / count(*), 6) AS recall
@@ -594,6 +607,23 @@ merged AS (
 SELECT {_DIGESTED} FROM merged
 """
 
+ORACLE["stored_upsert"] = ORACLE["index_upsert"]
+ORACLE["stored_replace"] = ORACLE["index_replace"]
+
+ORACLE["stored_search"] = f"""
+WITH {_STORED.replace("stored AS (", "kept AS (")},
+{_WHOLE_DOCUMENTS.strip()},
+ranked AS (
+  SELECT query_id, file_path, similarity, content,
+         row_number() OVER (PARTITION BY query_id
+                            ORDER BY similarity DESC NULLS LAST, repo_name, file_path) AS rank
+  FROM scored JOIN kept ON doc_id = scored.id
+)
+SELECT query_id, rank::INT AS rank, file_path, round(similarity, 6) AS similarity,
+       md5(content) AS digest
+FROM ranked WHERE rank <= 3
+"""
+
 ORACLE["index_summary"] = """
 SELECT source AS repo_name, count(*) AS chunks,
        (DATE '2024-01-01' + (max(doc_id) // 24)::INT)::DATE AS indexed_on

@@ -14,10 +14,11 @@ from lodeseek.operators.positions import batch_groups
 from lodeseek.operators.topk import cosine_top_k, multi_query_top_k
 from lodeseek.plans import corpus
 from lodeseek.plans.indexing import chunk_files, embed_chunks
-from lodeseek.plans.searching import query_vector, similarity
+from lodeseek.plans.searching import query_vector, search_many, similarity
 from lodeseek.registry import ModelSpec, model_spec
-from lodeseek.schemas import NATURAL_KEY
-from lodeseek.session import load_table, materialize
+from lodeseek.schemas import INDEX_COLUMNS, NATURAL_KEY
+from lodeseek.session import load_table, materialize, new_folder
+from lodeseek.sources.index_store import IndexStore
 from lodeseek.sources.repositories import exclude_repos, indexable, tracked_only
 from lodeseek.sources.responses import parse_responses
 
@@ -147,6 +148,24 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+@registered
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ann_topk` on cells that were stored, loaded, added to and loaded again.
+
+    Queries of an even label but 0 want that label only.
+    """
+    around, in_cells, queries = _label_cells(spark, sf_dir)
+    vectors_, path = in_cells.drop("cell"), new_folder(spark, "cells")
+    around.store(vectors_.filter("vec_id % 2 = 0"), path)
+    cells.Cells.load(spark, path)[0].add(vectors_.filter("vec_id % 2 <> 0"), path)
+    loaded, stored = cells.Cells.load(spark, path)
+    wanted = F.when(F.col("query_id") % 2 == 0, F.col("query_id"))
+    hits = loaded.multi_query_top_k(
+        stored, queries.withColumn("label", wanted), 10, 2, ["vec_id"], filter_columns=["label"]
+    )
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 @registered
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the true ten nearest vectors that two cells hold, per query."""
@@ -505,9 +524,8 @@ def _digested(rows: DataFrame) -> DataFrame:
     )
 
 
-@registered
-def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored; rated ones changed, and all pages added without a name."""
+def _stored_and_changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as index rows; rated ones changed, and all pages without a name."""
     stored = corpus.stored_rows(spark, sf_dir)
     rated = load_table(spark, sf_dir, "labels").select("doc_id")
     later = F.timestamp_seconds(F.lit(1735689600))
@@ -533,8 +551,66 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("html").alias("language"),
         later.alias("indexed_at"),
     )
-    merged = merging.merge_index(stored.drop("doc_id"), changed.unionByName(pages))
-    return _digested(merged)
+    return stored.drop("doc_id"), changed.unionByName(pages)
+
+
+@registered
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored; rated ones changed, and all pages added without a name."""
+    return _digested(merging.merge_index(*_stored_and_changed(spark, sf_dir)))
+
+
+def _new_store(spark: SparkSession) -> IndexStore:
+    """A store of its own for one run, below the shared folder."""
+    return IndexStore(spark, new_folder(spark, "store"), buckets=4)
+
+
+def _with_vectors(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
+        {"embedding": F.array(F.lit(1.0).cast("float")), "model": F.lit("one")}
+    ).select(*INDEX_COLUMNS)
+
+
+@registered
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`index_upsert` through a store on disk, read again."""
+    store = _new_store(spark)
+    stored, changed = _stored_and_changed(spark, sf_dir)
+    store.upsert(_with_vectors(stored))
+    store.upsert(_with_vectors(changed))
+    return _digested(store.read("one"))
+
+
+@registered
+def stored_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`index_replace` through a store on disk, read again."""
+    store = _new_store(spark)
+    stored = corpus.stored_rows(spark, sf_dir)
+    rated = load_table(spark, sf_dir, "labels").select("doc_id")
+    store.upsert(_with_vectors(stored))
+    new = stored.filter("repo_name = 'src3'").join(rated, "doc_id", "left_semi")
+    repos = spark.createDataFrame([("src3",), ("src7",)], "repo_name string")
+    changed = new.withColumn("content", F.concat(F.lit("v2: "), "content"))
+    store.replace(_with_vectors(changed), repos, "one")
+    return _digested(store.read("one"))
+
+
+@registered
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three nearest documents of a stored index for every benchmark text, with contents."""
+    store = _new_store(spark)
+    rows = corpus.stored_rows(spark, sf_dir)
+    vectors_ = rows.withColumns(
+        {"embedding": inference.embed(F.col("content"), "minilm"), "model": F.lit("minilm")}
+    )
+    store.upsert(vectors_.select(*INDEX_COLUMNS))
+    queries = load_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text"
+    )
+    hits = search_many(store, queries, 3, "minilm")
+    return hits.select(
+        "query_id", "rank", "file_path", _rounded("similarity"), F.md5("content").alias("digest")
+    )
 
 
 @registered

@@ -75,12 +75,19 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="lodeseek-")
 
 
-# Folders written by `materialize`, until they are released.
+# Folders in the shared folder that are in use, until they are released.
 _stored: list[str] = []
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path of a folder of its own in the shared folder, until `release_stored`."""
+    path = f"{shared_dir(spark)}/lodeseek/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
 def release_stored(spark: SparkSession) -> int:
-    """Delete what `materialize` has written so far; returns the number of folders.
+    """Delete all folders given out so far; returns their number.
 
     To be called when the results that were built on it have been consumed.
     """
@@ -105,8 +112,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     stays until `release_stored`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeseek/{label}-{uuid.uuid4().hex}"
-    _stored.append(path)
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 

@@ -73,12 +73,13 @@ class IndexStore:
         # What the repositories had before in buckets they have no rows for now.
         written = rows.select(*INDEX_PARTITIONS).distinct()
         left = self._restrict(places, rows.select("model", "repo_name").distinct())
-        self._empty(left.join(written, INDEX_PARTITIONS, "left_anti"))
+        gone = left.join(written, INDEX_PARTITIONS, "left_anti")
         if repos is not None:
             named = self._restrict(places, repos.select("repo_name").distinct())
             if model:
                 named = named.filter(F.col("model") == model)
-            self._empty(named.join(written, INDEX_PARTITIONS, "left_anti"))
+            gone = gone.unionByName(named.join(written, INDEX_PARTITIONS, "left_anti"))
+        self._empty(gone)
 
     def clear(self, repo: str, model: str | None = None) -> None:
         """Remove a repository's rows (of the given model, else of all)."""
@@ -147,7 +148,8 @@ class IndexStore:
 
     def _empty(self, places: DataFrame) -> None:
         """Delete the partitions at ``places``: one directory each, without a job for each."""
-        for found in places.select("folder").distinct().toLocalIterator():
+        # All are known before the first goes: the scan that finds them reads their files.
+        for found in places.select("folder").distinct().collect():
             delete_path(self.spark, unquote(found.folder))
 
     def _overwrite(self, rows: DataFrame) -> None:
