@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.joins import counted_side
 from lodeseek.session import load_table, materialize
 
 PREFIX_CHARS = 64
-# A set of surviving groups up to this many rows (24 bytes each) goes to the tasks.
-BROADCAST_GROUPS = 500_000
 
 _DELETED = " \t\n\x0b\x0c\r"
 
@@ -57,9 +56,7 @@ def exact_groups(
     narrow = materialize(rows.drop("__norm"), "exact-keys")
     lengths = _repeated(narrow, ["__len"])
     survivors = narrow.join(lengths, ["__len"], "left_semi")
-    groups = materialize(_repeated(survivors, keys), "exact-groups")
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
+    groups = counted_side(materialize(_repeated(survivors, keys), "exact-groups"))
     hashed = rows.join(groups, keys, "left_semi").select(
         "__id", "text_md5", "n_chars", F.sha2("__norm", 256).alias("group_hash"), *carry
     )
@@ -129,13 +126,15 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     by_row = decided.groupBy(id_col, "text_md5").agg(
         F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")
     )
-    special = materialize(by_row.filter("NOT __kept OR __rows > 1"), "exact-special").select(
+    special = by_row.filter("NOT __kept OR __rows > 1").select(
         F.col(id_col).alias("__id"), F.col("text_md5").alias("__md5"), "__kept"
     )
+    special = materialize(special, "exact-special")
     tagged = df.withColumn("__text_md5", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_md5") == F.col("__md5"))
-    plain = tagged.join(special, same, "left_anti")
-    one_of_many = tagged.join(special.filter("__kept"), same, "left_semi").dropDuplicates(
+    plain = tagged.join(counted_side(special), same, "left_anti")
+    repeated = materialize(special.filter("__kept"), "exact-repeated")
+    one_of_many = tagged.join(counted_side(repeated), same, "left_semi").dropDuplicates(
         [id_col, "__text_md5"]
     )
     return plain.unionByName(one_of_many).drop("__text_md5")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.components import components
+from lodeseek.llm.joins import counted_side
 from lodeseek.llm.text import bytes_of, in_parts, lowered, word_runs
 from lodeseek.session import load_table, materialize
 
@@ -191,8 +192,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     tagged = df.withColumn("__text_md5", digest)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_md5") == F.col("__md5"))
-    plain = tagged.join(special, same, "left_anti")
-    first = tagged.join(special.filter("__kept"), same, "left_semi").dropDuplicates(
+    plain = tagged.join(counted_side(special), same, "left_anti")
+    stays = materialize(special.filter("__kept"), "near-stays")
+    first = tagged.join(counted_side(stays), same, "left_semi").dropDuplicates(
         [id_col, "__text_md5"]
     )
     return plain.unionByName(first).drop("__text_md5")
