@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Bytes of text that are looked at together; bounds the arrays of one step.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 
 # White space between words, by the contracts of the operators.
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
