@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseek.llm.joins import counted_side
 from lodeseek.llm.text import MULTIPLY_1, bytes_of, hash_runs, in_parts, lowered, mixed, ragged_ranges
 from lodeseek.session import load_table, materialize
 
@@ -214,8 +215,7 @@ def contaminated_texts(
     found = texts.mapInArrow(
         work, "text_md5 string, at long, hash long, fillers array<long>"
     ).dropDuplicates(["text_md5", "at", "hash"])
-    if bench.count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
+    bench = counted_side(bench, BROADCAST_WINDOWS)
     pairs = F.arrays_zip(F.col("item_fillers").alias("i"), F.col("fillers").alias("d"))
     aligned = (
         found.join(bench, "hash")
@@ -247,9 +247,9 @@ def contaminated_texts(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text holds no benchmark item, with all columns."""
     held = contaminated_texts(docs, benchmark, text_col).select("text_md5").distinct()
-    held = materialize(held, "contaminated").select(F.col("text_md5").alias("__held"))
+    held = materialize(held.select(F.col("text_md5").alias("__held")), "contaminated")
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(held, digest == F.col("__held"), "left_anti")
+    return docs.join(counted_side(held), digest == F.col("__held"), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
