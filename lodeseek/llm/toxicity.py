@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseek.llm.sampling import sampled_ids
 from lodeseek.llm.text import (
     bytes_of,
     crc_class,
@@ -23,8 +24,10 @@ from lodeseek.session import load_table, materialize
 
 # The labelled rows that are learnt from, at most; chosen by a hash of their id.
 MOST_EXAMPLES = 20_000
-# Terms that tell labels apart: chi-squared of at least LEAST_CHI, the MOST_TERMS best.
-MOST_TERMS, LEAST_CHI = 4096, 40.0
+# Terms that tell labels apart: chi-squared of at least LEAST_CHI, and toxic examples
+# LEAST_LIFT times as frequent among those that hold the term as among all (frequent words
+# pass the first test already because toxic texts are a little longer); the MOST_TERMS best.
+MOST_TERMS, LEAST_CHI, LEAST_LIFT = 4096, 40.0, 3.0
 PREFIX_BYTES = (4, 5, 6)
 NEIGHBOURS, SHARPNESS, PRIOR_WEIGHT = 12, 8.0, 0.5
 THRESHOLD = 0.3
@@ -173,14 +176,15 @@ def examples(
 
     Labels without id or value are left out; an id labelled twice is toxic if one says so.
     """
+    usable = labels.filter(learn & F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
+    # At most ``most`` rows of one and of two numbers.
+    ids = F.broadcast(sampled_ids(usable, id_col, most))
     chosen = (
-        labels.filter(learn & F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
-        .groupBy(F.col(id_col).alias("__id"))
+        usable.select(F.col(id_col).alias("__id"), "toxic")
+        .join(ids, "__id")
+        .groupBy("__id")
         .agg(F.max("toxic").cast("int").alias("__toxic"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(most)
     )
-    # At most ``most`` rows of two numbers.
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(
         F.broadcast(chosen), "__id"
     )
@@ -220,11 +224,13 @@ def select_terms(stored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     )
+    # Where labels are even, three times the rate is more than all.
+    least = min(LEAST_LIFT * rate, (1 + rate) / 2)
     apart = F.col("t") - F.col("n") * rate
     chi = apart * apart / (F.col("n") * rate * (1 - rate)) * rows / (rows - F.col("n") + 1)
     best = (
         counted.withColumn("chi", chi)
-        .filter((F.col("chi") >= LEAST_CHI) & (apart > 0))
+        .filter((F.col("chi") >= LEAST_CHI) & (F.col("t") >= least * F.col("n")))
         .orderBy(F.desc("chi"), "term")
         .limit(MOST_TERMS)
         .collect()

@@ -13,6 +13,7 @@ from lodeseek.llm import lm_scoring
 from lodeseek.llm.elias_fano import EliasFano, MappedFile, NgramTrie, quantised, restored
 from lodeseek.llm.language_id import identify, language_profiles, letter_tables, ngram_counts
 from lodeseek.llm.lm_scoring import STRENGTH, score_texts
+from lodeseek.llm.sampling import sampled_ids
 from lodeseek.llm.text import crc_class, hash_runs
 from lodeseek.llm.toxicity import BlockMaxIndex, drop_toxic, fit, score_toxicity
 
@@ -228,3 +229,12 @@ def test_toxic_documents_go(spark, tmp_path):
     ids = {r.doc_id for r in kept.collect()}
     assert len([i for i in range(900) if i % 6 and i not in ids]) < 15
     assert len([i for i in ids if i % 6 == 0]) < 5
+
+
+def test_samples_are_bounded_and_stable(spark):
+    frame = spark.range(20_000).withColumn("id", F.when(F.col("id") % 5 > 0, F.col("id") % 9000))
+    first = [r[0] for r in sampled_ids(frame, "id", 300).collect()]
+    assert len(first) == len(set(first)) == 300 and None not in first
+    assert set(first) == {r[0] for r in sampled_ids(frame.repartition(7), "id", 300).collect()}
+    assert sampled_ids(frame, "id", 10**6).count() == 7200
+    assert sampled_ids(frame.limit(0), "id", 5).count() == 0
