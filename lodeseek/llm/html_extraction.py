@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseek.llm.html_blocks import Block, blocks_of
+from lodeseek.llm.sampling import sampled_ids
 from lodeseek.llm.text import bytes_of, hash_runs, lowered, word_runs
 from lodeseek.session import load_table
 
@@ -396,10 +397,17 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
 
 
 def training_pages(pages: DataFrame, id_col: str, html_col: str, most: int = MOST_PAGES) -> list[str]:
-    """The pages with the ``most`` smallest hashes of id, of at most LONGEST_PAGE bytes."""
-    short = pages.filter(F.octet_length(html_col) <= LONGEST_PAGE)
-    chosen = short.orderBy(F.xxhash64(id_col), html_col).limit(most).select(html_col)
-    return [r[0] for r in chosen.collect()]
+    """Pages of a sample of ``most`` ids, of at most LONGEST_PAGE bytes.
+
+    Only ids are ordered; the pages themselves, at most ``most``, come by a join. Of pages
+    with one id the first by digest counts.
+    """
+    short = pages.filter(F.octet_length(html_col) <= LONGEST_PAGE).select(
+        F.col(id_col).alias("__id"), F.col(html_col).alias("__page")
+    )
+    chosen = short.join(F.broadcast(sampled_ids(short, "__id", most)), "__id")
+    one_each = chosen.groupBy("__id").agg(F.min(F.struct(F.md5("__page").alias("d"), "__page")).alias("p"))
+    return [r[0] for r in one_each.orderBy("__id").select("p.__page").collect()]
 
 
 def extract_main_text(df: DataFrame, model: Labeller, html_col: str = "html") -> DataFrame:
