@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseek.llm.sampling import sampled_ids
 from lodeseek.llm.text import bytes_of, hash_runs, in_parts, lowered, word_runs
 from lodeseek.session import load_table
 
@@ -253,13 +254,7 @@ def training_windows(
     The sample is the ``most_documents`` smallest hashes of non-NULL ids. The base spans are
     the labels; shape and surroundings are what the field takes from them.
     """
-    chosen = (
-        docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"))
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(most_documents)
-        .distinct()
-    )
+    chosen = sampled_ids(docs, id_col, most_documents)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(
         F.broadcast(chosen), "__id"
     )
