@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,11 @@ WINDOW, SHORTEST = 8, 4
 LITERAL_SHARE = 0.5
 # A text holds an item when it holds this share of the item's windows.
 THRESHOLD = 0.5
+# A passage of so many tokens is a leak, whatever share of a long item it is.
+RUN = 50
+# How items and texts are read: as templates; as templates in which capitalised words that
+# open a sentence are names too; and word by word, without placeholders.
+TEMPLATE, OPENERS, RAW = 0, 1, 2
 # The window filter that goes to all tasks has so many bits, whatever the benchmark's size.
 FILTER_BITS = 22
 # Benchmarks up to this many windows are sent to the tasks that join.
@@ -52,12 +57,49 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = _hash_words(UNITS)
 
 
-def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+# Scripts written without spaces, and punctuation beyond ASCII, as ranges of code points.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+)
+_MARKS = ((0x2000, 0x206F), (0x3000, 0x303F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _within(codes: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    return np.any([(codes >= low) & (codes <= high) for low, high in ranges], axis=0)
+
+
+def _split_scripts(data: np.ndarray, kind: np.ndarray, change: np.ndarray) -> None:
+    """Characters of unspaced scripts become tokens of their own, punctuation becomes none."""
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    # Of U+0080 to U+00BF only the two ordinal signs and the micro sign are letters.
+    two = two[~np.isin(data[two + 1], (0xAA, 0xB5, 0xBA))]
+    three = np.flatnonzero(data[:-2] >> 4 == 0xE)
+    wide = data[three].astype(np.int64)
+    codes = (wide & 15) << 12 | (data[three + 1].astype(np.int64) & 63) << 6 | (data[three + 2] & 63)
+    marks = three[_within(codes, _MARKS)]
+    for at, size in ((two, 2), (marks, 3)):
+        for k in range(size):
+            kind[at + k] = 0
+    alone = three[_within(codes, _UNSPACED)]
+    # Ideographs beyond the first plane: U+20000 and up.
+    four = np.flatnonzero((data[:-3] == 0xF0) & (data[1:-2] >= 0xA0))
+    for at, size in ((alone, 3), (four, 4)):
+        change[at] = True
+        change[at + size] = True
+
+
+def templates(
+    column: pa.Array, form: int = TEMPLATE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: row, template symbol, and filler (0 for a plain word).
 
     Tokens are numbers (with inner points and commas) and runs of letters. A number is a
     number placeholder; a unit word after a number is a unit; a word with a capital that
     does not begin a sentence is a name; other words stand for themselves in lower case.
+    In the form OPENERS such a word at the beginning of a sentence is a name too, and in the
+    form RAW every token stands for itself; in both, characters of scripts without spaces
+    are tokens, and punctuation beyond ASCII separates.
     """
     data, offsets = bytes_of(column)
     kind = _CLASS[data]
@@ -68,7 +110,13 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts_row = np.zeros(len(data) + 1, dtype=bool)
     starts_row[offsets[:-1]] = True
     change = np.ones(len(data) + 1, dtype=bool)
-    change[1:-1] = kind[1:] != kind[:-1]
+    if form != TEMPLATE and len(data) > 3:
+        change[:] = False
+        _split_scripts(data, kind, change)
+        change[[0, -1]] = True
+        change[1:-1] |= kind[1:] != kind[:-1]
+    else:
+        change[1:-1] = kind[1:] != kind[:-1]
     change |= starts_row
     edges = np.flatnonzero(change)
     starts, ends = edges[:-1], edges[1:]
@@ -77,6 +125,8 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.searchsorted(offsets, starts, "right") - 1
     small = lowered(data)
     hashes = hash_runs(small, starts, ends)
+    if form == RAW:
+        return rows, hashes, np.zeros(len(hashes), dtype=np.uint64)
     number = kind[starts] == _DIGIT
     first = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)] if len(data) else first
@@ -90,14 +140,21 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
     at = np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)
     unit = after_number & ~number & (_UNIT_HASHES[at] == hashes)
-    name = capital & ~opens & ~unit & ~number
+    name = capital & ~unit & ~number
+    if form == TEMPLATE:
+        name &= ~opens
     symbol = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, hashes)))
     filler = np.where(number | unit | name, hashes, np.uint64(0))
     return rows, symbol, filler
 
 
-def windows(rows: np.ndarray, symbol: np.ndarray, filler: np.ndarray, size: int):
-    """Starts and hashes of all windows of ``size`` symbols that have enough plain words."""
+def windows(
+    rows: np.ndarray, symbol: np.ndarray, filler: np.ndarray, size: int, form: int = TEMPLATE
+):
+    """Starts and hashes of all windows of ``size`` symbols that have enough plain words.
+
+    In the form RAW all words are plain. Windows of different forms have different hashes.
+    """
     n = len(rows) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -108,18 +165,22 @@ def windows(rows: np.ndarray, symbol: np.ndarray, filler: np.ndarray, size: int)
     plain = np.concatenate([[0], np.cumsum(filler == 0)])
     good = (rows[:n] == rows[size - 1 :]) & (plain[size:] - plain[:n] >= size * LITERAL_SHARE)
     at = np.flatnonzero(good)
-    return at, mixed(total[at])
+    return at, mixed(total[at] + np.uint64(form))
 
 
 def _lists(values: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
     """Fillers of each window as a list column."""
     flat = values[ragged_ranges(at, np.full(len(at), size, dtype=np.int64))]
-    ends = np.arange(0, (len(at) + 1) * size, size, dtype=np.int32)
+    ends = np.arange(len(at) + 1, dtype=np.int32) * size
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, place, hash, fillers, size, windows) of every item's windows.
+def benchmark_windows(
+    items: DataFrame, id_col: str, text_col: str, forms: tuple[int, ...] = (TEMPLATE,)
+) -> DataFrame:
+    """(item, place, hash, fillers, size, windows, form, whole) of every item's windows.
+
+    ``windows`` counts those of the form, ``whole`` all that the item's tokens make.
 
     An item of fewer than WINDOW tokens is one window of its own length; below SHORTEST
     tokens, or without a window of enough plain words, an item cannot be told from chance
@@ -130,30 +191,33 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
         schema = schema.add(name, kind)
     schema = schema.add("item_fillers", T.ArrayType(T.LongType())).add("size", "integer").add(
         "windows", "long"
-    )
+    ).add("form", "integer").add("whole", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("__id")
-            rows, symbol, filler = templates(batch.column("__text"))
-            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                size = min(WINDOW, b - a)
-                if size < SHORTEST:
-                    continue
-                at, hashes = windows(rows[a:b], symbol[a:b], filler[a:b], size)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i].as_py()] * n, ids.type),
-                        pa.array(at),
-                        pa.array(hashes.view(np.int64)),
-                        _lists(filler[a:b], at, size),
-                        pa.array(np.full(n, size, dtype=np.int32)),
-                        pa.array(np.full(n, n, dtype=np.int64)),
-                    ],
-                    names=schema.names,
-                )
+            for form in forms:
+                rows, symbol, filler = templates(batch.column("__text"), form)
+                cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                    size = min(WINDOW, b - a)
+                    if size < SHORTEST:
+                        continue
+                    at, hashes = windows(rows[a:b], symbol[a:b], filler[a:b], size, form)
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[i].as_py()] * n, ids.type),
+                            pa.array(at),
+                            pa.array(hashes.view(np.int64)),
+                            _lists(filler[a:b], at, size if form != RAW else 0),
+                            pa.array(np.full(n, size, dtype=np.int32)),
+                            pa.array(np.full(n, n, dtype=np.int64)),
+                            pa.array(np.full(n, form, dtype=np.int32)),
+                            pa.array(np.full(n, b - a - size + 1, dtype=np.int64)),
+                        ],
+                        names=schema.names,
+                    )
 
     named = items.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     return materialize(
@@ -161,25 +225,17 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
     )
 
 
-def contaminated_texts(
+def _alignments(
     docs: DataFrame,
     benchmark: DataFrame,
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
+    text_col: str,
+    item_id: str,
+    item_text: str,
+    forms: tuple[int, ...],
 ) -> DataFrame:
-    """(``text_md5``, ``item``, ``share``, ``reparameterised``) of texts that hold an item.
-
-    Whole texts and items become templates; windows of them meet in a hash join. A filter
-    of fixed size, made of the benchmark's hashes, lets only possible matches leave the
-    scan, so nearly all windows stay where they are read. Matches of a text and an item at
-    one distance form an alignment; it counts if every filler of the item stands for one
-    filler of the text throughout, the same or another. A text holds an item when the
-    counting alignments cover THRESHOLD of its windows; ``reparameterised`` tells that
-    fillers differ. Equal texts give one result. Texts that are NULL, empty or shorter
-    than a window hold nothing.
-    """
-    bench = benchmark_windows(benchmark, item_id, item_text)
+    """(``text_md5``, ``item``, ``form``, ``places``, ``windows``, ``whole``, ``size``, ``differs``)
+    of the alignments whose fillers correspond one way, windows met in a hash join."""
+    bench = benchmark_windows(benchmark, item_id, item_text, forms)
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
     mask = (1 << FILTER_BITS) - 1
     # At most 2 ** FILTER_BITS numbers, however large the benchmark is.
@@ -193,21 +249,22 @@ def contaminated_texts(
         open_bits = np.unpackbits(shared.value).astype(bool)
         for whole in batches:
             for batch in in_parts(whole, "__text"):
-                rows, symbol, filler = templates(batch.column("__text"))
-                begin = np.searchsorted(rows, np.arange(batch.num_rows))
-                for size in sizes:
-                    at, hashes = windows(rows, symbol, filler, size)
-                    near = open_bits[(hashes & np.uint64(mask)).astype(np.int64)]
-                    at, hashes = at[near], hashes[near]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("__md5").take(pa.array(rows[at])),
-                            pa.array(at - begin[rows[at]]),
-                            pa.array(hashes.view(np.int64)),
-                            _lists(filler, at, size),
-                        ],
-                        names=["text_md5", "at", "hash", "fillers"],
-                    )
+                for form in forms:
+                    rows, symbol, filler = templates(batch.column("__text"), form)
+                    begin = np.searchsorted(rows, np.arange(batch.num_rows))
+                    for size in sizes:
+                        at, hashes = windows(rows, symbol, filler, size, form)
+                        near = open_bits[(hashes & np.uint64(mask)).astype(np.int64)]
+                        at, hashes = at[near], hashes[near]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column("__md5").take(pa.array(rows[at])),
+                                pa.array(at - begin[rows[at]]),
+                                pa.array(hashes.view(np.int64)),
+                                _lists(filler, at, size if form != RAW else 0),
+                            ],
+                            names=["text_md5", "at", "hash", "fillers"],
+                        )
 
     texts = docs.select(
         F.coalesce(F.col(text_col), F.lit("")).alias("__text")
@@ -220,19 +277,41 @@ def contaminated_texts(
     aligned = (
         found.join(bench, "hash")
         .withColumn("shift", F.col("at") - F.col("place"))
-        .groupBy("text_md5", "item", "shift")
+        .groupBy("text_md5", "item", "form", "shift")
         .agg(
             F.collect_set("place").alias("places"),
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
             F.max("windows").alias("windows"),
+            F.max("whole").alias("whole"),
+            F.max("size").alias("size"),
         )
     )
     slot = F.array_distinct(F.transform("slots", lambda p: p["i"]))
     differs = F.exists("slots", lambda p: p["i"] != p["d"])
+    return aligned.filter(F.size(slot) == F.size("slots")).withColumn("differs", differs)
+
+
+def contaminated_texts(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """(``text_md5``, ``item``, ``share``, ``reparameterised``) of texts that hold an item.
+
+    Whole texts and items become templates; windows of them meet in a hash join. A filter
+    of fixed size, made of the benchmark's hashes, lets only possible matches leave the
+    scan, so nearly all windows stay where they are read. Matches of a text and an item at
+    one distance form an alignment; it counts if every filler of the item stands for one
+    filler of the text throughout, the same or another. A text holds an item when the
+    counting alignments cover THRESHOLD of its windows; ``reparameterised`` tells that
+    fillers differ. Equal texts give one result. Texts that are NULL, empty or shorter
+    than a window hold nothing.
+    """
+    aligned = _alignments(docs, benchmark, text_col, item_id, item_text, (TEMPLATE,))
     return (
-        aligned.filter(F.size(slot) == F.size("slots"))
-        .withColumn("differs", differs)
-        .groupBy("text_md5", "item")
+        aligned.groupBy("text_md5", "item")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hit"),
             F.max("windows").alias("windows"),
@@ -244,9 +323,71 @@ def contaminated_texts(
     )
 
 
+def held_items(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """(``text_md5``, ``item``, ``share``, ``reparameterised``) of texts that hold an item in any form.
+
+    Beside what `contaminated_texts` finds, capitalised words that open a sentence may be
+    names that were replaced; and windows of equal words count without placeholders,
+    whatever they are made of and however other windows were changed. A text also holds an
+    item when it has RUN tokens of it one after another, though ``share`` be less.
+    ``reparameterised`` tells that fillers differ where the words alone are not enough.
+    """
+    aligned = _alignments(docs, benchmark, text_col, item_id, item_text, (TEMPLATE, OPENERS))
+    # In a run, place less index is constant, so it is equal RUN windows apart.
+    long = F.greatest(F.lit(RUN) - F.col("size"), F.lit(0))
+    steps = F.transform(F.sort_array("places"), lambda p, i: p - i)
+    run = (F.col("form") != TEMPLATE) & (F.size("places") > long) & (F.col("size") == WINDOW)
+    run = run & F.exists(
+        F.arrays_zip(steps.alias("s"), F.slice(steps, long + 1, F.size("places")).alias("e")),
+        lambda p: p["s"] == p["e"],
+    )
+
+    def of(form: int, column: str) -> Column:
+        return F.when(F.col("form") == form, F.col(column))
+
+    def places(form: int) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(of(form, "places"))))
+
+    def part(hits: Column, total: str) -> Column:
+        return F.coalesce(F.size(hits) / F.col(total), F.lit(0.0))
+
+    both = F.array_union("p1", "p2")
+    return (
+        aligned.withColumn("run", run)
+        .groupBy("text_md5", "item")
+        .agg(
+            *[places(f).alias(f"p{f}") for f in (TEMPLATE, OPENERS, RAW)],
+            *[F.max(of(f, "windows")).alias(f"w{f}") for f in (TEMPLATE, OPENERS, RAW)],
+            *[F.coalesce(F.max(of(f, "differs")), F.lit(False)).alias(f"d{f}") for f in (TEMPLATE, OPENERS)],
+            F.coalesce(F.max(of(RAW, "run")), F.lit(False)).alias("raw_run"),
+            F.max("run").alias("run"),
+            F.max(F.when(F.col("form") != TEMPLATE, F.col("whole"))).alias("whole"),
+        )
+        .withColumn("as_template", part(F.col("p0"), "w0"))
+        .withColumn("as_words", part(F.col("p2"), "w2"))
+        .withColumn("share", F.greatest("as_template", "as_words", part(F.col("p1"), "w1"), part(both, "whole")))
+        .filter((F.col("share") >= THRESHOLD) | F.col("run"))
+        .select(
+            "text_md5",
+            "item",
+            "share",
+            F.when(F.col("as_template") >= THRESHOLD, F.col("d0"))
+            .when((F.col("as_words") >= THRESHOLD) | F.col("raw_run"), F.lit(False))
+            .otherwise(F.col("d0") | F.col("d1"))
+            .alias("reparameterised"),
+        )
+    )
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose text holds no benchmark item, with all columns."""
-    held = contaminated_texts(docs, benchmark, text_col).select("text_md5").distinct()
+    held = held_items(docs, benchmark, text_col).select("text_md5").distinct()
     held = materialize(held.select(F.col("text_md5").alias("__held")), "contaminated")
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     return docs.join(counted_side(held), digest == F.col("__held"), "left_anti")
@@ -255,7 +396,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document whether it holds benchmark items, and which."""
     docs = load_table(spark, sf_dir, "documents")
-    found = contaminated_texts(docs, load_table(spark, sf_dir, "benchmark"))
+    found = held_items(docs, load_table(spark, sf_dir, "benchmark"))
     per_text = materialize(
         found.groupBy("text_md5").agg(
             F.sort_array(F.collect_set("item")).alias("item_ids"),

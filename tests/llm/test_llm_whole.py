@@ -1,11 +1,13 @@
 """Whole results that a shortened operator would miss."""
 
+import hashlib
 import itertools
 import random
 
 from llm_data import no_docs, odd_docs, odd_rows, prose
 
 import corpus_pipeline
+from lodeseek.llm.decontamination import drop_contaminated, held_items
 from lodeseek.llm.simhash import similar_groups
 from lodeseek.session import load_table
 
@@ -63,3 +65,25 @@ def test_near_dedup_stage_drops_near_copies_of_many_bits(spark):
     for r, root in zip(rows, brute_similar([r.text for r in rows])):
         least.setdefault(root, r.doc_id)
     assert sorted(r.doc_id for r in stage(spark, docs, SMALL).collect()) == sorted(least.values())
+
+
+def held(spark, items, rows):
+    """Which texts hold which items; also checks the stage's drop on the same tables."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    digests = {hashlib.md5(t.encode()).hexdigest(): n for n, t in enumerate(rows)}
+    found = {(digests[r.text_md5], r.item): r.reparameterised for r in held_items(docs, bench).collect()}
+    left = {r.doc_id for r in drop_contaminated(docs, bench).collect()}
+    assert left == set(range(len(rows))) - {text for text, _ in found}
+    return found
+
+
+def test_names_that_open_sentences_are_placeholders(spark):
+    items = ["Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"]
+    rows = [
+        "Anna has 7 apples. Anna buys 2 more apples. How many apples does Anna have now?",
+        f"{prose(1, 30)}. {items[0]} {prose(2, 30)}",
+        # The name does not stay the same throughout.
+        "Anna has 7 apples. Eve buys 2 more apples. How many apples does Mia have now?",
+    ]
+    assert held(spark, items, rows) == {(0, 0): True, (1, 0): False}
