@@ -338,7 +338,7 @@ def held_items(
     item when it has RUN tokens of it one after another, though ``share`` be less.
     ``reparameterised`` tells that fillers differ where the words alone are not enough.
     """
-    aligned = _alignments(docs, benchmark, text_col, item_id, item_text, (TEMPLATE, OPENERS))
+    aligned = _alignments(docs, benchmark, text_col, item_id, item_text, (TEMPLATE, OPENERS, RAW))
     # In a run, place less index is constant, so it is equal RUN windows apart.
     long = F.greatest(F.lit(RUN) - F.col("size"), F.lit(0))
     steps = F.transform(F.sort_array("places"), lambda p, i: p - i)

@@ -87,3 +87,24 @@ def test_names_that_open_sentences_are_placeholders(spark):
         "Anna has 7 apples. Eve buys 2 more apples. How many apples does Mia have now?",
     ]
     assert held(spark, items, rows) == {(0, 0): True, (1, 0): False}
+
+
+def test_verbatim_copies_are_never_exempt(spark):
+    long = prose(31, 400)
+    items = [
+        "12 + 7 - 3 + 9 - 4 + 8 equals what?",
+        "小明有五个苹果，他又买了三个苹果，现在一共有多少个苹果？",
+        "A train leaves Paris with 40 passengers and 12 km later 40 passengers meet 7 others on board near Lyon.",
+        long,
+    ]
+    passage = " ".join(long.split()[100:200])
+    rows = [
+        f"{prose(32, 20)}. {items[0]}",
+        f"他说：{items[1]}谢谢。",
+        # One of two equal numbers is changed; the words around it stay.
+        items[2].replace("40", "51", 1),
+        f"{prose(33, 900)}. {passage}. {prose(34, 900)}",
+        f"{prose(35, 900)}. {' '.join(long.split()[100:115])}. {prose(36, 900)}",
+        "小明有两只猫，他的妹妹没有猫，现在家里一共有多少只猫？",
+    ]
+    assert held(spark, items, rows) == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False}
