@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseek.session import load_table
+from lodeseek.session import load_table, materialize
 
 # What one task holds of one bucket, about.
 BUCKET_BYTES = 32 << 20
@@ -22,6 +22,42 @@ def row_bytes(text_col: str) -> Column:
     return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def _scattered_repeats(df: DataFrame, key: Column, text_col: str, seed: int, bucket_bytes: int) -> DataFrame:
+    """``df`` with ``__key``: ``key``, but of a row repeated very often another one for each copy.
+
+    Equal rows are interchangeable, so they are counted before the shuffle and numbered
+    anew; key and number together scatter them. A row counts as repeated very often when
+    the rows of its key exceed an eighth of a bucket; there are at most eight such keys per
+    bucket. No task takes more copies than that eighth at a time.
+    """
+    keyed = df.withColumn("__key", key)
+    most = max(1, bucket_bytes // 8)
+    often = materialize(
+        keyed.groupBy("__key")
+        .agg(F.count(F.lit(1)).alias("__count"), F.sum(row_bytes(text_col)).alias("__bytes"))
+        .filter((F.col("__count") > 1) & (F.col("__bytes") > most))
+        .select("__key"),
+        "repeated-rows",
+    )
+    if not often.take(1):
+        return keyed
+    # Rows that only share the key are told apart here.
+    counted = keyed.join(F.broadcast(often), "__key", "left_semi").groupBy("__key", *df.columns).agg(
+        F.count(F.lit(1)).alias("__count")
+    )
+    step = F.greatest(F.lit(1), F.lit(most) / row_bytes(text_col)).cast("long")
+    blocks = (
+        counted.withColumn("__step", step)
+        .withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__count") - 1, F.col("__step"))))
+        .withColumn("__to", F.least("__count", F.col("__from") + F.col("__step")) - 1)
+        .repartition("__key", "__from")
+    )
+    copies = blocks.withColumn("__copy", F.explode(F.sequence("__from", "__to")))
+    numbered = copies.withColumn("__key", F.xxhash64("__key", "__copy", F.lit(seed)))
+    rest = keyed.join(F.broadcast(often), "__key", "left_anti")
+    return rest.unionByName(numbered.select(*rest.columns))
+
+
 def shuffle_into_shards(
     df: DataFrame,
     shards: int,
@@ -31,8 +67,9 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """Every row of ``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (from 0 in its shard).
 
-    Pass one scatters rows over buckets by a seeded hash of all their columns, so that no
-    source, key or group of copies gathers in a bucket; there are as many buckets as keep
+    Pass one scatters rows over buckets by a seeded hash of all their columns, and of a
+    number of the copy where equal rows are very many, so that no source, key or group of
+    copies gathers in a bucket; there are as many buckets as keep
     one within ``bucket_bytes``. Pass two takes each bucket in one task, puts it in a fixed
     order and permutes it by Fisher-Yates under a seed of its own. The buckets one after
     another are a random permutation of the table; it is cut into ``shards`` stretches
@@ -40,15 +77,14 @@ def shuffle_into_shards(
     same rows at the same places.
 
     The driver sees one count per bucket. Rows with NULL anywhere are rows like others; of
-    an empty table nothing is returned. Repeated rows are interchangeable and share a
-    bucket. Columns of ``df`` named ``shard`` or ``slot`` are replaced.
+    an empty table nothing is returned. Repeated rows are interchangeable. Columns of ``df`` named ``shard`` or ``slot`` are replaced.
     """
     df = df.drop("shard", "slot")
     hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in hashable])
     total = df.agg(F.sum(row_bytes(text_col))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    keyed = df.withColumn("__key", key).withColumn(
+    keyed = _scattered_repeats(df, key, text_col, seed, bucket_bytes).withColumn(
         "__bucket", F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(buckets)).cast("int")
     )
     counts = np.zeros(buckets, dtype=np.int64)

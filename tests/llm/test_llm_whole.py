@@ -3,11 +3,16 @@
 import hashlib
 import itertools
 import random
+from collections import Counter
 
+import pyarrow as pa
 from llm_data import no_docs, odd_docs, odd_rows, prose
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodeseek.llm.decontamination import drop_contaminated, held_items
+from lodeseek.llm.sharding import shuffle_into_shards
 from lodeseek.llm.simhash import similar_groups
 from lodeseek.session import load_table
 
@@ -108,3 +113,25 @@ def test_verbatim_copies_are_never_exempt(spark):
         "小明有两只猫，他的妹妹没有猫，现在家里一共有多少只猫？",
     ]
     assert held(spark, items, rows) == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False}
+
+
+def test_repeated_rows_scatter_over_all_buckets(spark):
+    rows = [(n, prose(n, 20)) for n in range(2000)] + [(7, prose(7, 20))] * 1000 + [(None, None)] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+    def sizes(batches):
+        batches = list(batches)
+        yield pa.RecordBatch.from_pydict({"n": [sum(b.num_rows for b in batches)]})
+
+    def places(df):
+        return Counter((r.doc_id, r["shard"], r.slot) for r in shuffle_into_shards(df, 9, bucket_bytes=9000).collect())
+
+    once = shuffle_into_shards(frame, 9, bucket_bytes=9000)
+    held = [r.n for r in once.mapInArrow(sizes, "n long").collect()]
+    # Before, one task held all 3,000 equal rows, or all 1,001.
+    assert sum(held) == len(rows) and max(held) < 800
+    first = places(frame)
+    assert first == places(frame.orderBy(F.rand(3)).repartition(11))
+    assert Counter(i for i, _, _ in first.elements()) == Counter(i for i, _ in rows)
+    assert len({(s, t) for _, s, t in first}) == len(rows)
+    assert {s for i, s, _ in first if i == 7} == set(range(9))
