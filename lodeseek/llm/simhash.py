@@ -1,4 +1,4 @@
-"""Near duplicates: SimHash fingerprints with multi-index hashing, and shared shingles."""
+"""Near duplicates: SimHash fingerprints with multi-index hashing."""
 
 from __future__ import annotations
 
@@ -7,20 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodeseek.llm.components import components
 from lodeseek.llm.joins import counted_side
-from lodeseek.llm.text import MULTIPLY_1, bytes_of, hash_runs, in_parts, lowered, mixed, word_runs
+from lodeseek.llm.text import bytes_of, in_parts, lowered, word_runs
 from lodeseek.session import load_table, materialize
 
 WORDS, RADIUS, SEGMENTS = 3, 3, 2
-# Near copies for the pipeline: words of a shingle, and percent of the union that is shared.
-COPY_WORDS, SHARED = 5, 80
-# Keys of a text, and min-hashes of a key.
-BANDS, BAND_ROWS = 20, 4
 # Shingles hashed at a time; bounds the bit table of a very long text.
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -172,179 +167,22 @@ def near_groups(
     return prints.join(named, "fingerprint").select(id_col, "fingerprint", "root", "component_id")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``node``, ``root``) of every row: texts that share SHARED of their shingles are linked.
-
-    Two texts are linked if the sets of their COPY_WORDS-word shingles have a Jaccard
-    similarity of SHARED or more, checked exactly; ``root`` names what links connect, over
-    any number of steps. Equal sets are one ``node``. Candidates share one of BANDS keys of
-    BAND_ROWS min-hashes: a pair of similarity s has none with probability
-    (1 - s ** BAND_ROWS) ** BANDS, 3 in 100,000 at 0.8 and less above. In each bucket all
-    nodes are compared with the least one; then nodes of one bucket that are not connected
-    yet are compared with each other, so that a large group of near copies makes no square
-    of pairs and loses no link.
-    """
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn(
-        "__md5", F.md5(F.coalesce("__text", F.lit("")))
-    )
-    keyed = materialize(_band_keys(texts), "min-hashes")
-    buckets = keyed.select("node", "size", F.explode("keys").alias("key")).distinct()
-    heads = materialize(
-        buckets.groupBy("key")
-        .agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members"))
-        .filter("members > 1"),
-        "heads",
-    )
-    shared = materialize(buckets.join(counted_side(heads), "key"), "buckets")
-    sizes = shared.select(F.col("node").alias("head"), F.col("size").alias("head_size")).distinct()
-    stars = (
-        shared.filter("node <> head").select("head", "node", "size").distinct().join(sizes, "head")
-    )
-    stars = stars.filter(_sizes_allow("size", "head_size")).select(
-        F.col("head").alias("a"), F.col("node").alias("b")
-    )
-    links = _verified(texts, keyed, materialize(stars, "stars-of-buckets"))
-    roots = components(links)
-    placed = shared.filter("members > 2").join(
-        roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left"
-    ).withColumn("root", F.coalesce("root", "node")).drop("n")
-    placed = materialize(placed, "placed")
-    mixed_keys = materialize(
-        placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .filter("lo <> hi").select("key"),
-        "mixed-buckets",
-    )
-    # Pairs with the head have been compared already.
-    open_ = placed.filter("node <> head").join(counted_side(mixed_keys), "key")
-    other = open_.select(
-        "key", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root")
-    )
-    across = (F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))
-    rest = open_.join(other, "key").filter(across & _sizes_allow("size", "b_size"))
-    rest = materialize(rest.select(F.col("node").alias("a"), "b").distinct(), "open-pairs")
-    more = _verified(texts, keyed, rest)
-    roots = components(materialize(links.unionByName(more), "all-links")) if more.take(1) else roots
-    joined = keyed.select(F.col("__id").alias(id_col), "node").join(
-        materialize(roots, "similar-roots"), "node", "left"
-    )
-    return joined.withColumn("root", F.coalesce("root", "node")).select(id_col, "node", "root")
-
-
-def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of every row's runs of ``words`` words.
-
-    Fewer words make one shingle, none make none.
-    """
-    data, offsets = bytes_of(column)
-    data = lowered(data)
-    starts, ends, rows = word_runs(data, offsets)
-    hashes = hash_runs(data, starts, ends)
-
-    def runs(size: int, of: np.ndarray) -> np.ndarray:
-        count = len(of) - size + 1
-        total = np.full(count, size, dtype=np.uint64)
-        for k in range(size):
-            total = (total ^ of[k : k + count]) * MULTIPLY_1
-            total ^= total >> np.uint64(32)
-        return mixed(total)
-
-    whole = runs(words, hashes) if len(hashes) >= words else hashes[:0]
-    bounds = np.searchsorted(rows, np.arange(len(offsets))).tolist()
-    none = np.zeros(0, dtype=np.uint64)
-    return [
-        np.unique(whole[a : b - words + 1]) if b - a >= words else runs(b - a, hashes[a:b]) if b > a else none
-        for a, b in zip(bounds[:-1], bounds[1:])
-    ]
-
-
-def _band_keys(texts: DataFrame) -> DataFrame:
-    """(``__id``, ``__md5``, ``node``, ``size``, ``keys``): digest and size of each text's
-    shingle set, and the keys of its bands."""
-    schema = texts.select("__id", "__md5").schema
-    schema = schema.add("node", "long").add("size", "long").add("keys", T.ArrayType(T.LongType()))
-    factors = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * MULTIPLY_1) | np.uint64(1)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in in_parts(whole, "__text"):
-                sets = shingle_sets(batch.column("__text"), COPY_WORDS)
-                sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                nodes = np.array(
-                    [xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], dtype=np.uint64
-                )
-                full = np.flatnonzero(sizes)
-                keys = np.zeros((len(full), BANDS), dtype=np.uint64)
-                if len(full):
-                    flat = np.concatenate([sets[i] for i in full])
-                    begin = np.cumsum(sizes[full]) - sizes[full]
-                    for n, factor in enumerate(factors):
-                        least = np.minimum.reduceat(flat * factor, begin)
-                        band = keys[:, n // BAND_ROWS]
-                        keys[:, n // BAND_ROWS] = mixed((band ^ mixed(least)) * MULTIPLY_1 + np.uint64(n))
-                ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("__id"),
-                        batch.column("__md5"),
-                        pa.array(nodes.view(np.int64)),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
-                    ],
-                    names=schema.names,
-                )
-
-    return texts.mapInArrow(work, schema)
-
-
-def _sizes_allow(a: str, b: str) -> Column:
-    """Whether sets of these sizes can share SHARED of their union."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * SHARED
-
-
-def _verified(texts: DataFrame, keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those ``pairs`` (``a``, ``b``) of nodes whose whole shingle sets are similar enough, stored."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    # One text of each node stands for all of it.
-    chosen = materialize(
-        keyed.join(wanted.distinct(), "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min("__md5").alias("__of")),
-        "nodes-to-compare",
-    )
-    compared = texts.join(counted_side(chosen), F.col("__md5") == F.col("__of")).select("node", "__text")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in in_parts(whole, "__text"):
-                sets = shingle_sets(batch.column("__text"), COPY_WORDS)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["node", "shingles"],
-                )
-
-    sets = compared.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"])
-    sets = materialize(sets, "shingle-sets")
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    # Shared / (sizes - shared) >= SHARED / 100, in whole numbers.
-    similar = both * (100 + SHARED) >= (F.size("x") + F.size("y")) * SHARED
-    found = pairs.join(one, "a").join(two, "b").filter(similar).select("a", "b")
-    return materialize(found, "similar-pairs")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` with all columns, one of every group of similar texts: the smallest id's.
+def drop_near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """Rows of ``df`` with all columns, one of every component of `near_groups`: the smallest id's.
 
-    Texts are similar by `similar_groups`. Of rows that share the smallest id, the one with the smallest text digest; of rows
+    Of rows that share the smallest id, the one with the smallest text digest; of rows
     repeated with id and text, one. Rows without id are kept only where a group has
     no row with one. Dropped rows, the minority, leave by an anti-join on id and text.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     source = df.select(F.struct(id_col, digest.alias("md5")).alias("__row"), F.col(text_col).alias("__t"))
-    groups = materialize(similar_groups(source, "__row", "__t"), "similar-groups")
+    groups = materialize(near_groups(source, "__row", "__t", words, radius), "near-groups")
     rank = F.struct(F.col(f"__row.{id_col}").isNull().alias("last"), F.col("__row").alias("row"))
     stays = groups.groupBy("root").agg(
         F.min(rank).alias("__stays"), F.count(F.lit(1)).alias("__size")

@@ -1,76 +1,15 @@
 """Whole results that a shortened operator would miss."""
 
 import hashlib
-import itertools
-import random
 from collections import Counter
 
 import pyarrow as pa
-from llm_data import no_docs, odd_docs, odd_rows, prose
+from llm_data import prose
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lodeseek.llm.decontamination import drop_contaminated, held_items
 from lodeseek.llm.sharding import shuffle_into_shards
-from lodeseek.llm.simhash import similar_groups
-from lodeseek.session import load_table
-
-SMALL = "/root/testdata/sf0.001"
-
-
-def shingles(text, words=5):
-    found = (text or "").lower().split()
-    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
-
-
-def brute_similar(texts):
-    """Root of every text: what pairs with 0.8 of their five-word shingles in common connect."""
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        both = len(sets[i] & sets[j])
-        if sets[i] == sets[j] or 9 * both >= 4 * (len(sets[i]) + len(sets[j])) > 0:
-            root = [root[i] if r == root[j] else r for r in root]
-    return root
-
-
-def edited(text, every, seed):
-    rng = random.Random(seed)
-    words = text.split()
-    for at in range(rng.randrange(every), len(words), every):
-        words[at] = f"edit{rng.randrange(10**6)}"
-    return " ".join(words)
-
-
-def partition(pairs):
-    groups = {}
-    for member, root in pairs:
-        groups.setdefault(root, set()).add(member)
-    return sorted(map(sorted, groups.values()))
-
-
-def test_similar_groups_equal_brute_force(spark):
-    texts = [r.text for r in load_table(spark, SMALL, "documents").collect()]
-    texts += [edited(prose(50 + n, 300), every, n * k) for n in range(12) for every in (40, 90) for k in range(3)]
-    # A chain: the ends are linked over steps only, not to each other.
-    texts += [" ".join(prose(99, 400).split()[at : at + 300]) for at in range(0, 100, 12)]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = partition((r.doc_id, r.root) for r in similar_groups(frame).collect())
-    wanted = partition(enumerate(brute_similar(texts)))
-    assert got == wanted and sum(len(g) > 1 for g in wanted) > 10
-    assert similar_groups(odd_docs(spark)).count() == len(odd_rows())
-    assert similar_groups(no_docs(spark)).count() == 0
-
-
-def test_near_dedup_stage_drops_near_copies_of_many_bits(spark):
-    stage = dict(corpus_pipeline.STAGES)["near dedup"]
-    docs = load_table(spark, SMALL, "documents")
-    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
-    least = {}
-    for r, root in zip(rows, brute_similar([r.text for r in rows])):
-        least.setdefault(root, r.doc_id)
-    assert sorted(r.doc_id for r in stage(spark, docs, SMALL).collect()) == sorted(least.values())
-
 
 def held(spark, items, rows):
     """Which texts hold which items; also checks the stage's drop on the same tables."""
