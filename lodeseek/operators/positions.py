@@ -43,6 +43,49 @@ def number_rows(
     )
 
 
+def running(
+    df: DataFrame,
+    order: Sequence[str | Column],
+    by: Sequence[str],
+    totals: dict[str, tuple[str, str | Column]],
+) -> DataFrame:
+    """Add running totals, this row included, in ``order`` within each group of ``by``.
+
+    ``totals`` names each new column with its kind, "sum" or "xor", and what is totalled.
+    ``order`` should end in a unique key, as in `number_rows`. A group may be
+    larger than a task: totals run within the stretches of a range partition, and what came
+    before is added where a group goes on in the next partition. There is one such stretch
+    per partition at most, so these are sent to all tasks.
+    """
+    kinds = {"sum": F.sum, "xor": F.bit_xor}
+    given = df.withColumns(
+        {f"__total_{n}": F.col(of) if isinstance(of, str) else of for n, (_, of) in totals.items()}
+    )
+    stored = _sorted_and_stored(given, [*by, *order])
+    within = Window.partitionBy(*by, _PART).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, 0)
+    local = stored.withColumns(
+        {f"__local_{n}": kinds[kind](f"__total_{n}").over(within) for n, (kind, _) in totals.items()}
+    )
+    stretches = stored.groupBy(*by, _PART).agg(
+        F.lit(1).alias("__one"),
+        *[kinds[kind](f"__total_{n}").alias(f"__total_{n}") for n, (kind, _) in totals.items()],
+    )
+    carried = stretches.select(
+        *by,
+        _PART,
+        F.sum("__one").over(_before(by)).alias("__one"),
+        *[kinds[kind](f"__total_{n}").over(_before(by)).alias(f"__carried_{n}") for n, (kind, _) in totals.items()],
+    ).filter("__one IS NOT NULL").drop("__one")
+    joined = _with_stretch(local, F.broadcast(carried), by, "left")
+
+    def total(name: str, kind: str) -> Column:
+        carry = F.coalesce(F.col(f"__carried_{name}"), F.lit(0))
+        here = F.col(f"__local_{name}")
+        return (here + carry if kind == "sum" else here.bitwiseXOR(carry)).alias(name)
+
+    return joined.select(*df.columns, *[total(n, kind) for n, (kind, _) in totals.items()])
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str]
 ) -> DataFrame:
@@ -106,7 +149,9 @@ def _before(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_stretch(stored: DataFrame, stretches: DataFrame, by: Sequence[str]) -> DataFrame:
+def _with_stretch(
+    stored: DataFrame, stretches: DataFrame, by: Sequence[str], how: str = "inner"
+) -> DataFrame:
     """Stored rows with the columns of the stretch they belong to; groups may be NULL."""
     keys = [*by, _PART]
     renamed = stretches.select(
@@ -114,7 +159,7 @@ def _with_stretch(stored: DataFrame, stretches: DataFrame, by: Sequence[str]) ->
         *[c for c in stretches.columns if c not in keys],
     )
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys])
-    return stored.join(renamed, same).drop(*[f"__of_{c}" for c in keys])
+    return stored.join(renamed, same, how).drop(*[f"__of_{c}" for c in keys])
 
 
 def batch_groups(
