@@ -7,6 +7,7 @@ from lodeseek.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from lodeseek.llm.html_extraction import op7_html_text
 from lodeseek.llm.language_id import op4_language_id
 from lodeseek.llm.lm_scoring import op3_lm_score
+from lodeseek.llm.merkle import OP11_SQL, op11_merkle_manifest
 from lodeseek.llm.packing import op9_harmonic_packing
 from lodeseek.llm.secret_scan import op6_secret_scan
 from lodeseek.llm.sharding import op1_shuffle_shards
@@ -26,7 +27,8 @@ QUERIES = {
         op8_simhash,
         op9_harmonic_packing,
         op10_toxicity,
+        op11_merkle_manifest,
     )
 }
 
-ORACLE = {"op5_exact_dedup": OP5_SQL}
+ORACLE = {"op5_exact_dedup": OP5_SQL, "op11_merkle_manifest": OP11_SQL}
