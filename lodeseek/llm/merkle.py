@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.crc import crc32_sql
 from lodeseek.llm.joins import counted_side
 from lodeseek.operators.positions import running
 from lodeseek.session import load_table, materialize
@@ -286,14 +287,7 @@ def _path_sql(levels: int, name: str, tree: str, row: str) -> tuple[str, str]:
 def _merkle_sql(group_levels: int = 9, top_levels: int = 4) -> str:
     field = lambda c: f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
     leaf = lambda text: "sha256(" + " || ".join([*(field(c) for c in FIELDS[:-1]), field(text)]) + ")"
-    bit = "CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
-    byte = "xor(crc, ascii(ch))"
-    for _ in range(8):
-        byte = f"list_transform([{byte}], lambda c: {bit})[1]"
-    crc = (
-        "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::varchar, ''),"
-        f" lambda x: ascii(x)::BIGINT)), lambda crc, b: {byte.replace('ascii(ch)', 'b')}), 4294967295::BIGINT)"
-    )
+    crc = crc32_sql('doc_id::varchar')
     lower = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
     items, joins = _path_sql(group_levels, "g", "lang", "l")
     top_items, top_joins = _path_sql(top_levels, "t", "top", "s")

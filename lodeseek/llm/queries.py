@@ -9,6 +9,7 @@ from lodeseek.llm.language_id import op4_language_id
 from lodeseek.llm.lm_scoring import op3_lm_score
 from lodeseek.llm.merkle import OP11_SQL, op11_merkle_manifest
 from lodeseek.llm.packing import op9_harmonic_packing
+from lodeseek.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from lodeseek.llm.secret_scan import op6_secret_scan
 from lodeseek.llm.sharding import op1_shuffle_shards
 from lodeseek.llm.simhash import op8_simhash
@@ -28,7 +29,12 @@ QUERIES = {
         op9_harmonic_packing,
         op10_toxicity,
         op11_merkle_manifest,
+        op12_prefix_trie,
     )
 }
 
-ORACLE = {"op5_exact_dedup": OP5_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE = {
+    "op5_exact_dedup": OP5_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+}
