@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodeseek.llm.ann_forest import op13_ann_forest
 from lodeseek.llm.decontamination import op2_decontamination
 from lodeseek.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from lodeseek.llm.html_extraction import op7_html_text
@@ -30,6 +31,7 @@ QUERIES = {
         op10_toxicity,
         op11_merkle_manifest,
         op12_prefix_trie,
+        op13_ann_forest,
     )
 }
 
