@@ -82,7 +82,7 @@ def test_a_search_of_everything_is_exact_with_ties_and_odd_rows(spark):
     rows = [(i, v) for i, v in enumerate(floats(rng.standard_normal((60, 4))))]
     # Copies under many ids, a repeated row, one id with two vectors.
     rows += [(100 + i, one) for i in range(40)] + [(5, rows[5][1])] * 30 + [(7, one), (None, one)]
-    rows += [(200, None), (201, []), (202, [0.0] * 4), (203, [1.0, None, 0.0, 0.0]), (204, [nan, 1, 0, 0]), (220, [inf, 1, 0, 0])]
+    rows += [(200, None), (201, []), (202, [0.0] * 4), (203, [1.0, None, 0.0, 0.0]), (204, [nan, 1.0, 0.0, 0.0]), (220, [inf, 1.0, 0.0, 0.0])]
     got = answers(nearest(frame_of(spark, rows), 20, F.col("vec_id") % 5 == 0, target=1.0))
     wanted = brute(rows, 20, lambda i: i % 5 == 0)
     assert {q: [i for i, _ in got[q]] for q in got} == {q: [i for i, _ in wanted[q]] for q in wanted}
