@@ -355,6 +355,61 @@ LEFT JOIN (SELECT * FROM near WHERE rank <= 10) n
 GROUP BY t.query_id
 """
 
+def _trained_cells(steps: int) -> str:
+    """Centroids ``c`` by steps from the sixteen vectors with the smallest ids."""
+    ctes = [
+        "c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding::DOUBLE[] AS c"
+        " FROM embeddings QUALIFY row_number() OVER (ORDER BY vec_id) <= 16)",
+        "units AS (SELECT vec_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM parts)",
+    ]
+    for n in range(steps):
+        ctes.append(
+            f"a{n} AS (SELECT vec_id, cell FROM embeddings CROSS JOIN c{n} QUALIFY row_number() OVER ("
+            "PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], c), 9) DESC, cell) = 1)"
+        )
+        ctes.append(
+            f"m{n} AS (SELECT cell, pos, avg(x) AS m FROM units JOIN a{n} USING (vec_id) GROUP BY ALL)"
+        )
+        ctes.append(
+            f"c{n + 1} AS (SELECT o.cell, coalesce(v.c, o.c) AS c FROM c{n} o LEFT JOIN ("
+            f"SELECT cell, list(m ORDER BY pos) AS c FROM m{n} GROUP BY cell) v USING (cell))"
+        )
+    return ",\n".join(ctes)
+
+
+ORACLE["ann_trained_recall"] = f"""
+WITH parts AS (
+  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings
+),
+{_trained_cells(3)},
+asked AS (
+  SELECT label AS query_id, list(m ORDER BY pos) AS q
+  FROM (SELECT label, pos, avg(x) AS m FROM parts GROUP BY ALL) GROUP BY label
+),
+placed AS (
+  SELECT vec_id, cell FROM embeddings CROSS JOIN c3 QUALIFY row_number() OVER (
+    PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], c), 9) DESC, cell) = 1
+),
+probed AS (
+  SELECT query_id, cell FROM asked CROSS JOIN c3 QUALIFY row_number() OVER (
+    PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, c), 9) DESC, cell) <= 4
+),
+scored AS (
+  SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS s FROM embeddings CROSS JOIN asked
+),
+truth AS (
+  SELECT query_id, vec_id FROM scored
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10
+),
+near AS (
+  SELECT s.query_id, s.vec_id FROM scored s JOIN placed USING (vec_id) JOIN probed b
+    ON b.query_id = s.query_id AND b.cell = placed.cell
+  QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY s DESC, vec_id) <= 10
+)
+SELECT t.query_id, round(count(n.vec_id) / count(*), 6) AS recall
+FROM truth t LEFT JOIN near n ON n.query_id = t.query_id AND n.vec_id = t.vec_id GROUP BY t.query_id
+"""
+
 _PARTS = """
 parts AS (
   SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import chunking, formatting, hashing, text, vectors
 from lodeseek.operators import cells, inference, merging, pooling, stats
+from lodeseek.operators.joins import join_side
 from lodeseek.operators.positions import batch_groups
 from lodeseek.operators.topk import cosine_top_k, multi_query_top_k
 from lodeseek.plans import corpus
@@ -133,11 +134,9 @@ def dot_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_cells(spark: SparkSession, sf_dir: str) -> tuple[cells.Cells, DataFrame, DataFrame]:
     """Cells around the mean vector of each label; stored vectors; the means as queries."""
     stored = load_table(spark, sf_dir, "embeddings")
-    means = materialize(pooling.masked_mean(stored, ["label"]), "means")
+    means = materialize(pooling.mean_vectors(stored, ["label"]), "means")
     around = cells.centroids_of(means, "label")
-    in_cells = stored.withColumn("cell", around.assign(F.col("embedding")))
-    queries = pooling.assemble(means, ["label"]).withColumnRenamed("label", "query_id")
-    return around, in_cells, queries
+    return around, around.placed(stored), means.withColumnRenamed("label", "query_id")
 
 
 @registered
@@ -177,15 +176,16 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def ann_trained_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with sixteen trained cells, four of them searched."""
+    """The same with sixteen cells, four of them searched; they begin with the first vectors
+    by id and take three steps over all."""
     stored = load_table(spark, sf_dir, "embeddings")
-    trained = cells.Cells.train(stored, 16)
-    in_cells = stored.withColumn("cell", trained.assign(F.col("embedding")))
-    means = pooling.masked_mean(stored, ["label"])
-    queries = pooling.assemble(means, ["label"]).withColumnRenamed("label", "query_id")
-    near = trained.multi_query_top_k(in_cells, queries, 10, 4, ["vec_id"])
+    begun = cells.centroids_of(stored.orderBy("vec_id").limit(16), "vec_id")
+    trained = cells.Cells.train(stored, 16, iterations=3, first=begun, tolerance=0.0)
+    means = pooling.mean_vectors(stored, ["label"])
+    queries = means.withColumnRenamed("label", "query_id")
+    near = trained.multi_query_top_k(trained.placed(stored), queries, 10, 4, ["vec_id"])
     true = multi_query_top_k(stored, queries, 10, ["vec_id"])
-    return cells.recall(true, near, ["vec_id"])
+    return cells.recall(true, near, ["vec_id"]).withColumn("recall", F.round("recall", 6))
 
 
 # --- vectors ----------------------------------------------------------------------
@@ -223,11 +223,9 @@ def pool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pooled_or_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row's own vector where its document is rated, else the mean of its label."""
     rows = _labelled_vectors(spark, sf_dir)
-    means = pooling.assemble(
-        pooling.masked_mean(rows, ["label"]), ["label"], name="mean_vector"
-    )
+    means = pooling.mean_vectors(rows, ["label"], name="mean_vector")
     own = F.when(F.col("quality").isNotNull(), F.col("embedding").cast("array<double>"))
-    chosen = rows.join(means, "label").select(
+    chosen = join_side(rows, means, ["label"], 8 * 64).select(
         "vec_id", vectors.pooled_or_mean(own, F.col("mean_vector")).alias("v")
     )
     return chosen.select("vec_id", F.posexplode("v").alias("pos", "value")).select(
@@ -249,11 +247,9 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against its label's mean: dot product, similarity and distance."""
     stored = load_table(spark, sf_dir, "embeddings")
-    means = pooling.assemble(
-        pooling.masked_mean(stored, ["label"]), ["label"], name="mean_vector"
-    )
+    means = pooling.mean_vectors(stored, ["label"], name="mean_vector")
     v, mean = F.col("embedding"), F.col("mean_vector")
-    return stored.join(means, "label").select(
+    return join_side(stored, means, ["label"], 8 * 64).select(
         "vec_id",
         F.round(vectors.dot(v, mean), 6).alias("dot"),
         F.round(vectors.cosine_similarity(v, mean), 6).alias("similarity"),

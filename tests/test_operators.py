@@ -254,7 +254,7 @@ def test_normalization_and_pooling(spark):
 
     long = spark.createDataFrame([("a", [1.0, 2.0], 1), ("a", [5.0, 6.0], 0), ("a", [3.0, 4.0], 1), ("b", [1.0, 1.0], 0)],
                                  "g string, embedding array<float>, m int")
-    means = pooling.assemble(pooling.masked_mean(long, ["g"], mask=F.col("m")), ["g"])
+    means = pooling.mean_vectors(long, ["g"], mask=F.col("m"))
     assert {r.g: r.embedding for r in means.collect()} == {"a": [2.0, 3.0], "b": [0.0, 0.0]}
 
 
