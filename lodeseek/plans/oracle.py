@@ -355,6 +355,75 @@ LEFT JOIN (SELECT * FROM near WHERE rank <= 10) n
 GROUP BY t.query_id
 """
 
+_CODES = f"""
+{_CELLS.strip()},
+unit_parts AS (
+  SELECT vec_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM parts
+),
+centroid_parts AS (
+  SELECT cell, label, pos, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS m
+  FROM means JOIN centroids USING (label)
+),
+rests AS (
+  SELECT u.vec_id, p.cell, pos, x - m AS r
+  FROM unit_parts u JOIN placed p USING (vec_id) JOIN centroid_parts c USING (cell, pos)
+),
+books AS (
+  SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS code, pos, r AS b FROM rests
+  WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 16)
+),
+codes AS (
+  SELECT vec_id, any_value(cell) AS cell, (pos - 1) // 8 AS part, code, sum(b * b - 2 * r * b) AS d
+  FROM rests JOIN books USING (pos) GROUP BY vec_id, (pos - 1) // 8, code
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY round(d, 9), code) = 1
+),
+tables AS (
+  SELECT c.label AS query_id, (pos - 1) // 8 AS part, code, sum(m * b) AS t
+  FROM centroid_parts c JOIN books USING (pos) GROUP BY ALL
+),
+bases AS (
+  SELECT a.label AS query_id, b.cell, sum(a.m * b.m) AS base
+  FROM centroid_parts a JOIN centroid_parts b USING (pos) GROUP BY ALL
+),
+three AS (
+  SELECT a.label AS query_id, b.cell
+  FROM centroids a CROSS JOIN centroids b
+  QUALIFY row_number() OVER (
+    PARTITION BY a.label ORDER BY round(list_cosine_similarity(a.c, b.c), 9) DESC, b.cell) <= 3
+),
+estimates AS (
+  SELECT query_id, vec_id, round(any_value(base) + sum(t), 9) AS estimate
+  FROM codes JOIN three USING (cell) JOIN tables USING (query_id, part, code) JOIN bases USING (query_id, cell)
+  GROUP BY query_id, vec_id
+),
+candidates AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY estimate DESC, vec_id) AS rank FROM estimates
+  QUALIFY rank <= 40
+),
+compared AS (
+  SELECT query_id, vec_id, s.s, row_number() OVER (PARTITION BY query_id ORDER BY s.s DESC, vec_id) AS rank
+  FROM (SELECT query_id, vec_id FROM candidates) JOIN scored s USING (query_id, vec_id) QUALIFY rank <= 10
+)"""
+
+ORACLE["pq_topk"] = f"""
+WITH {_CODES}
+SELECT query_id, vec_id, round(s, 6) AS similarity, rank::INT AS rank FROM compared
+"""
+
+ORACLE["pq_candidates"] = f"""
+WITH {_CODES}
+SELECT query_id, vec_id, round(estimate, 6) AS estimate, rank::INT AS rank FROM candidates
+"""
+
+ORACLE["pq_recall"] = f"""
+WITH {_CODES}
+SELECT t.query_id, round(count(n.vec_id) / count(*), 6) AS recall
+FROM (SELECT * FROM truth WHERE rank <= 10) t
+LEFT JOIN compared n ON n.query_id = t.query_id AND n.vec_id = t.vec_id
+GROUP BY t.query_id
+"""
+
+
 def _trained_cells(steps: int) -> str:
     """Centroids ``c`` by steps from the sixteen vectors with the smallest ids."""
     ctes = [

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions import chunking, formatting, hashing, text, vectors
+from lodeseek.functions.arrays import to_matrix
 from lodeseek.operators import cells, inference, merging, pooling, stats
 from lodeseek.operators.joins import join_side
 from lodeseek.operators.positions import batch_groups
+from lodeseek.operators.quantising import ProductQuantiser
 from lodeseek.operators.topk import cosine_top_k, multi_query_top_k
 from lodeseek.plans import corpus
 from lodeseek.plans.indexing import chunk_files, embed_chunks
@@ -188,6 +190,46 @@ def ann_trained_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.recall(true, near, ["vec_id"]).withColumn("recall", F.round("recall", 6))
 
 
+def _label_codes(spark: SparkSession, sf_dir: str) -> tuple[ProductQuantiser, DataFrame, DataFrame]:
+    """Label cells with code vectors from the sixteen vectors of the smallest ids; the vectors; queries."""
+    around, in_cells, queries = _label_cells(spark, sf_dir)
+    stored = in_cells.drop("cell")
+    first = stored.orderBy("vec_id").limit(16).select("vec_id", "embedding").toArrow().sort_by("vec_id")
+    rests = ProductQuantiser.rests(around, to_matrix(first.column("embedding"))[0])[1]
+    books = rests.reshape(len(rests), 8, -1).transpose(1, 0, 2)
+    return ProductQuantiser(around, books), stored, queries
+
+
+@registered
+def pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of each label's mean: the forty best of compressed vectors in three
+    cells, compared exactly."""
+    quantiser, stored, queries = _label_codes(spark, sf_dir)
+    compressed = materialize(quantiser.compressed(stored), "compressed")
+    hits = quantiser.top_k(compressed, stored, queries, 10, 3, ["vec_id"], count=40)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@registered
+def pq_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty best estimates of each label's mean, as stored and loaded code vectors give them."""
+    quantiser, stored, queries = _label_codes(spark, sf_dir)
+    path = new_folder(spark, "codes")
+    quantiser.save(spark, path)
+    loaded = ProductQuantiser.load(spark, path)
+    near = loaded.candidates(loaded.compressed(stored), queries, 40, 3, ["vec_id"])
+    return near.withColumn("estimate", F.round("estimate", 6))
+
+
+@registered
+def pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the true ten nearest vectors that `pq_topk` finds, per query."""
+    quantiser, stored, queries = _label_codes(spark, sf_dir)
+    near = quantiser.top_k(quantiser.compressed(stored), stored, queries, 10, 3, ["vec_id"], count=40)
+    true = multi_query_top_k(stored, queries, 10, ["vec_id"])
+    return cells.recall(true, near, ["vec_id"]).withColumn("recall", F.round("recall", 6))
+
+
 # --- vectors ----------------------------------------------------------------------
 
 
