@@ -57,7 +57,7 @@ def vector_sums(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
+            table = _plain(batch)
             table = _added(table if last is None else pa.concat_tables([last, table]), by)
             # The group that the batch ends with may go on in the next one.
             yield from table.slice(0, table.num_rows - 1).to_batches()
@@ -77,13 +77,18 @@ def _weighted(batch: pa.RecordBatch) -> Iterator[pa.Table]:
     width = max(1, len(batch.column("__total").flatten()) // max(batch.num_rows, 1))
     step = max(1, CELLS_AT_ONCE // width)
     for start in range(0, batch.num_rows, step):
-        part = pa.Table.from_batches([batch.slice(start, step)])
+        part = _plain(batch.slice(start, step))
         matrix, _ = to_matrix(part.column("__total"))
         weights = part.column("__weight").to_numpy()
         place = part.schema.get_field_index("__total")
         yield part.set_column(place, "__total", from_matrix(matrix * weights[:, None], dtype=np.float64))
 
 
+def _plain(batch: pa.RecordBatch) -> pa.Table:
+    """A batch as a table whose columns are not marked as without NULLs."""
+    return pa.table(batch.columns, names=batch.schema.names)
+
+
 def _width(table: pa.Table) -> int:
     return len(table.column("__total").chunk(0)[0]) if table.num_rows else 0
 

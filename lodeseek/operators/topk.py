@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +12,21 @@ from pyspark.sql import types as T
 
 from lodeseek.functions.arrays import CELLS_AT_ONCE, to_matrix, unit_rows
 from lodeseek.functions.vectors import SCORE_DECIMALS, cosine_to, dot_to
+from lodeseek.operators.grid import against_blocks
 from lodeseek.operators.positions import number_rows
 from lodeseek.schemas import HIT_COLUMNS, NATURAL_KEY
 from lodeseek.session import materialize
 
 FILTER_COLUMNS = ["repo_name", "language", "chunk_type"]
 
-# Query vectors sent to every task at once, in bytes. More queries than fit are
-# answered in several passes over the documents.
+# Query vectors sent to every task, in bytes; more of them come by in blocks.
 QUERY_BLOCK_BYTES = 64 << 20
+# Document vectors that a task holds while the queries come by, in bytes.
+SPLIT_BYTES = 64 << 20
+# Documents of a split that are multiplied together.
+ROWS_HELD_TOGETHER = 4096
+# Values of a filter column, and cells, that a scan is told in a list.
+VALUES_PUSHED, CELLS_PUSHED = 1000, 10_000
 # Document-by-query scores held by a task at a time.
 SCORES_AT_ONCE = 4 << 20
 # Parts in which the results of the tasks for one query are merged.
@@ -128,14 +133,30 @@ def multi_query_top_k(
     holds ``probes``, the cells to search, and a document is compared only with the
     queries that probe its cell.
 
-    Every task multiplies its batches of documents with the matrix of queries and keeps
-    k rows per query, so no pairs travel; the second step merges these.
+    Every task multiplies documents with queries and keeps k rows per query, so no pairs
+    travel; the second step merges these. Queries that want the same values are multiplied
+    together, with the documents that have these values, and with no others. What all
+    queries leave out is left out of the scan. Queries of up to QUERY_BLOCK_BYTES are sent
+    to the tasks, which read the documents where they are. With more, documents are dealt over
+    tasks, and queries come by in blocks: neither driver nor plan grows with them.
     """
-    passes = [
-        _block_top_k(documents, block, k, key, query_id, vector, filter_columns, cell)
-        for block in _query_blocks(queries, query_id, vector, filter_columns, cell)
-    ]
-    local = reduce(DataFrame.unionByName, passes)
+    columns = [query_id, vector, *filter_columns, *(["probes"] if cell else [])]
+    wanted = materialize(queries.select(*columns), "queries")
+    count, width = wanted.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    search = _Search(k, list(key), query_id, vector, list(filter_columns), cell)
+    needed = _pruned(documents.select(*search.columns), wanted, search)
+    fields = {f.name: f for f in documents.schema.fields}
+    schema = T.StructType(
+        [wanted.schema[query_id], *[fields[c] for c in key], T.StructField("similarity", T.DoubleType())]
+    )
+    if count * 8 * max(width or 1, 1) <= QUERY_BLOCK_BYTES:
+        local = needed.mapInArrow(search.over_batches(wanted.toArrow()), schema)
+    else:
+        rows = documents.select(*key).count()
+        slots = documents.sparkSession.sparkContext.defaultParallelism
+        splits = max(-(-rows * 8 * max(width, 1) // SPLIT_BYTES), min(slots, rows // 1024), 1)
+        spread = F.xxhash64(*key, vector)
+        local = against_blocks(needed, wanted, int(splits), spread, search.of_split, schema)
     order = [F.desc_nulls_last("similarity"), *[F.asc_nulls_last(c) for c in key]]
 
     def best(rows: DataFrame, *group: str | Column) -> DataFrame:
@@ -147,144 +168,166 @@ def multi_query_top_k(
     return best(best(local, part).drop("rank"))
 
 
-def _query_blocks(
-    queries: DataFrame,
-    query_id: str,
-    vector: str,
-    filter_columns: Sequence[str],
-    cell: str | None,
-) -> list[pa.Table]:
-    """The queries in blocks of bounded size."""
-    columns = [query_id, vector, *filter_columns, *(["probes"] if cell else [])]
-    wanted = materialize(queries.select(*columns), "queries")
-    count, width = wanted.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(width or 1, 1)))
-    # Hashing spreads queries unevenly, hence twice the blocks if one does not do.
-    blocks = 1 if count <= per_block else -(-2 * count // per_block)
-    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    found = (wanted.filter(block == b).toArrow() for b in range(blocks))
-    return [q for q in found if q.num_rows] or [wanted.limit(0).toArrow()]
-
-
-def _block_top_k(
-    documents: DataFrame,
-    queries: pa.Table,
-    k: int,
-    key: Sequence[str],
-    query_id: str,
-    vector: str,
-    filter_columns: Sequence[str],
-    cell: str | None,
-) -> DataFrame:
-    key = list(key)
-    columns = list(dict.fromkeys([*key, vector, *filter_columns, *([cell] if cell else [])]))
-    needed = documents.select(*columns)
-    probes = queries.column("probes").to_pylist() if cell else None
-    probing: dict[int, list[int]] = {}
-    for number, near in enumerate(probes or []):
-        for one in near or []:
-            probing.setdefault(one, []).append(number)
-    if probes is not None:
-        needed = needed.filter(F.col(cell).isin(sorted(probing)))
-    fields = {f.name: f for f in documents.schema.fields}
-    schema = T.StructType(
-        [
-            T.StructField(query_id, _spark_type(queries.schema.field(query_id).type)),
-            *[fields[c] for c in key],
-            T.StructField("similarity", T.DoubleType()),
+def _pruned(documents: DataFrame, queries: DataFrame, search: _Search) -> DataFrame:
+    """``documents`` without those that no query looks at, as far as the scan can be told."""
+    for column in search.filters:
+        distinct = queries.select(column).distinct().limit(VALUES_PUSHED + 1).collect()
+        # A query that wants any value makes all rows wanted.
+        if len(distinct) <= VALUES_PUSHED and all(r[0] for r in distinct):
+            documents = documents.filter(F.col(column).isin([r[0] for r in distinct]))
+    if search.cell:
+        probed = queries.select(F.explode("probes").alias("p")).distinct().limit(CELLS_PUSHED + 1).collect()
+        if len(probed) <= CELLS_PUSHED:
+            documents = documents.filter(F.col(search.cell).isin(sorted(r.p for r in probed)))
+    return documents
+
+
+class _Search:
+    """Documents against queries inside tasks, the k best of each query kept."""
+
+    def __init__(
+        self, k: int, key: list[str], query_id: str, vector: str, filters: list[str], cell: str | None
+    ):
+        self.k, self.key, self.query_id, self.vector = k, key, query_id, vector
+        self.filters, self.cell = filters, cell
+        self.columns = list(dict.fromkeys([*key, vector, *filters, *([cell] if cell else [])]))
+
+    def over_batches(self, queries: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Batches of documents against one block of queries."""
+        asked = _Asked(self, queries)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(self, asked)
+            if not len(asked.matrix):
+                return
+            step = asked.rows_at_once()
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    part = pa.Table.from_batches([batch.slice(start, step)])
+                    best.offer(_Held(self, part, asked.matrix.shape[1]))
+            yield from best.rows()
+
+        return run
+
+    def of_split(self, documents: pa.Table) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+        """Documents of a split against one block of queries after another."""
+        known = documents.column(self.vector).drop_null()
+        dims = len(known[0]) if len(known) else 0
+        step = max(1, min(ROWS_HELD_TOGETHER, SCORES_AT_ONCE, CELLS_AT_ONCE // max(dims, 1)))
+        parts = [_Held(self, documents.slice(at, step), dims) for at in range(0, documents.num_rows, step)]
+        together = max(1, SCORES_AT_ONCE // step)
+
+        def answer(queries: pa.Table) -> Iterator[pa.RecordBatch]:
+            for at in range(0, queries.num_rows, together):
+                best = _Best(self, _Asked(self, queries.slice(at, together)))
+                for part in parts:
+                    best.offer(part)
+                yield from best.rows()
+
+        return answer
+
+
+class _Asked:
+    """A block of queries, and which of them want which values."""
+
+    def __init__(self, search: _Search, queries: pa.Table):
+        self.ids = queries.column(search.query_id).combine_chunks()
+        self.matrix, present = to_matrix(queries.column(search.vector))
+        self.defined = present & (self.matrix != 0).any(axis=1)
+        self.matrix = unit_rows(self.matrix)
+        wanted = [queries.column(c).to_pylist() for c in search.filters]
+        probes = queries.column("probes").to_pylist() if search.cell else [[None]] * len(self.ids)
+        groups: dict[tuple[str, ...], dict[tuple, list[int]]] = {}
+        for number, (near, *values) in enumerate(zip(probes, *wanted)):
+            told = [(c, v) for c, v in zip(search.filters, values) if v]
+            names = tuple(c for c, _ in told)
+            for one in near or []:
+                chosen = (one, *(v for _, v in told))
+                groups.setdefault(names, {}).setdefault(chosen, []).append(number)
+        self.groups = {n: {v: np.array(q) for v, q in by.items()} for n, by in groups.items()}
+
+    def rows_at_once(self) -> int:
+        return max(1, min(SCORES_AT_ONCE // max(len(self.ids), 1), CELLS_AT_ONCE // max(self.matrix.shape[1], 1)))
+
+
+class _Held:
+    """Some documents as a matrix, and their rows by the values of filter columns."""
+
+    def __init__(self, search: _Search, rows: pa.Table, dims: int):
+        self.search, self.rows = search, rows.combine_chunks()
+        matrix, stored = to_matrix(self.rows.column(search.vector), dims)
+        self.defined = stored & (matrix != 0).any(axis=1)
+        self.matrix = unit_rows(matrix)
+        self.by_values: dict[tuple[str, ...], dict[tuple, np.ndarray]] = {}
+
+    def having(self, names: tuple[str, ...]) -> dict[tuple, np.ndarray]:
+        """Rows by cell and the values of the named columns."""
+        if names not in self.by_values:
+            cell = self.search.cell
+            lists = [self.rows.column(cell).to_pylist() if cell else [None] * self.rows.num_rows]
+            lists += [self.rows.column(c).to_pylist() for c in names]
+            found: dict[tuple, list[int]] = {}
+            for row, values in enumerate(zip(*lists)):
+                found.setdefault(values, []).append(row)
+            self.by_values[names] = {v: np.array(r) for v, r in found.items()}
+        return self.by_values[names]
+
+
+class _Best:
+    """The k best pairs of every query so far."""
+
+    def __init__(self, search: _Search, asked: _Asked):
+        self.search, self.asked = search, asked
+        self.pairs: pa.Table | None = None
+        self.least = np.full(len(asked.ids), -np.inf)
+
+    def offer(self, held: _Held) -> None:
+        found = [
+            self._among(held, rows, which)
+            for names, by_value in self.asked.groups.items()
+            for values, rows in held.having(names).items()
+            if (which := by_value.get(values)) is not None
         ]
-    )
-    ids = queries.column(query_id).combine_chunks()
-    matrix, present = to_matrix(queries.column(vector))
-    defined_queries = present & (matrix != 0).any(axis=1)
-    matrix = unit_rows(matrix)
-    wanted = {c: queries.column(c).to_pylist() for c in filter_columns}
-
-    def all_scores(batch: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
-        """Scores of the batch (documents by queries); NaN where a pair is not wanted."""
-        if probes is None:
-            scores = vectors @ matrix.T
-        else:
-            scores = np.full((len(vectors), len(matrix)), np.nan)
-            cells = batch.column(cell).to_numpy(zero_copy_only=False)
-            for one in np.unique(cells):
-                rows = np.flatnonzero(cells == one)
-                which = np.array(probing.get(int(one), []), dtype=int)
-                scores[np.ix_(rows, which)] = vectors[rows] @ matrix[which].T
-        for column, values in wanted.items():
-            stored = np.array(batch.column(column).to_pylist(), dtype=object)
-            for q, value in enumerate(values):
-                if value:
-                    scores[stored != value, q] = np.nan
-        return scores
-
-    def best_of(batch: pa.RecordBatch, least: np.ndarray) -> pa.Table | None:
+        found = [f for f in found if f is not None]
+        if found:
+            self._keep(pa.concat_tables(found if self.pairs is None else [self.pairs, *found]))
+
+    def _among(self, held: _Held, rows: np.ndarray, which: np.ndarray) -> pa.Table | None:
         """Pairs that may be among the k best, given the k-th score known per query."""
-        vectors, stored = to_matrix(batch.column(vector), matrix.shape[1])
-        defined = stored & (vectors != 0).any(axis=1)
-        scores = np.round(all_scores(batch, unit_rows(vectors)), SCORE_DECIMALS) + 0.0
+        k = self.search.k
+        scores = np.round(held.matrix[rows] @ self.asked.matrix[which].T, SCORE_DECIMALS) + 0.0
         # Undefined similarities rank after all others.
-        wanted_pairs = ~np.isnan(scores)
-        scores[~(defined[:, None] & defined_queries[None, :]) & wanted_pairs] = -np.inf
-        bound = least
-        if batch.num_rows > k:
-            ranked = np.where(wanted_pairs, scores, -np.inf)
-            bound = np.maximum(least, -np.partition(-ranked, k - 1, axis=0)[k - 1])
+        scores[~(held.defined[rows][:, None] & self.asked.defined[which][None, :])] = -np.inf
+        bound = self.least[which]
+        if len(rows) > k:
+            bound = np.maximum(bound, -np.partition(-scores, k - 1, axis=0)[k - 1])
         # Ties with the k-th score stay in; the key decides between them.
-        rows, which = np.nonzero(wanted_pairs & (scores >= bound))
-        return _pairs_table(batch, key, rows, which, scores[rows, which]) if len(rows) else None
+        at, of = np.nonzero(scores >= bound)
+        if not len(at):
+            return None
+        taken = [held.rows.column(c).take(pa.array(rows[at])) for c in self.search.key]
+        return pa.table(
+            [pa.array(which[of].astype(np.int64)), pa.array(scores[at, of]), *taken],
+            names=["__query", "similarity", *self.search.key],
+        )
 
-    def keep_best(pairs: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    def _keep(self, pairs: pa.Table) -> None:
         ordered = pairs.sort_by(
             [("__query", "ascending"), ("similarity", "descending")]
-            + [(c, "ascending") for c in key]
+            + [(c, "ascending") for c in self.search.key]
         )
         which = ordered.column("__query").to_numpy()
         place = np.arange(len(which)) - np.searchsorted(which, which, side="left")
-        least = np.full(len(matrix), -np.inf)
-        last = place == k - 1
-        least[which[last]] = ordered.column("similarity").to_numpy()[last]
-        return ordered.filter(pa.array(place < k)), least
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: pa.Table | None = None
-        least = np.full(len(matrix), -np.inf)
-        if len(ids) == 0:
-            return
-        step = max(1, min(SCORES_AT_ONCE // len(ids), CELLS_AT_ONCE // max(matrix.shape[1], 1)))
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                found = best_of(batch.slice(start, step), least)
-                if found is not None:
-                    best, least = keep_best(
-                        found if best is None else pa.concat_tables([best, found])
-                    )
-        if best is None:
+        last = place == self.search.k - 1
+        self.least[which[last]] = ordered.column("similarity").to_numpy()[last]
+        self.pairs = ordered.filter(pa.array(place < self.search.k))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.pairs is None:
             return
-        scores = best.column("similarity").to_numpy()
-        out = [ids.take(best.column("__query").combine_chunks())]
-        out += [best.column(c) for c in key]
+        scores = self.pairs.column("similarity").to_numpy()
+        out = [self.asked.ids.take(self.pairs.column("__query").combine_chunks())]
+        out += [self.pairs.column(c) for c in self.search.key]
         out += [pa.array(scores, mask=np.isneginf(scores))]
-        yield from pa.table(out, names=[query_id, *key, "similarity"]).to_batches()
-
-    return needed.mapInArrow(run, schema)
-
-
-def _pairs_table(
-    batch: pa.RecordBatch,
-    key: Sequence[str],
-    rows: np.ndarray,
-    which: np.ndarray,
-    scores: np.ndarray,
-) -> pa.Table:
-    taken = [batch.column(c).take(pa.array(rows)) for c in key]
-    return pa.table(
-        [pa.array(which.astype(np.int64)), pa.array(scores), *taken],
-        names=["__query", "similarity", *key],
-    )
-
-
-def _spark_type(arrow_type: pa.DataType) -> T.DataType:
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    return from_arrow_type(arrow_type)
+        names = [self.search.query_id, *self.search.key, "similarity"]
+        yield from pa.table(out, names=names).to_batches()

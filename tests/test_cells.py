@@ -42,7 +42,14 @@ def test_vector_sums_of_hot_and_many_groups(spark, monkeypatch, held):
             entry[1] += weight or 0.0
             entry[2] += 1
     frame = spark.createDataFrame(rows, "g string, kind int, w double, embedding array<float>").repartition(5)
-    got = {(r.g, r.kind): r for r in pooling.vector_sums(frame, ["g", "kind"], weight=F.col("w")).collect()}
+    # Several batches in every task.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.g, r.kind): r for r in pooling.vector_sums(frame, ["g", "kind"], weight=F.col("w")).collect()}
+        unweighted = pooling.vector_sums(frame, ["g"]).agg(F.sum("rows")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert unweighted == sum(t[2] for t in total.values())
     assert set(got) == set(total)
     for key, (vector, weight, count) in total.items():
         assert np.allclose(got[key].total, vector) and got[key].weight == weight and got[key].rows == count

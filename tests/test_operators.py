@@ -148,6 +148,69 @@ def test_query_filters_and_short_results(spark):
     assert len(by_query[1]) == 30 and by_query[2] == []
 
 
+def test_plan_and_driver_do_not_grow_with_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK_BYTES", 8 * 8 * 10)
+    rng = np.random.default_rng(8)
+    docs = vector_frame(spark, unit(rng, 400, 8)).repartition(3)
+
+    def hits(count):
+        asked = vector_frame(spark, unit(np.random.default_rng(9), count, 8)).withColumnRenamed("id", "query_id")
+        return topk.multi_query_top_k(docs, asked, 4, ["id"])
+
+    def nothing_collected(self):
+        raise AssertionError("queries came to the driver")
+
+    frame_type = type(docs)
+    with monkeypatch.context() as patched:
+        patched.setattr(frame_type, "toArrow", nothing_collected)
+        ten_blocks, hundred_blocks = hits(100), hits(1000)
+        plans = [re.sub(r"#?\d+L?|lodeseek/\S+", "", plan_of(h)) for h in (ten_blocks, hundred_blocks)]
+        assert len(plans[0].splitlines()) == len(plans[1].splitlines())
+    monkeypatch.setattr(topk, "QUERY_BLOCK_BYTES", 64 << 20)
+    assert sorted(map(tuple, ten_blocks.collect())) == sorted(map(tuple, hits(100).collect()))
+
+
+@pytest.mark.parametrize("block", [64 << 20, 8])
+def test_no_score_of_an_unwanted_pair(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(topk, "QUERY_BLOCK_BYTES", block)
+    rng = np.random.default_rng(10)
+    points, questions = unit(rng, 300, 4), unit(rng, 40, 4)
+    docs = vector_frame(spark, points).withColumns(
+        {"repo_name": F.concat(F.lit("r"), F.col("id") % 7), "language": F.expr("if(id % 5 = 0, null, concat('l', id % 3))")}
+    )
+    docs.write.partitionBy("repo_name").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = vector_frame(spark, questions).select(
+        F.col("id").alias("query_id"), "embedding",
+        F.concat(F.lit("r"), F.col("id") % 3).alias("repo_name"),
+        F.expr("if(id % 4 = 0, null, concat('l', id % 3))").alias("language"),
+    )
+    wanted = {}
+    for q in range(40):
+        language = None if q % 4 == 0 else q % 3
+        rows = [d for d in range(300) if d % 7 == q % 3 and (language is None or (d % 5 and d % 3 == language))]
+        scores = {d: round(float(np.float32(points[d]).astype(float) @ np.float32(questions[q]).astype(float)), 6) for d in rows}
+        wanted[q] = sorted(rows, key=lambda d: (-scores[d], d))[:5]
+    hits = topk.multi_query_top_k(docs, asked, 5, ["id"], filter_columns=["repo_name", "language"])
+    got = {}
+    for r in sorted(hits.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: rows for q, rows in wanted.items() if rows}
+    assert re.search(r"PartitionFilters: \[[^\]]*repo_name", plan_of(hits))
+    # What is multiplied: documents and queries of equal values only.
+    search = topk._Search(5, ["id"], "query_id", "embedding", ["repo_name", "language"], None)
+    block_of = topk._Asked(search, asked.toArrow())
+    held = topk._Held(search, docs.toArrow(), 4)
+    pairs = sum(
+        len(rows) * len(block_of.groups[names][values])
+        for names in block_of.groups for values, rows in held.having(names).items() if values in block_of.groups[names]
+    )
+    assert pairs == sum(
+        1 for q in range(40) for d in range(300)
+        if d % 7 == q % 3 and (q % 4 == 0 or (d % 5 and d % 3 == q % 3))
+    )
+
+
 def test_single_query_is_a_prefix_of_the_ranking(spark):
     rng = np.random.default_rng(3)
     docs = vector_frame(spark, unit(rng, 200, 6))
