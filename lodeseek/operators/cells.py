@@ -140,13 +140,21 @@ class Cells:
 
     def store(self, vectors: DataFrame, path: str, vector: str = "embedding") -> None:
         """`write` below ``path``, with the centroids, so that `load` can search it later."""
-        self.table(vectors.sparkSession).write.mode("overwrite").parquet(f"{path}/centroids")
+        self.save(path, vectors.sparkSession)
         self.write(vectors, f"{path}/vectors", vector)
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """The centroids, below ``path``."""
+        self.table(spark).write.mode("overwrite").parquet(f"{path}/centroids")
+
+    @classmethod
+    def load_centroids(cls, spark: SparkSession, path: str) -> Cells:
+        return cls(_matrix_of(spark.read.parquet(f"{path}/centroids")))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> tuple[Cells, DataFrame]:
         """The cells kept at ``path`` and the vectors in them."""
-        return cls(_matrix_of(spark.read.parquet(f"{path}/centroids"))), spark.read.parquet(f"{path}/vectors")
+        return cls.load_centroids(spark, path), spark.read.parquet(f"{path}/vectors")
 
     def add(self, vectors: DataFrame, path: str, vector: str = "embedding") -> None:
         """Append vectors to the cells kept at ``path``; the centroids stay."""
@@ -345,8 +353,13 @@ class CellTree:
             stored, probing, k, key, query_id, vector, filter_columns, cell="cell"
         )
 
-    def save(self, path: str) -> None:
-        self.groups.table(self.cells.sparkSession).write.mode("overwrite").parquet(f"{path}/groups")
+    def probed(self, query: Sequence[float], count: int) -> list[int]:
+        one = self.cells.sparkSession.createDataFrame([(0, list(query))], "query_id int, embedding array<double>")
+        return self.probing(one, count).first().probes
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Centroids of groups and cells, below ``path``."""
+        self.groups.table(spark).write.mode("overwrite").parquet(f"{path}/groups")
         self.cells.write.mode("overwrite").parquet(f"{path}/cells")
 
     @classmethod

@@ -83,6 +83,77 @@ def reconcile(first: DataFrame, second: DataFrame, by: str = "repo_name") -> Dat
     )
 
 
+def content_difference(
+    first: DataFrame,
+    second: DataFrame,
+    key: Sequence[str] = NATURAL_KEY,
+    group: Sequence[str] = ("model", "repo_name"),
+    ignored: Sequence[str] = ("indexed_at",),
+    buckets: int = 64,
+) -> DataFrame:
+    """Rows by which two stores differ: group, key, ``difference`` and how often each holds the row.
+
+    ``difference`` is "only first", "only second" or "changed" (a key that both hold, with other
+    contents). Digests that do not depend on order are compared first, per group and
+    bucket of the file path; only the rows of buckets that differ are looked at one by one. Equal
+    stores cost two aggregates over digests and no join of rows. Columns in ``ignored`` may differ.
+    """
+    group, key = list(group), list(key)
+    others = sorted(set(first.columns) - {*group, *key, *ignored})
+
+    def digested(store: DataFrame) -> DataFrame:
+        name = F.sha2(F.to_json(F.struct(*[F.col(c) for c in key]), {"ignoreNullFields": "false"}), 256)
+        body = F.sha2(F.to_json(F.struct(*[F.col(c) for c in others]), {"ignoreNullFields": "false"}), 256)
+        return store.select(
+            *group,
+            *[c for c in key if c not in group],
+            F.pmod(F.xxhash64("file_path"), F.lit(buckets)).alias("__bucket"),
+            name.alias("__name"),
+            body.alias("__body"),
+        )
+
+    sides = {"first": digested(first), "second": digested(second)}
+    parts = [*group, "__bucket"]
+
+    def summed(rows: DataFrame, side: str) -> DataFrame:
+        # Sums of 32-bit pieces of a digest of key and content: order-free, and repeats count.
+        row = F.sha2(F.concat("__name", "__body"), 256)
+        pieces = [F.conv(F.substring(row, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
+        return rows.groupBy(*parts).agg(
+            F.concat_ws(",", F.count(F.lit(1)), *[F.sum(p) for p in pieces]).alias(f"__{side}")
+        )
+
+    unequal = (
+        summed(sides["first"], "first")
+        .join(summed(sides["second"], "second"), parts, "full_outer")
+        .filter(~F.col("__first").eqNullSafe(F.col("__second")))
+        .select(*parts)
+    )
+    looked = [
+        rows.join(unequal, parts, "left_semi").withColumn("__side", F.lit(side)) for side, rows in sides.items()
+    ]
+    columns = [*group, *[c for c in key if c not in group]]
+    counted = (
+        looked[0].unionByName(looked[1])
+        .groupBy(*columns, "__name", "__body")
+        .agg(
+            F.count_if(F.col("__side") == "first").alias("first_count"),
+            F.count_if(F.col("__side") == "second").alias("second_count"),
+        )
+        .filter("first_count <> second_count")
+    )
+    # A key has as many rows here as it has contents.
+    by_key = counted.groupBy(*columns, "__name").agg(
+        F.sum("first_count").alias("first_count"), F.sum("second_count").alias("second_count")
+    )
+    what = (
+        F.when(F.col("second_count") == 0, "only first")
+        .when(F.col("first_count") == 0, "only second")
+        .otherwise("changed")
+    )
+    return by_key.select(*columns, what.alias("difference"), "first_count", "second_count")
+
+
 def dimension_report(
     df: DataFrame, dims: int, by: Sequence[str] = (), vector: str = "embedding"
 ) -> DataFrame:

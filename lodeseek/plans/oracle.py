@@ -748,6 +748,45 @@ SELECT query_id, rank::INT AS rank, file_path, round(similarity, 6) AS similarit
 FROM ranked WHERE rank <= 3
 """
 
+ORACLE["stored_cells_search"] = f"""
+WITH {_STORED.replace("stored AS (", "kept AS (")},
+{_WHOLE_DOCUMENTS.strip()},
+centres AS (
+  SELECT dense_rank() OVER (ORDER BY id) - 1 AS id, dim, x FROM stored
+  WHERE id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 8)
+),
+{_similarities("to_centres", "stored", "centres", "(SELECT doc_id AS id FROM documents)")},
+{_similarities("to_asked", "centres", "asked", "(SELECT DISTINCT id FROM centres)")},
+placed AS (
+  SELECT id, query_id AS cell FROM to_centres WHERE similarity IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, query_id) = 1
+),
+probed AS (
+  SELECT query_id, id AS cell FROM to_asked
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 2
+),
+ranked AS (
+  SELECT s.query_id, file_path, s.similarity, content,
+         row_number() OVER (PARTITION BY s.query_id
+                            ORDER BY s.similarity DESC NULLS LAST, repo_name, file_path) AS rank
+  FROM scored s JOIN placed p ON p.id = s.id JOIN probed b ON b.query_id = s.query_id AND b.cell = p.cell
+  JOIN kept ON doc_id = s.id
+)
+SELECT query_id, rank::INT AS rank, file_path, round(similarity, 6) AS similarity,
+       md5(content) AS digest
+FROM ranked WHERE rank <= 3
+"""
+
+ORACLE["reconcile_contents"] = f"""
+WITH {_STORED}
+SELECT 'one' AS model, repo_name, file_path, chunk_type, name, start_line,
+       CASE WHEN toxic = 1 THEN 'only first' ELSE 'changed' END AS difference,
+       1::BIGINT AS first_count, CASE WHEN toxic = 1 THEN 0 ELSE 1 END::BIGINT AS second_count
+FROM stored JOIN labels USING (doc_id)
+UNION ALL
+SELECT 'one', 'web', url, 'file', NULL, 1, 'only second', 0, count(*) FROM pages GROUP BY url
+"""
+
 ORACLE["index_summary"] = """
 SELECT source AS repo_name, count(*) AS chunks,
        (DATE '2024-01-01' + (max(doc_id) // 24)::INT)::DATE AS indexed_on

@@ -651,6 +651,31 @@ def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def stored_cells_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`stored_search` in the two nearest of eight cells of the index.
+
+    The cells lie around the documents of the smallest ids. Half of the documents are written
+    before the index has cells, half after.
+    """
+    store = _new_store(spark)
+    rows = corpus.stored_rows(spark, sf_dir)
+    vectors_ = rows.withColumns(
+        {"embedding": inference.embed(F.col("content"), "minilm"), "model": F.lit("minilm")}
+    )
+    store.upsert(vectors_.filter("doc_id % 2 = 0").select(*INDEX_COLUMNS))
+    around = cells.centroids_of(vectors_.orderBy("doc_id").limit(8), "doc_id")
+    store.set_cells("minilm", around)
+    store.upsert(vectors_.filter("doc_id % 2 <> 0").select(*INDEX_COLUMNS))
+    queries = load_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text"
+    )
+    hits = search_many(store, queries, 3, "minilm", probes=2)
+    return hits.select(
+        "query_id", "rank", "file_path", _rounded("similarity"), F.md5("content").alias("digest")
+    )
+
+
 @registered
 def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One repository replaced by its rated documents, and one emptied."""
@@ -685,6 +710,20 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.reconcile(stored, stored.join(toxic, "doc_id", "left_anti"))
 
 
+@registered
+def reconcile_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by which two stores differ: documents rated toxic are missing in the second one, others
+    that are rated have another content, and pages are new."""
+    stored, changed = _stored_and_changed(spark, sf_dir)
+    toxic = load_table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    kept = corpus.stored_rows(spark, sf_dir).join(toxic, "doc_id", "left_semi").select(*NATURAL_KEY)
+    second = merging.merge_index(stored, changed).join(
+        kept, ["repo_name", "file_path", "chunk_type", "name", "start_line"], "left_anti"
+    )
+    first, second = _with_vectors(stored), _with_vectors(second)
+    return merging.content_difference(first, second)
+
+
 @registered
 def result_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document shown as a search result, with scores from -0.3 to 1."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.formatting import result_text
+from lodeseek.operators.cells import Cells, CellTree
 from lodeseek.operators.inference import embed
 from lodeseek.operators.topk import (
     FILTER_COLUMNS,
@@ -21,6 +22,17 @@ from lodeseek.session import materialize
 from lodeseek.sources.index_store import PLACE, IndexStore
 
 
+# Files of hits that a scan is told in a list.
+FILES_LISTED = 1000
+
+
+def _cells_of(store: IndexStore, spec: ModelSpec) -> Cells | CellTree:
+    cells = store.cells(spec.name)
+    if cells is None:
+        raise ValueError(f"the index has no cells for {spec.name!r}")
+    return cells
+
+
 def query_vector(
     spark: SparkSession, text: str, model: str | ModelSpec = DEFAULT_MODEL
 ) -> list[float]:
@@ -37,12 +49,21 @@ def search(
     language: str | None = None,
     chunk_type: str | None = None,
     model: str | ModelSpec = DEFAULT_MODEL,
+    probes: int | None = None,
 ) -> DataFrame:
-    """The ``limit`` chunks nearest to a query, best first, among those of the filters."""
+    """The ``limit`` chunks nearest to a query, best first, among those of the filters.
+
+    With ``probes`` only so many cells of the index are searched, those nearest to the query;
+    their folders, and those of the wanted repository, are all that is opened.
+    """
     spec = model_spec(model)
+    vector = query_vector(store.spark, query, spec)
+    index = store.read(spec.name, cells=probes is not None)
+    if probes is not None:
+        index = index.filter(F.col("cell").isin(_cells_of(store, spec).probed(vector, probes)))
     return search_stored(
-        store.read(spec.name),
-        query_vector(store.spark, query, spec),
+        index,
+        vector,
         limit,
         repo_name=repo_name,
         language=language,
@@ -56,23 +77,32 @@ def search_many(
     limit: int = 10,
     model: str | ModelSpec = DEFAULT_MODEL,
     contents: bool = True,
+    probes: int | None = None,
 ) -> DataFrame:
     """`search` for every row (query_id, text, optional filter columns) at once.
 
     Returns the hits of each query with their ``rank``; without ``contents`` only the key
-    and the similarity of each, which saves a second look at the index.
+    and the similarity of each, which saves a second look at the index. Contents are read
+    from the files of the hits, if these are few, else joined by file and row.
     """
     spec = model_spec(model)
-    index = store.read(spec.name, places=True)
+    index = store.read(spec.name, places=True, cells=probes is not None)
     # Rows without a full natural key may be stored more than once: the place tells them apart.
     key = [*NATURAL_KEY, *PLACE]
     vectors = queries.withColumn("embedding", embed(F.col("text"), spec, "query"))
     filters = [c for c in FILTER_COLUMNS if c in queries.columns]
-    hits = multi_query_top_k(index, vectors, limit, key, filter_columns=filters)
+    if probes is not None:
+        cells = _cells_of(store, spec)
+        hits = cells.multi_query_top_k(index, vectors, limit, probes, key, filter_columns=filters)
+    else:
+        hits = multi_query_top_k(index, vectors, limit, key, filter_columns=filters)
     if not contents:
         return hits.drop(*PLACE)
     hits = materialize(hits.select("query_id", "rank", "similarity", *PLACE), "hits")
-    return hits.join(index.select(*PLACE, *CHUNK_COLUMNS), PLACE).select(
+    files = [r.file for r in hits.select("file").distinct().limit(FILES_LISTED + 1).collect()]
+    if len(files) <= FILES_LISTED:
+        index = index.filter(F.col("file").isin(files))
+    return index.select(*PLACE, *CHUNK_COLUMNS).join(hits, PLACE).select(
         "query_id", "rank", *CHUNK_COLUMNS, "similarity"
     )
 

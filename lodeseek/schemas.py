@@ -70,9 +70,11 @@ INDEX_COLUMNS = [
     "repo_name",
 ]
 
-# The stored index has partition columns, which Spark puts last on reading.
-INDEX_PARTITIONS = ["model", "repo_name", "bucket"]
-STORED_INDEX = INDEX + ", bucket string"
+# The stored index has partition columns, which Spark puts last on reading. Those of a
+# group are replaced together.
+INDEX_GROUP = ["model", "repo_name", "bucket"]
+INDEX_PARTITIONS = [*INDEX_GROUP, "cell"]
+STORED_INDEX = INDEX + ", bucket string, cell string"
 
 NATURAL_KEY = ["repo_name", "file_path", "chunk_type", "name", "start_line"]
 
