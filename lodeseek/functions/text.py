@@ -43,6 +43,8 @@ SKIPPED_DIRECTORIES = [
 ]
 
 EMBEDDED_CHARS = 500
+# A window of a long content begins so many characters after the one before.
+WINDOW_STEP = 400
 STORED_CHARS = 10_000
 
 # Any character but white space. Java's (?U)\s lacks the separators U+001C to U+001F.
@@ -117,8 +119,29 @@ def embedding_text(
 ) -> Column:
     """What is embedded for a chunk: its heading and the first 500 characters."""
     head = F.substring(content, 1, EMBEDDED_CHARS)
-    definition = F.concat(language, F.lit(" "), chunk_type, F.lit(" "), name, F.lit(": "), head)
-    whole_file = F.concat(file_path, F.lit(": "), head)
+    return F.concat(_heading(chunk_type, name, file_path, language), head)
+
+
+def embedding_windows(
+    chunk_type: Column, name: Column, content: Column, file_path: Column, language: Column
+) -> Column:
+    """The whole chunk as an array of texts to embed: its heading and 500 characters each.
+
+    The first is `embedding_text`; every other begins 400 characters after the one before, so
+    that a passage at the end of one is whole in the next. The last reaches the end.
+    """
+    beyond = F.greatest(F.char_length(content) - EMBEDDED_CHARS, F.lit(0))
+    last = F.ceil(beyond / WINDOW_STEP).cast("int")
+    heading = _heading(chunk_type, name, file_path, language)
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.concat(heading, F.substring(content, i * WINDOW_STEP + 1, F.lit(EMBEDDED_CHARS))),
+    )
+
+
+def _heading(chunk_type: Column, name: Column, file_path: Column, language: Column) -> Column:
+    definition = F.concat(language, F.lit(" "), chunk_type, F.lit(" "), name, F.lit(": "))
+    whole_file = F.concat(file_path, F.lit(": "))
     return F.when(chunk_type.isin("function", "class"), definition).otherwise(whole_file)
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,7 @@ from lodeseek.functions.arrays import unit_rows
 from lodeseek.functions.hashing import hash_embed
 from lodeseek.functions.text import with_role_prefix
 from lodeseek.registry import ModelSpec, PredictFn, model_spec
+from lodeseek.session import materialize
 
 VECTOR = T.ArrayType(T.FloatType())
 VECTOR_OR_ERROR = "embedding array<float>, error string"
@@ -156,3 +158,67 @@ def score_once(
         .join(scored, F.col("__row_digest") == F.col("__digest"), "left")
         .drop("__row_digest", "__digest")
     )
+
+
+class ScoreCache:
+    """Scores of values kept below ``path``, for this run and later ones.
+
+    The cache is a table of (digest, score, run) in ``buckets`` by digest, so a join of other
+    digests reads it in place: only what is asked for is shuffled. ``score_type`` is the type of a
+    score, ``buckets`` stays the same for a cache. A cache has one writer at a time; should two
+    have scored the same value, either score counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, score_type: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.name = f"score_cache_{md5(self.path.encode()).hexdigest()}"
+        place = self.path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, score {score_type}, run STRING) USING parquet"
+            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+
+    def known(self) -> DataFrame:
+        """One row per digest."""
+        self.spark.catalog.refreshTable(self.name)
+        either = F.max(F.struct("run", "score")).alias("kept")
+        return self.spark.table(self.name).groupBy("digest").agg(either).select("digest", "kept.score", "kept.run")
+
+    def score(
+        self, df: DataFrame, column: str, score: Callable[[Column], Column], name: str = "score",
+        run: str = "",
+    ) -> DataFrame:
+        """Add ``score(column)`` and the ``run`` that computed it; only values not known yet are scored.
+
+        Values meet by their SHA-256 digest (NULL has one of its own); texts are shuffled only if they
+        are new, once per distinct one. New scores are appended before the result is
+        built, so a run that fails later has kept them.
+        """
+        digest = F.coalesce(F.sha2(F.col(column).cast("string"), 256), F.lit("NULL"))
+        known = self.known().select(F.col("digest").alias("__known"))
+        digests = df.select(digest.alias("__digest")).distinct()
+        missing = digests.join(known, F.col("__digest") == F.col("__known"), "left_anti")
+        missing = materialize(missing, "missing")
+        if missing.take(1):
+            values = df.select(digest.alias("__digest"), F.col(column).alias("__value"))
+            values = values.join(missing, "__digest", "left_semi").groupBy("__digest")
+            fresh = values.agg(F.first("__value").alias("__value")).select(
+                F.col("__digest").alias("digest"), score(F.col("__value")).alias("score"), F.lit(run).alias("run")
+            )
+            (
+                fresh.repartition(self.buckets, "digest")
+                .write.mode("append")
+                .bucketBy(self.buckets, "digest")
+                .sortBy("digest")
+                .format("parquet")
+                .option("path", self.path)
+                .saveAsTable(self.name)
+            )
+        scored = self.known().select(F.col("digest").alias("__digest"), F.col("score").alias(name), "run")
+        return df.withColumn("__row_digest", digest).join(
+            scored, F.col("__row_digest") == F.col("__digest"), "left"
+        ).drop("__row_digest", "__digest")
+
+    def forget(self) -> None:
+        """Take the table out of the session's catalog; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -125,13 +125,15 @@ def multi_query_top_k(
     vector: str = "embedding",
     filter_columns: Sequence[str] = (),
     cell: str | None = None,
+    windows: bool = False,
 ) -> DataFrame:
     """The k nearest documents of every query: query_id, key, similarity, rank.
 
     ``queries`` holds ``query_id``, the vector, and for each name in ``filter_columns``
     the value wanted of that document column (NULL or '' for any). With ``cell``, it also
     holds ``probes``, the cells to search, and a document is compared only with the
-    queries that probe its cell.
+    queries that probe its cell. With ``windows``, rows with equal keys are parts of one document,
+    which is as near as its nearest part.
 
     Every task multiplies documents with queries and keeps k rows per query, so no pairs
     travel; the second step merges these. Queries that want the same values are multiplied
@@ -143,7 +145,7 @@ def multi_query_top_k(
     columns = [query_id, vector, *filter_columns, *(["probes"] if cell else [])]
     wanted = materialize(queries.select(*columns), "queries")
     count, width = wanted.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    search = _Search(k, list(key), query_id, vector, list(filter_columns), cell)
+    search = _Search(k, list(key), query_id, vector, list(filter_columns), cell, windows)
     needed = _pruned(documents.select(*search.columns), wanted, search)
     fields = {f.name: f for f in documents.schema.fields}
     schema = T.StructType(
@@ -157,6 +159,9 @@ def multi_query_top_k(
         splits = max(-(-rows * 8 * max(width, 1) // SPLIT_BYTES), min(slots, rows // 1024), 1)
         spread = F.xxhash64(*key, vector)
         local = against_blocks(needed, wanted, int(splits), spread, search.of_split, schema)
+    if windows:
+        # Parts of one document that several tasks have looked at.
+        local = local.groupBy(query_id, *key).agg(F.max("similarity").alias("similarity"))
     order = [F.desc_nulls_last("similarity"), *[F.asc_nulls_last(c) for c in key]]
 
     def best(rows: DataFrame, *group: str | Column) -> DataFrame:
@@ -186,10 +191,11 @@ class _Search:
     """Documents against queries inside tasks, the k best of each query kept."""
 
     def __init__(
-        self, k: int, key: list[str], query_id: str, vector: str, filters: list[str], cell: str | None
+        self, k: int, key: list[str], query_id: str, vector: str, filters: list[str], cell: str | None,
+        windows: bool = False,
     ):
         self.k, self.key, self.query_id, self.vector = k, key, query_id, vector
-        self.filters, self.cell = filters, cell
+        self.filters, self.cell, self.windows = filters, cell, windows
         self.columns = list(dict.fromkeys([*key, vector, *filters, *([cell] if cell else [])]))
 
     def over_batches(self, queries: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -258,6 +264,7 @@ class _Held:
         matrix, stored = to_matrix(self.rows.column(search.vector), dims)
         self.defined = stored & (matrix != 0).any(axis=1)
         self.matrix = unit_rows(matrix)
+        self.document = _numbers_of(self.rows, search.key) if search.windows else None
         self.by_values: dict[tuple[str, ...], dict[tuple, np.ndarray]] = {}
 
     def having(self, names: tuple[str, ...]) -> dict[tuple, np.ndarray]:
@@ -298,6 +305,11 @@ class _Best:
         scores = np.round(held.matrix[rows] @ self.asked.matrix[which].T, SCORE_DECIMALS) + 0.0
         # Undefined similarities rank after all others.
         scores[~(held.defined[rows][:, None] & self.asked.defined[which][None, :])] = -np.inf
+        if held.document is not None:
+            # Of the parts of a document the nearest; k of these are k documents.
+            order = np.argsort(held.document[rows], kind="stable")
+            starts = np.flatnonzero(np.diff(held.document[rows][order], prepend=-1))
+            scores, rows = np.maximum.reduceat(scores[order], starts), rows[order][starts]
         bound = self.least[which]
         if len(rows) > k:
             bound = np.maximum(bound, -np.partition(-scores, k - 1, axis=0)[k - 1])
@@ -316,6 +328,11 @@ class _Best:
             [("__query", "ascending"), ("similarity", "descending")]
             + [(c, "ascending") for c in self.search.key]
         )
+        if self.search.windows:
+            number = _numbers_of(ordered, ["__query", *self.search.key])
+            first = np.zeros(len(number), dtype=bool)
+            first[np.unique(number, return_index=True)[1]] = True
+            ordered = ordered.filter(pa.array(first))
         which = ordered.column("__query").to_numpy()
         place = np.arange(len(which)) - np.searchsorted(which, which, side="left")
         last = place == self.search.k - 1
@@ -331,3 +348,14 @@ class _Best:
         out += [pa.array(scores, mask=np.isneginf(scores))]
         names = [self.search.query_id, *self.search.key, "similarity"]
         yield from pa.table(out, names=names).to_batches()
+
+
+def _numbers_of(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """A number per row, equal where all columns are; NULL equals NULL."""
+    number = np.zeros(rows.num_rows, dtype=np.int64)
+    for column in columns:
+        codes = rows.column(column).combine_chunks().dictionary_encode(null_encoding="encode").indices
+        codes = codes.to_numpy().astype(np.int64)
+        if len(codes):
+            number = np.unique(number * (codes.max() + 1) + codes, return_inverse=True)[1]
+    return number

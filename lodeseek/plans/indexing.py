@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.chunking import chunks_of
-from lodeseek.functions.text import embedding_text, stored_content
+from lodeseek.functions.text import embedding_text, embedding_windows, stored_content
 from lodeseek.operators.inference import embed
 from lodeseek.registry import DEFAULT_MODEL, ModelSpec, model_spec
 from lodeseek.schemas import CHUNK_COLUMNS
@@ -45,7 +45,10 @@ def chunk_files(files: DataFrame) -> DataFrame:
 def embed_chunks(
     chunks: DataFrame, model: str | ModelSpec = DEFAULT_MODEL
 ) -> DataFrame:
-    """Chunk rows with ``embedding``; the stored content is cut, the embedded is not."""
+    """Chunk rows with ``embedding``, of the heading and the first 500 characters.
+
+    The stored content is cut as well, at 10,000. `embed_windows` takes whole chunks.
+    """
     text = embedding_text(
         *[F.col(c) for c in ["chunk_type", "name", "content", "file_path", "language"]]
     )
@@ -56,6 +59,20 @@ def embed_chunks(
     )
 
 
+def embed_windows(chunks: DataFrame, model: str | ModelSpec = DEFAULT_MODEL) -> DataFrame:
+    """Chunk rows, one for every window of the whole content, with ``window`` and ``embedding``.
+
+    For searches (`multi_query_top_k` with ``windows``) that are to find what stands late in a long
+    chunk. Contents are not carried on.
+    """
+    texts = embedding_windows(
+        *[F.col(c) for c in ["chunk_type", "name", "content", "file_path", "language"]]
+    )
+    columns = [c for c in CHUNK_COLUMNS if c != "content"]
+    parts = chunks.select(*columns, F.posexplode(texts).alias("window", "__text"))
+    return parts.select(*columns, "window", embed(F.col("__text"), model, "document").alias("embedding"))
+
+
 def rows_for_index(
     files: DataFrame, model: str | ModelSpec = DEFAULT_MODEL
 ) -> DataFrame:

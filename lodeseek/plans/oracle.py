@@ -219,6 +219,52 @@ SELECT r.query_id, t.repo_name, t.file_path, t.chunk_type, t.name, t.start_line,
 FROM ranked r JOIN index_texts t USING (id) WHERE r.rank <= 5
 """
 
+_WINDOWS = f"""{CHUNKS},
+index_texts AS (
+  SELECT *, row_number() OVER (ORDER BY repo_name, file_path, chunk_type, name, start_line) AS id
+  FROM chunk_texts
+),
+windows AS (
+  SELECT id, w, CASE WHEN chunk_type IN ('function', 'class')
+                     THEN language || ' ' || chunk_type || ' ' || name || ': '
+                     ELSE file_path || ': ' END || substr(content, 400 * w + 1, 500) AS plain
+  FROM (SELECT *, unnest(generate_series(0, ceil(greatest(length(content) - 500, 0) / 400)::BIGINT)) AS w
+        FROM index_texts)
+),
+numbered_windows AS (SELECT *, row_number() OVER (ORDER BY id, w) AS part FROM windows),
+{_vectors("stored", "numbered_windows", "part", "'passage: ' || plain", 1024)},
+{_vectors("asked", "benchmark", "item_id", "'query: ' || text", 1024)},
+{_similarities("scored", "stored", "asked", "(SELECT part AS id FROM numbered_windows)")},
+nearest AS (
+  SELECT s.query_id, n.id, max(s.similarity) AS similarity
+  FROM scored s JOIN numbered_windows n ON n.part = s.id GROUP BY ALL
+)"""
+
+ORACLE["search_windows"] = f"""
+WITH RECURSIVE {_WINDOWS},
+ranked AS (
+  SELECT query_id, id, similarity,
+         row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS rank
+  FROM nearest
+)
+SELECT r.query_id, t.repo_name, t.file_path, t.chunk_type, t.name, t.start_line,
+       round(r.similarity, 6) AS similarity, r.rank::INT AS rank
+FROM ranked r JOIN index_texts t USING (id) WHERE r.rank <= 5
+"""
+
+ORACLE["filtered_windows"] = f"""
+WITH RECURSIVE {_WINDOWS},
+ranked AS (
+  SELECT query_id, id, similarity,
+         row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS rank
+  FROM nearest JOIN index_texts USING (id)
+  WHERE chunk_type = 'file' AND (query_id % 2 = 1 OR language = 'markdown')
+)
+SELECT r.query_id, t.repo_name, t.file_path, t.chunk_type, t.name, t.start_line,
+       round(r.similarity, 6) AS similarity, r.rank::INT AS rank
+FROM ranked r JOIN index_texts t USING (id) WHERE r.rank <= 3
+"""
+
 _WHOLE_DOCUMENTS = f"""
 {_vectors("stored", "documents", "doc_id", "text", 384)},
 {_vectors("asked", "benchmark", "item_id", "text", 384)},
@@ -604,6 +650,12 @@ ORACLE["dedup_infer"] = f"""
 SELECT doc_id, len({_tokens("text")})::INT AS n_tokens FROM documents
 """
 
+ORACLE["cached_infer"] = f"""
+SELECT doc_id, len({_tokens("text")})::INT AS n_tokens,
+       text NOT IN (SELECT text FROM documents WHERE lang = 'en') AS fresh
+FROM documents
+"""
+
 ORACLE["chunk_python"] = f"""
 WITH RECURSIVE sources AS (
   SELECT doc_id, {_python("text", "doc_id")} AS content FROM documents

@@ -16,7 +16,7 @@ from lodeseek.operators.positions import batch_groups
 from lodeseek.operators.quantising import ProductQuantiser
 from lodeseek.operators.topk import cosine_top_k, multi_query_top_k
 from lodeseek.plans import corpus
-from lodeseek.plans.indexing import chunk_files, embed_chunks
+from lodeseek.plans.indexing import chunk_files, embed_chunks, embed_windows
 from lodeseek.plans.searching import query_vector, search_many, similarity
 from lodeseek.registry import ModelSpec, model_spec
 from lodeseek.schemas import INDEX_COLUMNS, NATURAL_KEY
@@ -54,6 +54,35 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+@registered
+def search_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`search_chunks` over whole chunks: each is as near as the nearest of its windows."""
+    parts = embed_windows(chunk_files(corpus.code_files(spark, sf_dir)), "e5")
+    queries = load_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        inference.embed(F.col("text"), "e5", "query").alias("embedding"),
+    )
+    hits = multi_query_top_k(parts, queries, 5, NATURAL_KEY, windows=True)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@registered
+def filtered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files of one language nearest to every second benchmark text, by their windows."""
+    parts = embed_windows(chunk_files(corpus.code_files(spark, sf_dir)), "e5")
+    number = F.col("item_id")
+    queries = load_table(spark, sf_dir, "benchmark").select(
+        number.alias("query_id"),
+        F.when(number % 2 == 0, "markdown").alias("language"),
+        F.lit("file").alias("chunk_type"),
+        inference.embed(F.col("text"), "e5", "query").alias("embedding"),
+    )
+    hits = multi_query_top_k(
+        parts, queries, 3, NATURAL_KEY, filter_columns=["language", "chunk_type"], windows=True
+    )
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 @registered
 def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three nearest whole documents for every benchmark text."""
@@ -431,6 +460,20 @@ def dedup_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens")
 
 
+@registered
+def cached_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts from a cache that outlives a run; ``fresh`` tells which texts the second run,
+    over all documents, had to score after a first one over the English ones."""
+    documents = corpus.documents(spark, sf_dir).select("doc_id", "lang", "text")
+    count = lambda t: F.size(text.tokens(t))
+    path = new_folder(spark, "score-cache")
+    first = inference.ScoreCache(spark, path, "int", buckets=8)
+    first.score(documents.filter("lang = 'en'"), "text", count, "n_tokens", run="first")
+    second = inference.ScoreCache(spark, path, "int", buckets=8)
+    counted = second.score(documents, "text", count, "n_tokens", run="second")
+    return counted.select("doc_id", "n_tokens", (F.col("run") == "second").alias("fresh"))
+
+
 # --- files and chunks -------------------------------------------------------------
 
 
