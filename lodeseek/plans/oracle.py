@@ -747,6 +747,57 @@ SELECT source AS repo_name, count(*) AS files FROM documents
 WHERE source NOT IN ('src3', 'src7') GROUP BY source
 """
 
+_NOT_SKIPPED = f"NOT list_has_any(string_split(rel_path, '/'), {_list(SKIPPED_DIRECTORIES)})"
+
+_TREE = f"""{FILES},
+coded AS (
+  SELECT *, {_map(LANGUAGE_BY_EXTENSION, _extension("rel_path"))} AS language FROM files
+),
+tree AS (
+  SELECT doc_id, repo_name, rel_path, language,
+         CASE WHEN language = 'python' THEN {_python("content", "doc_id")} ELSE content END AS content
+  FROM coded WHERE {_NOT_SKIPPED}
+)"""
+
+ORACLE["tree_files"] = f"""
+WITH {_TREE}
+SELECT repo_name, rel_path, octet_length(encode(content)) AS size, false AS failed FROM tree
+"""
+
+ORACLE["tree_reads"] = f"""
+WITH {_TREE}
+SELECT repo_name, rel_path, toxic IS NOT NULL AS failed,
+       CASE WHEN toxic IS NULL THEN octet_length(encode(content)) END AS n_bytes
+FROM tree LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) USING (doc_id) WHERE language IS NOT NULL
+"""
+
+ORACLE["tree_counters"] = f"""
+WITH RECURSIVE {CHUNKS}
+SELECT (SELECT count(*) FROM code_files
+        WHERE {_NOT_SKIPPED} AND repo_name NOT IN ('src3', 'src7') AND regexp_matches(content, '\\S')) AS files,
+       count(*) AS chunks, 0::BIGINT AS failed
+FROM (SELECT *, file_path AS rel_path FROM chunks)
+WHERE {_NOT_SKIPPED} AND repo_name NOT IN ('src3', 'src7')
+"""
+
+ORACLE["refreshed_index"] = f"""
+WITH RECURSIVE {CHUNKS}
+SELECT c.repo_name, c.file_path, c.chunk_type, c.name, c.start_line, c.end_line, false AS failed,
+       md5(substr(CASE WHEN l.doc_id IS NOT NULL AND c.language <> 'python' THEN 'v2: ' ELSE '' END
+                  || c.content, 1, 10000)) AS digest
+FROM chunks c JOIN files f ON f.rel_path = c.file_path LEFT JOIN labels l USING (doc_id)
+WHERE {_NOT_SKIPPED}
+UNION ALL
+SELECT source, 'lib/gone_' || doc_id || '.go', NULL, NULL, NULL, NULL, true, NULL
+FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
+"""
+
+ORACLE["decoded_values"] = """
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN length(text) END::INT AS n_chars,
+       CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS digest, doc_id::VARCHAR AS number
+FROM documents
+"""
+
 _STORED = f"""{FILES},
 stored AS (
   SELECT doc_id, repo_name, rel_path AS file_path, 'file' AS chunk_type,

@@ -16,14 +16,28 @@ from lodeseek.operators.positions import batch_groups
 from lodeseek.operators.quantising import ProductQuantiser
 from lodeseek.operators.topk import cosine_top_k, multi_query_top_k
 from lodeseek.plans import corpus
-from lodeseek.plans.indexing import chunk_files, embed_chunks, embed_windows
+from lodeseek.plans.indexing import chunk_files, embed_chunks, embed_windows, index_tree
 from lodeseek.plans.searching import query_vector, search_many, similarity
 from lodeseek.registry import ModelSpec, model_spec
 from lodeseek.schemas import INDEX_COLUMNS, NATURAL_KEY
 from lodeseek.session import load_table, materialize, new_folder
 from lodeseek.sources.index_store import IndexStore
-from lodeseek.sources.repositories import exclude_repos, indexable, tracked_only
+from lodeseek.sources.repositories import (
+    exclude_repos,
+    indexable,
+    list_tree,
+    read_files,
+    tracked_only,
+    write_tree,
+)
 from lodeseek.sources.responses import parse_responses
+from lodeseek.streaming.refresh import (
+    failed_files,
+    merge_changes,
+    note_changes,
+    refresh_index,
+    state_tables,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -592,6 +606,112 @@ def exclude_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("repo_name").agg(F.count(F.lit(1)).alias("files"))
 
 
+# --- trees ------------------------------------------------------------------------
+
+
+def _written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a source tree of all documents: code files where the path has a language."""
+    files = corpus.document_files(spark, sf_dir)
+    python = corpus.as_python(F.col("content"), F.col("doc_id"))
+    is_python = text.language_of(F.col("rel_path")) == "python"
+    content = F.when(F.coalesce(is_python, F.lit(False)), python).otherwise(F.col("content"))
+    root = new_folder(spark, "tree")
+    write_tree(files.withColumn("content", content), root)
+    return root
+
+
+@registered
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a tree written from all documents, as its listing finds them."""
+    found = list_tree(spark, _written_tree(spark, sf_dir))
+    return found.select("repo_name", "rel_path", "size", F.col("error").isNotNull().alias("failed"))
+
+
+@registered
+def tree_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of known languages read after some, of documents rated toxic, were removed."""
+    root = _written_tree(spark, sf_dir)
+    listing = materialize(indexable(list_tree(spark, root).filter("error IS NULL")), "listing")
+    write_tree(_removed(spark, sf_dir), root)
+    return read_files(listing, root, False).select(
+        "repo_name", "rel_path", F.length("content").alias("n_bytes"), F.col("error").isNotNull().alias("failed")
+    )
+
+
+def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of documents rated toxic, without contents."""
+    toxic = load_table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    files = corpus.document_files(spark, sf_dir).join(toxic, "doc_id", "left_semi")
+    return files.withColumn("content", F.lit(None).cast("string"))
+
+
+@registered
+def tree_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one indexing run over the tree counts, without two excluded repositories."""
+    counted = index_tree(
+        spark, _written_tree(spark, sf_dir), _new_store(spark), model=ModelSpec("hash64", dims=64),
+        exclude=["src3", "src7"],
+    )
+    return spark.createDataFrame(
+        [(counted["files"], counted["chunks"], counted["failed"])], "files bigint, chunks bigint, failed bigint"
+    )
+
+
+@registered
+def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after two streamed refreshes, and the files that the second could not read.
+
+    Between them rated documents change (but for Python files), and files appear for those rated
+    toxic that are gone again when the stream comes to read them.
+    """
+    model = ModelSpec("hash64", dims=64)
+    root, state, store = _written_tree(spark, sf_dir), new_folder(spark, "refresh-state"), _new_store(spark)
+    _finished(refresh_index(spark, root, store, state, model=model))
+    rated = load_table(spark, sf_dir, "labels")
+    files = corpus.code_files(spark, sf_dir).filter("language <> 'python'")
+    changed = files.join(rated.select("doc_id"), "doc_id", "left_semi").withColumn(
+        "content", F.concat(F.lit("v2: "), "content")
+    )
+    write_tree(changed, root)
+    brief = corpus.document_files(spark, sf_dir).join(rated.filter("toxic = 1"), "doc_id", "left_semi").withColumn(
+        "rel_path", F.concat(F.lit("lib/gone_"), F.col("doc_id").cast("string"), F.lit(".go"))
+    )
+    write_tree(brief, root)
+    listing = indexable(list_tree(spark, root).filter("error IS NULL"))
+    note_changes(listing, *state_tables(state), files_per_batch=10_000, buckets=store.buckets)
+    write_tree(brief.withColumn("content", F.lit(None).cast("string")), root)
+    _finished(merge_changes(spark, root, store, state, model=model))
+    indexed = store.read("hash64").select(
+        *NATURAL_KEY, "end_line", F.md5("content").alias("digest"), F.lit(False).alias("failed")
+    )
+    none = {c: F.lit(None) for c in ("chunk_type", "name", "start_line", "end_line", "digest")}
+    broken = failed_files(spark, state).select("repo_name", F.col("rel_path").alias("file_path")).distinct()
+    return indexed.unionByName(
+        broken.withColumns({c: v.cast(indexed.schema[c].dataType) for c, v in none.items()}).withColumn(
+            "failed", F.lit(True)
+        )
+    )
+
+
+def _finished(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@registered
+def decoded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as text: bytes of documents, every third of which are no UTF-8, and numbers."""
+    raw = F.encode("text", "UTF-8")
+    broken = F.when(F.col("doc_id") % 3 == 0, F.concat(raw, F.unhex(F.lit("C328")))).otherwise(raw)
+    decoded = corpus.documents(spark, sf_dir).select(
+        "doc_id",
+        text.decoded_text(broken).alias("t"),
+        text.decoded_text(F.col("doc_id")).alias("number"),
+    )
+    return decoded.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"), "number")
+
+
 # --- index table ------------------------------------------------------------------
 
 

@@ -200,6 +200,35 @@ def read_files(listing: DataFrame, root: str, whole_root: bool) -> DataFrame:
     return listing.repartition(tasks, "repo_name", "rel_path").mapInArrow(read, schema)
 
 
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write files (repo_name, rel_path, content) below ``root``, one directory per repository.
+
+    Returns their number. A file that is there is replaced, so a task that is run again does no
+    harm. NULL as content removes the file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        made: set[str] = set()
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{base}/{row['repo_name']}/{row['rel_path']}"
+                folder = path.rsplit("/", 1)[0]
+                if row["content"] is None:
+                    if system.get_file_info(path).type == pafs.FileType.File:
+                        system.delete_file(path)
+                    continue
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(path) as stream:
+                    stream.write(row["content"])
+            yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
+
+    rows = files.select("repo_name", "rel_path", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(write, "written bigint").agg(F.sum("written")).first()[0] or 0
+
+
 def scan_tree(
     spark: SparkSession,
     root: str,

@@ -94,9 +94,31 @@ def refresh_index(
     """
     listing = indexable(list_tree(spark, root, repo_name).filter("error IS NULL"))
     listing = exclude_repos(tracked_only(listing, manifest), exclude)
-    changes = f"{state.rstrip('/')}/changes"
-    failed = f"{state.rstrip('/')}/failed"
+    changes, failed = state_tables(state)
     note_changes(listing, changes, failed, files_per_batch, store.buckets)
+    return merge_changes(spark, root, store, state, repo_name, model)
+
+
+def state_tables(state: str) -> tuple[str, str]:
+    """The folders of the changes and of the files that could not be read."""
+    return f"{state.rstrip('/')}/changes", f"{state.rstrip('/')}/failed"
+
+
+def failed_files(spark: SparkSession, state: str) -> DataFrame:
+    """The files that could not be read, with the reason, once per batch that tried."""
+    return _read_if_there(spark, FAILED, state_tables(state)[1])
+
+
+def merge_changes(
+    spark: SparkSession,
+    root: str,
+    store: IndexStore,
+    state: str,
+    repo_name: str | None = None,
+    model: str | ModelSpec = DEFAULT_MODEL,
+) -> StreamingQuery:
+    """The second half of `refresh_index`: merge the noted changes not yet merged, then stop."""
+    changes, failed = state_tables(state)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         files = materialize(read_files(batch, root, repo_name is not None), "refresh")
