@@ -13,7 +13,7 @@ BLOCK_TAGS = frozenset(
     "nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe svg object".split())
 # Which open elements a start tag ends.
 ENDED_BY = {
     "li": {"li"},
@@ -28,10 +28,7 @@ ENDS_P = BLOCK_TAGS - {"html", "head", "body"}
 # An end tag does not reach beyond these.
 SCOPE = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-_TAG = re.compile(
-    r"<(/?)([a-zA-Z][^\s/>]*)"
-    r"((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>"
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+)")
 _NAMES = re.compile(r"""(?<![^\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -47,6 +44,43 @@ class Block:
     place: int
 
 
+class _Places:
+    """Where characters come next in a page. A place is looked up once, however often it is asked for."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def after(self, char: str, at: int) -> int:
+        begin, place = self.known.get(char, (0, -2))
+        if place == -2 or not begin <= at <= (place if place >= 0 else len(self.page)):
+            begin, place = at, self.page.find(char, at)
+            self.known[char] = begin, place
+        return place
+
+
+def _tag(page: str, start: int, places: _Places) -> tuple[str, str, str, int] | None:
+    """Slash, name, attributes and end of the tag at ``start``; None if it is not closed.
+
+    A `>` within quotes does not close it, however long the quoted value is.
+    """
+    match = _TAG.match(page, start)
+    if match is None:
+        return None
+    at, end = match.end(), len(page)
+    while at < end and page[at] != ">":
+        if page[at] in "\"'":
+            at = places.after(page[at], at + 1)
+            if at < 0:
+                return None
+            at += 1
+        else:
+            near = [p for p in (places.after(c, at) for c in "\"'>") if p >= 0]
+            at = min(near, default=end)
+    if at >= end:
+        return None
+    return match[1], match[2], page[match.start(3) : at], at + 1
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of class, id and role: `ad-box mainNav` has ad, box, main, nav."""
     found: list[str] = []
@@ -77,7 +111,7 @@ def blocks_of(page: str) -> list[Block]:
         pieces.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    at, end, places = 0, len(page), _Places(page)
     while at < end:
         start = page.find("<", at)
         if start < 0:
@@ -99,7 +133,7 @@ def blocks_of(page: str) -> list[Block]:
             stop = page.find(">", start)
             at = end if stop < 0 else stop + 1
             continue
-        match = _TAG.match(page, start)
+        match = _tag(page, start, places)
         if match is None:
             stop = page.find(">", start) if page[start + 1 : start + 2].isalpha() or page.startswith("</", start) else -1
             if stop < 0:
@@ -112,8 +146,7 @@ def blocks_of(page: str) -> list[Block]:
             slash = "/" if page.startswith("</", start) else ""
             at = stop + 1
         else:
-            slash, tag, attributes = match.groups()
-            at = match.end()
+            slash, tag, attributes, at = match
         tag = tag.lower()
         if slash:
             if tag == "a":
@@ -128,7 +161,7 @@ def blocks_of(page: str) -> list[Block]:
                         break
             continue
         if tag in RAW_TAGS:
-            if attributes.endswith("/") and tag in ("svg", "math"):
+            if attributes.endswith("/") and tag == "svg":
                 continue
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             if stop is None:

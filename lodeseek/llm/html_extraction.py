@@ -22,6 +22,8 @@ INPUTS = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
 HIDDEN = 12
 # Pages that are learnt from, at most, and the longest of them.
 MOST_PAGES, LONGEST_PAGE = 160, 200_000
+# Blocks of a page that are trained as one sequence; longer pages are several.
+TRAINED_TOGETHER = 512
 # Arranged pages per real one, and how long the labeller is fitted.
 ARRANGED, EPOCHS, BATCH, RATE = 6, 8, 24, 0.02
 # Pages that are labelled together, and blocks of them.
@@ -343,7 +345,7 @@ def fit_labeller(pages: list[str], seed: int = 5) -> Labeller:
         if any(labels):
             examples.append((blocks, np.array([bool(v) for v in labels], dtype=np.float32)))
     examples += [arranged_page(texts, rng) for _ in range(ARRANGED * len(pages) if texts else 0)]
-    examples = [(block_vectors(b)[:80], y[:80]) for b, y in examples if b]
+    examples = [part for b, y in examples if b for part in _windows(block_vectors(b), y)]
     model = Labeller.new(seed)
     weights = model.weights
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
@@ -365,6 +367,12 @@ def fit_labeller(pages: list[str], seed: int = 5) -> Labeller:
     return model
 
 
+def _windows(vectors: np.ndarray, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A page's blocks, of a very long page in stretches; every block is in one."""
+    starts = range(0, len(vectors), TRAINED_TOGETHER)
+    return [(vectors[a : a + TRAINED_TOGETHER], labels[a : a + TRAINED_TOGETHER]) for a in starts]
+
+
 def _padded(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(v) for v in vectors])
     x = np.zeros((len(vectors), lengths.max(), INPUTS), dtype=np.float32)

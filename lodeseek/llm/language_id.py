@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseek.llm.text import bytes_of, crc_class, in_parts
+from lodeseek.llm.text import bytes_of, crc_class, in_parts, ragged_ranges
 from lodeseek.session import load_table
 
 PROFILE = 400
-# Languages that a training table may name; more is an error.
-MOST_LANGUAGES = 1000
+# Distances of texts to languages that are held at a time.
+TOTALS_HELD = 4 << 20
 UNKNOWN = "und"
 _BOUNDARY = np.uint64(0x5F)
 
@@ -144,16 +144,9 @@ def language_profiles(
         F.sum("n").alias("n")
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = (
-        counted.withColumn("rank", F.row_number().over(order) - 1)
-        .filter(F.col("rank") < size)
-        .select("lang", "gram", "rank")
-        .limit(MOST_LANGUAGES * size + 1)
-        .collect()
-    )
-    if len(best) > MOST_LANGUAGES * size:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return [(r["lang"], r["gram"], r["rank"]) for r in best]
+    # Said this way Spark keeps ``size`` n-grams of a language in every task before the shuffle.
+    best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    return [(r.lang, r.gram, r.place - 1) for r in best.select("lang", "gram", "place").collect()]
 
 
 def identify(
@@ -172,18 +165,22 @@ def identify(
     names = sorted({p[0] for p in profiles})
     grams = np.array(sorted({p[1] for p in profiles}), dtype=np.int64).view(np.uint64)
     grams.sort()
-    ranks = np.full((len(grams) + 1, max(1, len(names))), size, dtype=np.int32)
-    for lang, gram, rank in profiles:
-        at = int(np.searchsorted(grams, np.uint64(gram)))
-        ranks[at, names.index(lang)] = rank
+    # Per n-gram, the languages that have it in their profile, and at which rank.
+    number = {name: n for n, name in enumerate(names)}
+    entries = np.array(sorted(
+        (int(np.searchsorted(grams, np.array(gram, np.int64).view(np.uint64))), number[lang], rank)
+        for lang, gram, rank in profiles
+    ), dtype=np.int64).reshape(-1, 3)
+    bounds = np.searchsorted(entries[:, 0], np.arange(len(grams) + 2))
+    rows_at_once = max(1, min(60_000, TOTALS_HELD // max(1, len(names))))
     columns = df.columns
     schema = T.StructType([*df.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in in_parts(whole, "__text"):
-                for at in range(0, part.num_rows, 60_000):
-                    batch = part.slice(at, 60_000)
+                for at in range(0, part.num_rows, rows_at_once):
+                    batch = part.slice(at, rows_at_once)
                     best, score = predict(batch.column("__text"))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -202,11 +199,15 @@ def identify(
             return best, score
         row = (keys >> np.uint64(48)).astype(np.int64)
         # Within a row by falling count, ties by code: the position breaks them.
-        falling = np.uint64((1 << 23) - 1) - np.minimum(counts, (1 << 23) - 1).astype(np.uint64)
-        order = (keys >> np.uint64(48) << np.uint64(48)) | falling << np.uint64(25)
-        order |= np.arange(len(keys), dtype=np.uint64)
-        order.sort()
-        at = (order & np.uint64((1 << 25) - 1)).astype(np.int64)
+        if counts.max() < 1 << 23 and len(keys) < 1 << 25:
+            falling = np.uint64((1 << 23) - 1) - counts.astype(np.uint64)
+            order = (keys >> np.uint64(48) << np.uint64(48)) | falling << np.uint64(25)
+            order |= np.arange(len(keys), dtype=np.uint64)
+            order.sort()
+            at = (order & np.uint64((1 << 25) - 1)).astype(np.int64)
+        else:
+            # The same for texts whose counts or n-grams are too many for one word each.
+            at = np.lexsort((np.arange(len(keys)), -counts, row))
         begin = np.searchsorted(row, np.arange(n))
         rank = np.arange(len(keys)) - begin[row]
         top = rank < size
@@ -214,14 +215,17 @@ def identify(
         gram = keys[at] & np.uint64((1 << 48) - 1)
         place = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
         place = np.where(grams[place] == gram, place, len(grams))
-        away = ranks[place]
-        away = np.where(away == size, size, np.abs(away - rank[:, None]))
-        used = np.flatnonzero(np.bincount(row, minlength=n))
-        starts = np.searchsorted(row, used)
-        total = np.add.reduceat(away, starts, axis=0)
-        best[used] = total.argmin(axis=1)
-        sizes = np.diff(np.append(starts, len(row)))
-        score[used] = 1.0 - total.min(axis=1) / (sizes * size)
+        # Out of place by ``size`` in every language, but for those that have the n-gram.
+        having = bounds[place + 1] - bounds[place]
+        found = ragged_ranges(bounds[place], having)
+        nearer = size - np.abs(entries[found, 2] - np.repeat(rank, having))
+        cell = np.repeat(row, having) * len(names) + entries[found, 1]
+        saved = np.bincount(cell, weights=nearer, minlength=n * len(names)).reshape(n, len(names))
+        sizes = np.bincount(row, minlength=n)
+        total = size * sizes[:, None] - saved
+        used = np.flatnonzero(sizes)
+        best[used] = total[used].argmin(axis=1)
+        score[used] = 1.0 - total[used].min(axis=1) / (sizes[used] * size)
         return best, score
 
     return df.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(work, schema)
