@@ -24,8 +24,9 @@ RUN = 50
 # How items and texts are read: as templates; as templates in which capitalised words that
 # open a sentence are names too; and word by word, without placeholders.
 TEMPLATE, OPENERS, RAW = 0, 1, 2
-# The window filter that goes to all tasks has so many bits, whatever the benchmark's size.
-FILTER_BITS = 22
+# The window filter that goes to all tasks has SPARE bits for every window of the benchmark, but
+# no less and no more than these powers of two (32 MB); a fuller one lets more windows pass.
+LEAST_FILTER, MOST_FILTER, SPARE = 16, 28, 16
 # Benchmarks up to this many windows are sent to the tasks that join.
 BROADCAST_WINDOWS = 200_000
 
@@ -38,6 +39,13 @@ UNITS = (
     "degrees degree mph kmh w kw v hz gb mb kb"
 ).split()
 
+# Numbers as words. "One" is left out, as it mostly is none.
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
+    "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred "
+    "thousand million"
+).split()
+
 _NUMBER, _NAME, _UNIT = (np.uint64(n) for n in (11, 12, 13))
 _DIGIT, _LETTER = 1, 2
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -55,6 +63,9 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES = _hash_words(UNITS)
+_NUMBER_HASHES = _hash_words(NUMBER_WORDS)
+# Capitals among the code points of two bytes: Latin, Greek, Cyrillic, Armenian.
+_CAPITALS = np.array([chr(c).isupper() for c in range(0x800)])
 
 
 # Scripts written without spaces, and punctuation beyond ASCII, as ranges of code points.
@@ -94,9 +105,10 @@ def templates(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: row, template symbol, and filler (0 for a plain word).
 
-    Tokens are numbers (with inner points and commas) and runs of letters. A number is a
-    number placeholder; a unit word after a number is a unit; a word with a capital that
-    does not begin a sentence is a name; other words stand for themselves in lower case.
+    Tokens are numbers (with inner points and commas) and runs of letters. A number, in
+    digits or as one of NUMBER_WORDS, is a number placeholder; a unit word after a number is a unit; a word with
+    a capital (of an alphabet of up to two bytes) that does not begin a sentence is a name; other words stand
+    for themselves, with A-Z in lower case. The lowest bit of a filler tells names.
     In the form OPENERS such a word at the beginning of a sentence is a name too, and in the
     form RAW every token stands for itself; in both, characters of scripts without spaces
     are tokens, and punctuation beyond ASCII separates.
@@ -127,10 +139,12 @@ def templates(
     hashes = hash_runs(small, starts, ends)
     if form == RAW:
         return rows, hashes, np.zeros(len(hashes), dtype=np.uint64)
-    number = kind[starts] == _DIGIT
+    number = (kind[starts] == _DIGIT) | _among(hashes, _NUMBER_HASHES)
     first = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)] if len(data) else first
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    wide = (first >= 0xC2) & (first <= 0xDF)
+    code = np.where(wide, (first.astype(np.int64) & 31) << 6 | (second & 63), first)
+    capital = (wide | (first < 128)) & _CAPITALS[np.minimum(code, 0x7FF)]
     stops = np.concatenate([[0], np.cumsum(_STOPS[data])])
     before = np.concatenate([[0], ends[:-1]])
     opens = stops[starts] > stops[before]
@@ -138,16 +152,19 @@ def templates(
     after_number = np.concatenate([[False], number[:-1]]) & ~(
         np.concatenate([[-1], rows[:-1]]) != rows
     )
-    at = np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)
-    unit = after_number & ~number & (_UNIT_HASHES[at] == hashes)
+    unit = after_number & ~number & _among(hashes, _UNIT_HASHES)
     name = capital & ~unit & ~number
     if form == TEMPLATE:
         name &= ~opens
     symbol = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, hashes)))
-    filler = np.where(number | unit | name, hashes, np.uint64(0))
+    filler = np.where(number | unit | name, (hashes & ~np.uint64(1)) | name.astype(np.uint64), np.uint64(0))
     return rows, symbol, filler
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def windows(
     rows: np.ndarray, symbol: np.ndarray, filler: np.ndarray, size: int, form: int = TEMPLATE
 ):
@@ -182,9 +199,9 @@ def benchmark_windows(
 
     ``windows`` counts those of the form, ``whole`` all that the item's tokens make.
 
-    An item of fewer than WINDOW tokens is one window of its own length; below SHORTEST
-    tokens, or without a window of enough plain words, an item cannot be told from chance
-    and has none. Items with NULL id are left out.
+    An item of fewer than WINDOW tokens is one window of its own length. Below SHORTEST tokens it
+    cannot be told from chance within a text, so it is a window in the form RAW only, for texts
+    that are nothing else. Items without a token and items with NULL id are left out.
     """
     schema = T.StructType([T.StructField("item", items.schema[id_col].dataType)])
     for name, kind in (("place", "long"), ("hash", "long")):
@@ -201,7 +218,7 @@ def benchmark_windows(
                 cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
                 for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                     size = min(WINDOW, b - a)
-                    if size < SHORTEST:
+                    if not size or (size < SHORTEST and form != RAW):
                         continue
                     at, hashes = windows(rows[a:b], symbol[a:b], filler[a:b], size, form)
                     n = len(at)
@@ -234,27 +251,41 @@ def _alignments(
     forms: tuple[int, ...],
 ) -> DataFrame:
     """(``text_md5``, ``item``, ``form``, ``places``, ``windows``, ``whole``, ``size``, ``differs``)
-    of the alignments whose fillers correspond one way, windows met in a hash join."""
+    of the alignments whose fillers correspond, windows met in a hash join: a filler of the item
+    stands for one filler of the text throughout, and two names never for one; two numbers or units
+    may, as other parameters can be equal by chance."""
     bench = benchmark_windows(benchmark, item_id, item_text, forms)
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
-    mask = (1 << FILTER_BITS) - 1
-    # At most 2 ** FILTER_BITS numbers, however large the benchmark is.
-    bits = bench.select(F.col("hash").bitwiseAND(F.lit(mask)).alias("b")).distinct().toPandas()
-    allowed = np.zeros(1 << FILTER_BITS, dtype=bool)
-    allowed[bits["b"].to_numpy(dtype=np.int64)] = True
-    packed = np.packbits(allowed)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    count = bench.count()
+    power = min(MOST_FILTER, max(LEAST_FILTER, int(np.ceil(np.log2(max(count, 1) * SPARE)))))
+    mask = np.uint64((1 << power) - 1)
+    # One row per 64 bits of the filter that has any set, however large the benchmark is.
+    place = F.col("hash").bitwiseAND(F.lit(int(mask)))
+    words = bench.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("bits")
+    ).toArrow()
+    packed = np.zeros(1 << (power - 6), dtype=np.int64)
+    packed[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(packed.view(np.uint64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_bits = np.unpackbits(shared.value).astype(bool)
+        bits = shared.value
         for whole in batches:
             for batch in in_parts(whole, "__text"):
                 for form in forms:
-                    rows, symbol, filler = templates(batch.column("__text"), form)
-                    begin = np.searchsorted(rows, np.arange(batch.num_rows))
+                    found = templates(batch.column("__text"), form)
                     for size in sizes:
+                        rows, symbol, filler = found
+                        if size < SHORTEST:
+                            if form != RAW:
+                                continue
+                            # Texts that are nothing but so many tokens.
+                            alone = np.bincount(rows, minlength=batch.num_rows)[rows] == size
+                            rows, symbol, filler = rows[alone], symbol[alone], filler[alone]
+                        begin = np.searchsorted(rows, np.arange(batch.num_rows))
                         at, hashes = windows(rows, symbol, filler, size, form)
-                        near = open_bits[(hashes & np.uint64(mask)).astype(np.int64)]
+                        spot = hashes & mask
+                        near = (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
                         at, hashes = at[near], hashes[near]
                         yield pa.RecordBatch.from_arrays(
                             [
@@ -286,41 +317,11 @@ def _alignments(
             F.max("size").alias("size"),
         )
     )
-    slot = F.array_distinct(F.transform("slots", lambda p: p["i"]))
+    names = F.filter("slots", lambda p: p["i"].bitwiseAND(F.lit(1)) == 1)
+    one_way = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")
+    both_ways = F.size(F.array_distinct(F.transform(names, lambda p: p["d"]))) == F.size(names)
     differs = F.exists("slots", lambda p: p["i"] != p["d"])
-    return aligned.filter(F.size(slot) == F.size("slots")).withColumn("differs", differs)
-
-
-def contaminated_texts(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-) -> DataFrame:
-    """(``text_md5``, ``item``, ``share``, ``reparameterised``) of texts that hold an item.
-
-    Whole texts and items become templates; windows of them meet in a hash join. A filter
-    of fixed size, made of the benchmark's hashes, lets only possible matches leave the
-    scan, so nearly all windows stay where they are read. Matches of a text and an item at
-    one distance form an alignment; it counts if every filler of the item stands for one
-    filler of the text throughout, the same or another. A text holds an item when the
-    counting alignments cover THRESHOLD of its windows; ``reparameterised`` tells that
-    fillers differ. Equal texts give one result. Texts that are NULL, empty or shorter
-    than a window hold nothing.
-    """
-    aligned = _alignments(docs, benchmark, text_col, item_id, item_text, (TEMPLATE,))
-    return (
-        aligned.groupBy("text_md5", "item")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hit"),
-            F.max("windows").alias("windows"),
-            F.max("differs").alias("reparameterised"),
-        )
-        .withColumn("share", F.col("hit") / F.col("windows"))
-        .filter(F.col("share") >= THRESHOLD)
-        .select("text_md5", "item", "share", "reparameterised")
-    )
+    return aligned.filter(one_way & both_ways).withColumn("differs", differs)
 
 
 def held_items(
@@ -332,11 +333,18 @@ def held_items(
 ) -> DataFrame:
     """(``text_md5``, ``item``, ``share``, ``reparameterised``) of texts that hold an item in any form.
 
-    Beside what `contaminated_texts` finds, capitalised words that open a sentence may be
-    names that were replaced; and windows of equal words count without placeholders,
-    whatever they are made of and however other windows were changed. A text also holds an
+    Whole texts and items become templates; windows of them meet in a hash join. A filter
+    made of the benchmark's hashes lets only possible matches leave the scan, so nearly all
+    windows stay where they are read. Matches of a text and an item at one distance form an
+    alignment; it counts if its fillers correspond (`_alignments`). A text holds an item when
+    the counting alignments cover THRESHOLD of its windows.
+
+    Each is read in three forms: as a template; with capitalised words that open a sentence
+    as names too; and word by word, so that windows of equal words count whatever they are
+    made of and however other windows were changed. A text also holds an
     item when it has RUN tokens of it one after another, though ``share`` be less.
-    ``reparameterised`` tells that fillers differ where the words alone are not enough.
+    ``reparameterised`` tells that fillers differ where the words alone are not enough. Equal texts
+    give one result; texts that are NULL, empty or without tokens hold nothing.
     """
     aligned = _alignments(docs, benchmark, text_col, item_id, item_text, (TEMPLATE, OPENERS, RAW))
     # In a run, place less index is constant, so it is equal RUN windows apart.

@@ -1,6 +1,7 @@
 import re
 import sys
 from collections import Counter, defaultdict
+from functools import cache
 from pathlib import Path
 
 import duckdb
@@ -13,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import corpus_pipeline
 from compare import compare
-from lodeseek.llm.decontamination import LITERAL_SHARE, SHORTEST, THRESHOLD, UNITS, WINDOW, contaminated_texts
+from lodeseek.llm.decontamination import LITERAL_SHARE, NUMBER_WORDS, RUN, SHORTEST, THRESHOLD, UNITS, WINDOW, held_items
 from lodeseek.llm.queries import ORACLE, QUERIES
 from lodeseek.session import load_table
 
@@ -30,6 +31,15 @@ COLUMNS = {
     "op8": "doc_id fingerprint component_id",
     "op9": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10": "doc_id held_out score predicted",
+    "op11": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op12": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op13": "query_id rank vec_id score",
+}
+# What the rows of a query stand for, and how many there are of each.
+KEYS = {
+    "op7": ("page_id", "pages", "page_id"),
+    "op12": ("conv_id", "conversations", "conv_id"),
+    "op13": ("query_id", "embeddings", "vec_id"),
 }
 
 
@@ -37,72 +47,121 @@ COLUMNS = {
 def test_every_query_answers_for_every_row(spark, name):
     result = QUERIES[name](spark, SMALL)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(result.columns)
-    key = "page_id" if name.startswith("op7") else "doc_id"
-    table = "pages" if key == "page_id" else "documents"
+    key, table, own = KEYS.get(name.split("_")[0], ("doc_id", "documents", "doc_id"))
     ids = [r[0] for r in result.select(key).collect()]
-    wanted = [r[0] for r in load_table(spark, SMALL, table).select(key).collect()]
-    assert set(ids) == set(wanted)
-    if not name.startswith("op9"):
-        assert len(ids) == len(wanted)
+    wanted = [r[0] for r in load_table(spark, SMALL, table).select(own).collect()]
+    if name.startswith("op12"):
+        # A conversation is the smallest of a node or belongs to one; the root has all.
+        assert set(ids) <= set(wanted) and min(ids) == min(wanted)
+        assert max(r.n_convs for r in result.collect()) == len(set(wanted))
+    elif name.startswith("op13"):
+        assert set(ids) == {i for i in wanted if i % 20 == 0} and len(ids) == 20 * len(set(ids))
+    else:
+        assert set(ids) == set(wanted)
+        if not name.startswith("op9"):
+            assert len(ids) == len(wanted)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     assert compare(spark, connection, QUERIES[name], ORACLE[name], SMALL) is None
 
 
-def brute_templates(text):
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0010FFFF"
+MARKS = r"\u0080-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F\uFF1A-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65"
+DIGITS = r"[0-9](?:[0-9]|[.,](?=[0-9]))*"
+
+
+@cache
+def brute_templates(text, form):
     """(symbol, filler) of each token; symbols are words or the kinds of placeholders."""
     result, end, number = [], None, False
-    pattern = r"[0-9](?:[0-9]|[.,](?=[0-9]))*|(?:[A-Za-z]|[^\x00-\x7f])+"
+    pattern = DIGITS + r"|(?:[A-Za-z]|[^\x00-\x7f])+"
+    if form > 0:
+        pattern = DIGITS + rf"|(?=[^{MARKS}])[{UNSPACED}]|(?:[A-Za-z]|(?![{MARKS}{UNSPACED}])[^\x00-\x7f])+"
     for m in re.finditer(pattern, text):
         word = m.group()
         begins = end is None or bool(set(text[end : m.start()]) & set(".!?:\n"))
         small = "".join(c.lower() if c.isascii() else c for c in word)
-        capital = "A" <= word[0] <= "Z" or "À" <= word[0] <= "Þ"
-        if word[0].isdigit() and word[0].isascii():
+        capital = word[0].isupper() and ord(word[0]) < 0x800
+        was, number = number, word[0] in "0123456789" or small in NUMBER_WORDS
+        if form == 2:
+            result.append((small, None))
+        elif number:
             result.append(("<number>", small))
-        elif number and small in UNITS:
+        elif was and small in UNITS:
             result.append(("<unit>", small))
-        elif capital and not begins:
+        elif capital and (form == 1 or not begins):
             result.append(("<name>", small))
         else:
             result.append((small, None))
-        number, end = word[0].isascii() and word[0].isdigit(), m.end()
+        end = m.end()
     return result
 
 
-def brute_windows(tokens, size):
+@cache
+def brute_windows(text, form, size):
+    """(place, symbols, fillers) of the windows with enough plain words."""
+    tokens, found = brute_templates(text, form), []
     for at in range(len(tokens) - size + 1):
         part = tokens[at : at + size]
         if sum(f is None for _, f in part) >= size * LITERAL_SHARE:
-            yield at, tuple(s for s, _ in part), [f for _, f in part]
+            found.append((at, tuple(s for s, _ in part), [f for _, f in part]))
+    return found
+
+
+def consistent(slots):
+    """Every filler of the item stands for one of the text, and no two names for the same."""
+    names = {(a, b) for s, a, b in slots if s == "<name>"}
+    return len({(s == "<name>", a) for s, a, _ in slots}) == len({(s == "<name>", a, b) for s, a, b in slots}) and len(
+        {b for _, b in names}
+    ) == len(names)
+
+
+def brute_form(text, content, form):
+    """Places covered by consistent alignments, windows, all windows, whether fillers differ, a run."""
+    own, tokens = brute_templates(content, form), brute_templates(text, form)
+    size = min(WINDOW, len(own))
+    if not size or (size < SHORTEST and (form != 2 or len(tokens) != size)):
+        return set(), 0, 0, False, False
+    windows, by_symbols = brute_windows(content, form, size), defaultdict(list)
+    for place, wanted, slots in windows:
+        by_symbols[wanted].append((place, slots))
+    aligned = defaultdict(list)
+    for at, symbols, fillers in brute_windows(text, form, size):
+        for place, slots in by_symbols.get(symbols, ()):
+            aligned[at - place].append((place, {(s, a, b) for s, a, b in zip(symbols, slots, fillers) if a}))
+    hit, differs, run = set(), False, False
+    for matches in aligned.values():
+        slots = set().union(*(pairs for _, pairs in matches))
+        if consistent(slots):
+            places = {p for p, _ in matches}
+            hit |= places
+            differs |= any(a != b for _, a, b in slots)
+            run |= form > 0 and size == WINDOW and any(set(range(p, p + RUN - size + 1)) <= places for p in places)
+    return hit, len(windows), len(own) - size + 1, differs, run
 
 
 def brute_contaminated(text, items):
     found = {}
-    tokens = brute_templates(text or "")
     for item, content in items:
-        own = brute_templates(content or "")
-        size = min(WINDOW, len(own))
-        if item is None or size < SHORTEST:
+        if item is None:
             continue
-        windows = list(brute_windows(own, size))
-        aligned = defaultdict(list)
-        for at, symbols, fillers in brute_windows(tokens, size):
-            for place, wanted, slots in windows:
-                if symbols == wanted:
-                    aligned[at - place].append((place, list(zip(slots, fillers))))
-        hit, differs = set(), False
-        for matches in aligned.values():
-            slots = {p for _, pairs in matches for p in pairs}
-            if len({a for a, _ in slots}) == len(slots):
-                hit |= {p for p, _ in matches}
-                differs |= any(a != b for a, b in slots)
-        if windows and len(hit) / len(windows) >= THRESHOLD:
-            found[item] = (len(hit) / len(windows), differs)
+        forms = [brute_form(text or "", content or "", form) for form in range(3)]
+        part = [len(hit) / windows if windows else 0.0 for hit, windows, *_ in forms]
+        both, whole = forms[1][0] | forms[2][0], forms[2][2]
+        share = max(*part, len(both) / whole if both else 0.0)
+        if share >= THRESHOLD or forms[1][4] or forms[2][4]:
+            if part[0] >= THRESHOLD:
+                differs = forms[0][3]
+            elif part[2] >= THRESHOLD or forms[2][4]:
+                differs = False
+            else:
+                differs = forms[0][3] or forms[1][3]
+            found[item] = (share, differs)
     return found
 
 
@@ -113,9 +172,30 @@ def test_decontamination_equals_brute_force(spark):
         (901, "Über 3,5 kg of Äpfel cost 10 euros in the shop that Maria owns. She sells 20 more at 2 euros"),
         (902, "too short"),
         (903, None),
+        (904, "Tom has five apples and Sam has three pears. Sam gives Tom two more of them at noon"),
+        (905, "Иван купил 5 яблок у Марии, а потом Мария купила 3 груши у соседа за углом дома"),
+        (906, "小明有五个苹果，他又买了三个苹果，现在一共有多少个苹果？"),
+        (907, "12 + 7 - 3 + 9 - 4 + 8 equals what?"),
+        (908, prose(77, 160)),
+        (909, "42"),
+        (910, "... !"),
     ]
     texts = [r.text for r in load_table(spark, SMALL, "documents").collect()] + [t for _, t, *_ in odd_rows()][:9]
-    for n, (_, content) in enumerate(items[-4:-2]):
+    changed = items[-7][1].replace("Tom", "Ann").replace("five", "9").replace("three", "six")
+    texts += [
+        changed.replace("Sam", "Bob"),
+        # Two names that become one.
+        changed.replace("Sam", "Ann"),
+        # Two numbers that become one.
+        items[-7][1].replace("five", "four").replace("three", "four"),
+        items[-6][1].replace("Марии", "Ольги").replace("Мария", "Ольга").replace("Иван", "Пётр").replace("5", "8"),
+        f"他说：{items[-5][1]}谢谢。",
+        f"{prose(5, 9)}. {items[-4][1]}",
+        f"{prose(6, 300)} {' '.join(items[-3][1].split()[40:100])} {prose(7, 300)}",
+        f"{prose(6, 300)} {' '.join(items[-3][1].split()[40:60])} {prose(7, 300)}",
+        " Too\nshort!", "it is too short", "42", "42 43", "...", "!",
+    ]
+    for n, (_, content) in enumerate(items[200:202] if len(items) > 210 else items[40:42]):
         texts += [
             f"{prose(n, 20)} {content}",
             re.sub(r"\d+", "77", content),
@@ -127,7 +207,7 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {
         (r.text_md5, r.item): (round(r.share, 12), r.reparameterised)
-        for r in contaminated_texts(frame, bench).collect()
+        for r in held_items(frame, bench).collect()
     }
     digests = [r[0] for r in frame.select(F.md5(F.coalesce("text", F.lit("")))).collect()]
     wanted = {
