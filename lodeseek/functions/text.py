@@ -164,6 +164,12 @@ def tokens(text: Column, max_length: int | None = None) -> Column:
     return words if max_length is None else F.slice(words, 1, max_length)
 
 
+def first_words(text: Column, count: int) -> Column:
+    """A text up to the end of its word number ``count``, with all between the words."""
+    pieces = F.split(text, r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])", count + 1)
+    return F.when(text.isNotNull(), F.array_join(F.slice(pieces, 1, count), ""))
+
+
 def padded_ids(ids: Column, length: int) -> Column:
     """Token numbers filled with 0 up to ``length``."""
     missing = F.greatest(F.lit(length) - F.size(ids), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lodeseek.functions.arrays import unit_rows
 from lodeseek.functions.hashing import hash_embed
-from lodeseek.functions.text import with_role_prefix
+from lodeseek.functions.text import first_words, with_role_prefix
 from lodeseek.registry import ModelSpec, PredictFn, model_spec
 from lodeseek.session import materialize
 
@@ -26,19 +26,24 @@ def embed(text: Column, model: str | ModelSpec, role: str = "document") -> Colum
     """Unit vector of a text under a model, with the model's prefix for the role.
 
     A registered prediction function is loaded once per Python worker and called on
-    batches of the model's size; a model without one uses the token-hashing embedder,
-    which takes whole texts: a token limit belongs to the model that needs one.
+    batches of the model's size, with the first ``max_length`` words of a text if the model has such a
+    limit; a model without a function uses the token-hashing embedder, which takes whole texts.
     """
     spec = model_spec(model)
     prefixed = with_role_prefix(text, spec, role)
     if spec.make_predict_fn is None:
         return hash_embed(prefixed, spec.dims)
+    prefixed = _within_limit(prefixed, spec)
     predict = predict_batch_udf(
         _checked(spec.make_predict_fn, spec.dims), return_type=VECTOR, batch_size=spec.batch_size
     )
     return predict(prefixed)
 
 
+def _within_limit(text: Column, spec: ModelSpec) -> Column:
+    return text if spec.max_length is None else first_words(text, spec.max_length)
+
+
 def _checked(make_predict_fn: Callable[[], PredictFn], dims: int) -> Callable[[], PredictFn]:
     """The prediction function with unit vectors, one of ``dims`` per input or an error."""
 
@@ -97,7 +102,7 @@ def try_embed(text: Column, model: str | ModelSpec, role: str = "document") -> C
                 }
             )
 
-    return run(with_role_prefix(text, spec, role))
+    return run(_within_limit(with_role_prefix(text, spec, role), spec))
 
 
 def split_errors(df: DataFrame, result: str) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,9 @@
 """Embedding models by name.
 
-A model is a dimension, the prefixes for its two roles, a token limit and a batch
-size. ``make_predict_fn`` loads real weights inside a Python worker; without it the
-built-in token-hashing embedder supplies vectors of the model's dimension.
+A model is a dimension, the prefixes for its two roles, a limit and a batch size.
+``make_predict_fn`` loads real weights inside a Python worker, and is given at most
+``max_length`` words of a text (None: all of it); without it the built-in token-hashing embedder
+supplies vectors of the model's dimension, of whole texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ class ModelSpec:
     dims: int
     prefix: str = ""
     query_prefix: str = ""
-    max_length: int = 256
+    max_length: int | None = None
     batch_size: int = 32
     make_predict_fn: Callable[[], PredictFn] | None = None
 
@@ -37,9 +38,9 @@ DEFAULT_MODEL = "e5"
 
 # Dimensions, prefixes, token limits and batch caps per model (fixed values).
 MODELS: dict[str, ModelSpec] = {
-    "minilm": ModelSpec("minilm", dims=384, batch_size=32),
+    "minilm": ModelSpec("minilm", dims=384, max_length=256, batch_size=32),
     "e5": ModelSpec(
-        "e5", dims=1024, prefix="passage: ", query_prefix="query: ", batch_size=16
+        "e5", dims=1024, prefix="passage: ", query_prefix="query: ", max_length=256, batch_size=16
     ),
     "arctic": ModelSpec("arctic", dims=768, max_length=8192, batch_size=32),
 }

@@ -324,6 +324,25 @@ def test_normalization_and_pooling(spark):
 # --- models ----------------------------------------------------------------------------
 
 
+def test_a_models_limit_holds_for_its_own_function_only(spark):
+    def make():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    spec = ModelSpec("limited", 2, prefix="doc: ", max_length=3, make_predict_fn=make)
+    texts = ["one, two; three four", "one", "", "é1 - ü", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    cut = [r[0] for r in frame.select(text.first_words(F.concat(F.lit("doc: "), "t"), 3)).collect()]
+    assert cut == ["doc: one, two", "doc: one", "doc: ", "doc: é1 - ü", None]
+    known = frame.filter("t IS NOT NULL")
+    for embedded in (inference.embed(F.col("t"), spec), inference.try_embed(F.col("t"), spec)["embedding"]):
+        lengths = [round(r[0][0] / r[0][1]) for r in known.select(embedded.alias("v")).collect()]
+        assert lengths == [len(c) for c in cut[:4]]
+    whole = ModelSpec("unlimited", 2, make_predict_fn=make)
+    assert round(known.select(inference.embed(F.col("t"), whole).alias("v")).first().v[0] * 1000) == 999
+    long = spark.createDataFrame([(" ".join(f"w{i}" for i in range(20_000)),)], "t string")
+    assert len(long.select(text.first_words(F.col("t"), 8192)).first()[0].split()) == 8192
+
+
 def test_registered_model(spark):
     def make():
         return lambda texts: np.array([[len(t), 1.0] for t in texts])
