@@ -166,7 +166,7 @@ def test_two_levels_beyond_the_bound(spark, monkeypatch, tmp_path):
     assert isinstance(tree, CellTree)
     numbers = sorted(r.cell for r in tree.cells.collect())
     assert numbers == list(range(len(numbers))) and 30 <= len(numbers) <= 50
-    tree.save(str(tmp_path / "tree"))
+    tree.save(str(tmp_path / "tree"), spark)
     tree = CellTree.load(spark, str(tmp_path / "tree"))
     stored = tree.placed(frame)
     assert stored.count() == 1201 and stored.filter("cell IS NULL").count() == 1
