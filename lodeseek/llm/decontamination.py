@@ -26,7 +26,7 @@ RUN = 50
 TEMPLATE, OPENERS, RAW = 0, 1, 2
 # The window filter that goes to all tasks has SPARE bits for every window of the benchmark, but
 # no less and no more than these powers of two (32 MB); a fuller one lets more windows pass.
-LEAST_FILTER, MOST_FILTER, SPARE = 16, 28, 16
+LEAST_FILTER, MOST_FILTER, SPARE = 16, 28, 256
 # Benchmarks up to this many windows are sent to the tasks that join.
 BROADCAST_WINDOWS = 200_000
 
