@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, memory-mapped."""
+"""Elias-Fano sequences and an n-gram trie over them, memory-mapped."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ _ONE = np.uint64(1)
 _SIXTY_THREE = np.uint64(63)
 # Probabilities are kept as whole steps of 1/2048 of a power of ten, from 10^-16 up.
 STEPS, LOWEST = 2048.0, 16.0
-# Bits of a context inside its word's part of level two.
-CONTEXT_BITS = 40
+# Bits of a context below its word, and of the context before it below the pair.
+CONTEXT_BITS, SECOND_BITS = 40, 32
 
 
 class MappedFile:
@@ -143,53 +143,79 @@ def restored(steps: np.ndarray) -> np.ndarray:
     return steps.astype(np.float64) / STEPS - LOWEST
 
 
+def raised(log10: np.ndarray) -> np.ndarray:
+    """Logarithms as steps, rounded up: what a probability is divided by is never too small."""
+    return np.clip(np.ceil((log10 + LOWEST) * STEPS), 0, 65535).astype(np.uint16)
+
+
+class Level:
+    """What stands below the entries of the level above, relative to them.
+
+    The parent's place in the upper bits keeps the whole level non-decreasing, so one
+    sequence serves all parents; non-decreasing pointers say where each parent's part is.
+    An entry has a weight and, but for the last level, a divisor of what follows it.
+    """
+
+    def __init__(
+        self,
+        store: MappedFile,
+        above: int,
+        parents: np.ndarray,
+        contexts: np.ndarray,
+        bits: int,
+        weights: np.ndarray,
+        follows: np.ndarray | None = None,
+    ):
+        """``above`` parents; entries sorted by parent's place and context."""
+        self.bits = np.uint64(bits)
+        ends = np.searchsorted(parents, np.arange(above + 1)).astype(np.uint64)
+        self.pointers = EliasFano(ends, max(1, len(contexts).bit_length()), store)
+        relative = (parents.astype(np.uint64) << self.bits) | contexts
+        self.contexts = EliasFano(relative, min(bits + max(1, above.bit_length()), 64), store)
+        self.weights = store.put(quantised(weights))
+        self.follows = None if follows is None else store.put(raised(follows))
+
+    def find(self, parents: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of contexts below their parents, and whether they are there."""
+        place, hit = self.contexts.successor((parents.astype(np.uint64) << self.bits) | contexts)
+        at = np.flatnonzero(hit)
+        # The successor must lie in its parent's own part.
+        begin = self.pointers.at(parents[at]).astype(np.int64)
+        end = self.pointers.at(parents[at] + 1).astype(np.int64)
+        hit[at] = (place[at] >= begin) & (place[at] < end)
+        return place, hit
+
+
 class NgramTrie:
-    """Words with their contexts below them, each with a smoothed, quantised weight.
+    """Words, the contexts below them, and the contexts before those, with quantised weights.
 
-    Level one holds sorted word hashes, exact counts, the weight of the word in a context
-    it was not seen in, and non-decreasing pointers to its contexts. Level two holds the
-    contexts of each word relative to the word: its rank in the upper bits keeps the whole
-    level non-decreasing, so one sequence serves all words.
+    Level one holds sorted word hashes, exact counts, the weight of the word in a context it
+    was not seen in, and the divisor of what follows it; level two the same of pairs; level
+    three the weights of triples.
     """
 
     def __init__(
         self,
         words: np.ndarray,
         counts: np.ndarray,
-        unseen: np.ndarray,
-        parents: np.ndarray,
-        contexts: np.ndarray,
-        seen: np.ndarray,
+        weights: np.ndarray,
+        follows: np.ndarray,
+        pairs: tuple[np.ndarray, ...],
+        triples: tuple[np.ndarray, ...],
     ):
-        """Sorted words; for each (parent, context), sorted, the parent's rank and weight."""
+        """``pairs`` are (word's rank, context, weight, follows), ``triples`` (pair's place,
+        second context, weight), each sorted by the first two."""
         self.store = MappedFile()
         self.words = EliasFano(words, 64, self.store)
         self.counts = self.store.put(counts.astype(np.int64))
-        self.unseen = self.store.put(quantised(unseen))
-        ends = np.searchsorted(parents, np.arange(len(words) + 1)).astype(np.uint64)
-        self.pointers = EliasFano(ends, max(1, len(contexts).bit_length()), self.store)
-        relative = (parents.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts
-        bits = CONTEXT_BITS + max(1, len(words).bit_length())
-        self.contexts = EliasFano(relative, min(bits, 64), self.store)
-        self.seen = self.store.put(quantised(seen))
+        self.weights = self.store.put(quantised(weights))
+        self.follows = self.store.put(raised(follows))
+        self.pairs = Level(self.store, len(words), *pairs[:2], CONTEXT_BITS, *pairs[2:])
+        self.triples = Level(self.store, len(pairs[0]), *triples[:2], SECOND_BITS, triples[2])
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of words, and whether they are there."""
         return self.words.successor(words)
 
-    def weights(self, ranks: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """log10 weight of known words (by rank) after their contexts."""
-        place, hit = self.contexts.successor(
-            (ranks.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts
-        )
-        result = restored(self.unseen[ranks])
-        at = np.flatnonzero(hit)
-        # The successor must lie among the word's own contexts.
-        begin = self.pointers.at(ranks[at]).astype(np.int64)
-        end = self.pointers.at(ranks[at] + 1).astype(np.int64)
-        at = at[(place[at] >= begin) & (place[at] < end)]
-        result[at] = restored(self.seen[place[at]])
-        return result
-
     def close(self) -> None:
         self.store.close()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeseek.llm.elias_fano import CONTEXT_BITS, NgramTrie
+from lodeseek.llm.elias_fano import CONTEXT_BITS, SECOND_BITS, NgramTrie, restored
 from lodeseek.llm.text import (
     bytes_of,
     crc_class,
@@ -25,21 +25,23 @@ from lodeseek.llm.text import (
 )
 from lodeseek.session import load_table, materialize
 
-# Words share context evidence as if one occurrence in STRENGTH of all tokens were prior.
-STRENGTH = 300.0
+# What a pair's count and the words' own probabilities weigh beside the count of a triple.
+PAIR_SHARE, PRIOR = 0.003, 3.0
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 32 << 20, 48, 1 << 20
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 20, 65_535
 
 START, END = np.uint64(2), np.uint64(1)
 _CONTEXT_MASK = np.uint64((1 << CONTEXT_BITS) - 1)
+_SECOND_MASK = np.uint64((1 << SECOND_BITS) - 1)
 
 
 @dataclass
 class Block:
-    """Consecutive documents as token arrays: word, context, document number in the block."""
+    """Consecutive documents as token arrays: word, the two before it, document number."""
 
     words: np.ndarray
     contexts: np.ndarray
+    seconds: np.ndarray
     rows: np.ndarray
     train: np.ndarray
     ids: pa.Array
@@ -54,19 +56,27 @@ def _tokens(batch: pa.RecordBatch) -> Block:
     words = np.empty(len(starts) + batch.num_rows, dtype=np.uint64)
     words[np.arange(len(starts)) + rows] = hash_runs(data, starts, ends)
     words[last] = END
-    contexts = np.empty_like(words)
-    contexts[1:] = words[:-1]
-    contexts[last[:-1] + 1] = START
-    contexts[:1] = START
+    first = last[:-1] + 1
+    contexts = _before(words, first)
     return Block(
         words,
         contexts,
+        _before(contexts, first),
         np.repeat(np.arange(batch.num_rows), per_row + 1),
         batch.column("__train").to_numpy(zero_copy_only=False).astype(bool),
         batch.column("__id"),
     )
 
 
+def _before(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value before each; START before those of the places ``first`` and the very first."""
+    result = np.empty_like(values)
+    result[1:] = values[:-1]
+    result[first] = START
+    result[:1] = START
+    return result
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """Blocks of about BLOCK_TOKENS tokens; a longer text is a block of its own."""
     held: list[Block] = []
@@ -89,6 +99,7 @@ def _joined(parts: list[Block]) -> Block:
     return Block(
         np.concatenate([p.words for p in parts]),
         np.concatenate([p.contexts for p in parts]),
+        np.concatenate([p.seconds for p in parts]),
         np.concatenate([p.rows + n for p, n in zip(parts, before)]),
         np.concatenate([p.train for p in parts]),
         pa.concat_arrays([p.ids for p in parts]),
@@ -216,6 +227,45 @@ def frequent_pairs(rows: DataFrame, words: dict[int, int], over: int) -> dict[tu
     return {(r["word"], r["context"]): r["n"] for r in counted.collect()}
 
 
+def frequent_triples(
+    rows: DataFrame, pairs: dict[tuple[int, int], int], over: int
+) -> dict[tuple[int, int, int], int]:
+    """(word, context, second context) with more than ``over`` occurrences in training texts.
+
+    Such a triple ends in a frequent pair and begins with one, or with the start.
+    """
+    inside = np.sort(_pair_keys(*_columns(pairs, 2)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            use = np.flatnonzero(block.train[block.rows])
+            use = use[_member(_pair_keys(block.words[use], block.contexts[use]), inside)]
+            begins = block.contexts[use] == START
+            begins |= _member(_pair_keys(block.contexts[use], block.seconds[use]), inside)
+            use = use[begins]
+            triples = np.stack([block.words[use], block.contexts[use], block.seconds[use]], axis=1)
+            triples, counts = np.unique(triples, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[pa.array(np.ascontiguousarray(triples[:, i]).view(np.int64)) for i in range(3)],
+                    pa.array(counts.astype(np.int64)),
+                ],
+                names=["word", "context", "second", "n"],
+            )
+
+    counted = (
+        rows.mapInArrow(count, "word long, context long, second long, n long")
+        .groupBy("word", "context", "second")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") > over)
+    )
+    return {(r["word"], r["context"], r["second"]): r["n"] for r in counted.collect()}
+
+
+def _columns(keys: dict[tuple, int], width: int) -> list[np.ndarray]:
+    return [np.array([k[i] for k in keys], dtype=np.int64).view(np.uint64) for i in range(width)]
+
+
 def _member(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(inside, values), len(inside) - 1)
     return inside[at] == values
@@ -225,9 +275,23 @@ def _pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return mixed(words) ^ (contexts & _CONTEXT_MASK)
 
 
+def _triple_keys(words: np.ndarray, contexts: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    return mixed(_pair_keys(words, contexts)) ^ (seconds & _SECOND_MASK)
+
+
+def _known_counts(
+    counts: np.ndarray, keys: np.ndarray, known: np.ndarray, known_counts: np.ndarray
+) -> np.ndarray:
+    """``counts``, but of the frequent keys, which lie in many parts, what was counted over all."""
+    if not len(known):
+        return counts
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, known_counts[at], counts)
+
+
 ROUTED = (
     "part int, block long, words binary, sizes binary, docs binary, low binary, high binary,"
-    " train binary, ids array<{id}>, tokens array<long>"
+    " second binary, train binary, ids array<{id}>, tokens array<long>"
 )
 ANSWERED = (
     "block long, docs binary, known binary, base binary, score binary, train binary,"
@@ -237,7 +301,7 @@ ANSWERED = (
 
 @dataclass
 class Model:
-    """What every task knows: totals, and the fewer than ``parts`` frequent words and pairs."""
+    """What every task knows: totals, and the fewer than ``parts`` frequent words, pairs, triples."""
 
     tokens: int
     distinct: int
@@ -245,39 +309,39 @@ class Model:
     parts: int
     hot_words: dict[int, int]
     hot_pairs: dict[tuple[int, int], int]
+    hot_triples: dict[tuple[int, int, int], int]
 
     def __post_init__(self):
-        words = sorted(np.array([*self.hot_words], dtype=np.int64).view(np.uint64).tolist())
-        self.hot = np.array(words, dtype=np.uint64)
-        self.hot_counts = np.array(
-            [self.hot_words[int(np.uint64(w).astype(np.int64))] for w in words], dtype=np.int64
-        )
-        keys = _pair_keys(*[
-            np.array([p[i] for p in self.hot_pairs], dtype=np.int64).view(np.uint64) for i in (0, 1)
-        ])
-        order = np.argsort(keys)
-        self.pair_keys = keys[order]
-        self.pair_counts = np.array(list(self.hot_pairs.values()), dtype=np.int64)[order]
-
-    @property
-    def prior(self) -> float:
-        return max(self.tokens, 1) / STRENGTH
+        words = np.array([*self.hot_words], dtype=np.int64).view(np.uint64)
+        self.words = _sorted(words, self.hot_words)
+        self.pairs = _sorted(_pair_keys(*_columns(self.hot_pairs, 2)), self.hot_pairs)
+        self.triples = _sorted(_triple_keys(*_columns(self.hot_triples, 3)), self.hot_triples)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1.0) / (self.tokens + self.distinct + 1.0)
 
     def parts_of(self, block: Block, number: int) -> np.ndarray:
-        """The word decides; a frequent word's contexts and a frequent pair's blocks spread."""
-        key = block.words
-        if len(self.hot):
-            salted = _member(block.words, self.hot)
-            key = np.where(salted, mixed(block.words ^ mixed(block.contexts)), key)
-        if len(self.pair_keys):
-            often = _member(_pair_keys(block.words, block.contexts), self.pair_keys)
-            key = np.where(often, mixed(np.full(1, number, dtype=np.uint64)), key)
+        """The word decides; a frequent word spreads by context, a frequent pair by the one
+        before, a frequent triple by block."""
+        words, contexts, seconds = block.words, block.contexts, block.seconds
+        key = words
+        if len(self.words[0]):
+            often = _member(words, self.words[0])
+            key = np.where(often, mixed(words ^ mixed(contexts)), key)
+        if len(self.pairs[0]):
+            often = _member(_pair_keys(words, contexts), self.pairs[0])
+            key = np.where(often, mixed(words ^ mixed(contexts ^ mixed(seconds))), key)
+        if len(self.triples[0]):
+            often = _member(_triple_keys(words, contexts, seconds), self.triples[0])
+            key = np.where(often, mixed(words ^ np.uint64(number)), key)
         return (key % np.uint64(self.parts)).astype(np.int64)
 
 
+def _sorted(keys: np.ndarray, counts: dict) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], np.array(list(counts.values()), dtype=np.int64)[order]
+
+
 def _route(model: Model, id_type: pa.DataType):
     """Tokens of whole blocks to the parts of their words."""
     shift = max(1, (model.parts - 1).bit_length())
@@ -292,6 +356,7 @@ def _route(model: Model, id_type: pa.DataType):
             )
             words, part = block.words[order], part[order]
             contexts = block.contexts[order] & _CONTEXT_MASK
+            seconds = (block.seconds[order] & _SECOND_MASK).astype(np.uint32)
             change = np.flatnonzero((words[1:] != words[:-1]) | (part[1:] != part[:-1])) + 1
             heads = np.concatenate([[0], change])
             sizes = np.diff(np.concatenate([heads, [len(words)]])).astype(np.uint32)
@@ -310,11 +375,12 @@ def _route(model: Model, id_type: pa.DataType):
                     _blobs(block.rows[order].astype(np.uint16), cuts, full),
                     _blobs((contexts & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts, full),
                     _blobs((contexts >> np.uint64(32)).astype(np.uint8), cuts, full),
+                    _blobs(seconds, cuts, full),
                     pa.array([train] * len(full), pa.binary()),
                     only(block.ids.to_pylist(), pa.list_(id_type)),
                     only(tokens, pa.list_(pa.int64())),
                 ],
-                names=["part", "block", "words", "sizes", "docs", "low", "high", "train", "ids", "tokens"],
+                names=["part", "block", "words", "sizes", "docs", "low", "high", "second", "train", "ids", "tokens"],
             )
 
     return work
@@ -329,7 +395,7 @@ def _answer(model: Model, id_type: pa.DataType):
     names = ["block", "docs", "known", "base", "score", "train", "ids", "tokens"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, sizes, low, high, train, ends = [], [], [], [], [], [0]
+        heads, sizes, low, high, second, train, ends = [], [], [], [], [], [], [0]
         with tempfile.TemporaryFile() as file:
             with pa.ipc.new_stream(file, _waiting_schema(id_type)) as waiting:
                 for batch in batches:
@@ -340,6 +406,7 @@ def _answer(model: Model, id_type: pa.DataType):
                         sizes.append(np.frombuffer(row["sizes"], np.uint32))
                         low.append(np.frombuffer(row["low"], np.uint32))
                         high.append(np.frombuffer(row["high"], np.uint8))
+                        second.append(np.frombuffer(row["second"], np.uint32))
                         train.append(flags[docs])
                         ends.append(ends[-1] + len(docs))
                         keep = {k: row[k] for k in ("block", "docs", "train", "ids", "tokens")}
@@ -352,6 +419,7 @@ def _answer(model: Model, id_type: pa.DataType):
                 np.concatenate(sizes),
                 np.concatenate(low),
                 np.concatenate(high),
+                np.concatenate(second),
                 np.concatenate(train),
             )
             file.seek(0)
@@ -397,66 +465,105 @@ def _scores(
     sizes: np.ndarray,
     low: np.ndarray,
     high: np.ndarray,
+    second: np.ndarray,
     train: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: known (0 or 1), log10(c + 1), and its share of the model's log10 probability."""
     words, head_rank = np.unique(heads, return_inverse=True)
     rank = np.repeat(head_rank, sizes)
-    contexts = (high.astype(np.uint64) << np.uint64(32)) | low
-    keys = (rank.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts
-    keys, which = np.unique(keys, return_inverse=True)
-    pair_counts = np.bincount(which, weights=train, minlength=len(keys)).astype(np.int64)
     counts = np.bincount(rank, weights=train, minlength=len(words)).astype(np.int64)
-    key_rank = (keys >> np.uint64(CONTEXT_BITS)).astype(np.int64)
-    key_context = keys & _CONTEXT_MASK
-    if len(model.hot):
-        at = np.minimum(np.searchsorted(model.hot, words), len(model.hot) - 1)
-        counts = np.where(model.hot[at] == words, model.hot_counts[at], counts)
-    if len(model.pair_keys):
-        pair = _pair_keys(words[key_rank], key_context)
-        at = np.minimum(np.searchsorted(model.pair_keys, pair), len(model.pair_keys) - 1)
-        pair_counts = np.where(model.pair_keys[at] == pair, model.pair_counts[at], pair_counts)
-    prior = model.prior * model.base(counts)
-    trained, seen = np.flatnonzero(counts), np.flatnonzero(pair_counts)
-    new_rank = np.cumsum(counts > 0) - 1
+    counts = _known_counts(counts, words, *model.words)
+    contexts = (high.astype(np.uint64) << np.uint64(32)) | low
+    pairs, pair_of = np.unique(
+        (rank.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts, return_inverse=True
+    )
+    del contexts
+    pair_counts = np.bincount(pair_of, weights=train, minlength=len(pairs)).astype(np.int64)
+    pair_rank = (pairs >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+    pair_context = pairs & _CONTEXT_MASK
+    pair_keys = _pair_keys(words[pair_rank], pair_context)
+    pair_counts = _known_counts(pair_counts, pair_keys, *model.pairs)
+    triples, triple_of = np.unique(
+        (pair_of.astype(np.uint64) << np.uint64(SECOND_BITS)) | second, return_inverse=True
+    )
+    triple_counts = np.bincount(triple_of, weights=train, minlength=len(triples)).astype(np.int64)
+    triple_pair = (triples >> np.uint64(SECOND_BITS)).astype(np.int64)
+    triple_second = triples & _SECOND_MASK
+    if len(model.triples[0]):
+        keys = mixed(pair_keys[triple_pair]) ^ triple_second
+        triple_counts = _known_counts(triple_counts, keys, *model.triples)
+
+    prior = PRIOR * model.base(counts)
+    backed = PAIR_SHARE * pair_counts + prior[pair_rank]
+    trained, paired = np.flatnonzero(counts), np.flatnonzero(pair_counts)
+    tripled = np.flatnonzero(triple_counts)
+    new_rank, new_place = np.cumsum(counts > 0) - 1, np.cumsum(pair_counts > 0) - 1
     trie = NgramTrie(
         words[trained],
         counts[trained],
         np.log10(prior[trained]),
-        new_rank[key_rank[seen]],
-        key_context[seen],
-        np.log10(pair_counts[seen] + prior[key_rank[seen]]),
+        np.log10(PAIR_SHARE * counts[trained] + PRIOR),
+        (
+            new_rank[pair_rank[paired]],
+            pair_context[paired],
+            np.log10(backed[paired]),
+            np.log10(pair_counts[paired] + PAIR_SHARE * counts[pair_rank[paired]] + PRIOR),
+        ),
+        (
+            new_place[triple_pair[tripled]],
+            triple_second[tripled],
+            np.log10(triple_counts[tripled] + backed[triple_pair[tripled]]),
+        ),
     )
-    found_rank, found = trie.find(words)
-    weights = np.full(len(keys), np.log10(model.prior * model.base(np.zeros(1)))[0])
-    asked = np.flatnonzero(found[key_rank])
-    weights[asked] = trie.weights(found_rank[key_rank[asked]], key_context[asked])
+    word_place, known = trie.find(words)
+    known_place = word_place[known]
     count = np.zeros(len(words))
-    count[found] = trie.counts[found_rank[found]]
+    count[known] = trie.counts[known_place]
+    word_weight = np.full(len(words), np.log10(PRIOR * model.base(np.zeros(1)))[0])
+    word_weight[known] = restored(trie.weights[known_place])
+    word_follow = np.full(len(words), np.log10(PRIOR))
+    word_follow[known] = restored(trie.follows[known_place])
+    pair_weight, pair_follow = word_weight[pair_rank], word_follow[pair_rank]
+    pair_place = np.zeros(len(pairs), dtype=np.int64)
+    asked = np.flatnonzero(known[pair_rank])
+    place, hit = trie.pairs.find(word_place[pair_rank[asked]], pair_context[asked])
+    at, place = asked[hit], place[hit]
+    pair_place[at] = place
+    pair_weight[at] = restored(trie.pairs.weights[place])
+    pair_follow[at] = restored(trie.pairs.follows[place])
+    found = np.zeros(len(pairs), dtype=bool)
+    found[at] = True
+    weight = pair_weight[triple_pair]
+    asked = np.flatnonzero(found[triple_pair])
+    place, hit = trie.triples.find(pair_place[triple_pair[asked]], triple_second[asked])
+    weight[asked[hit]] = restored(trie.triples.weights[place[hit]])
     trie.close()
-    follows = np.where(words == END, 0.0, np.log10(count + model.prior))
+    # Nothing follows an end.
+    pair_follow[words[pair_rank] == END] = 0.0
     return (
         (count > 0).astype(np.float64)[rank],
         np.log10(count + 1.0)[rank],
-        weights[which] - follows[rank],
+        weight[triple_of] - pair_follow[pair_of],
     )
 
 
 def score_texts(
     df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Every row's log10 probability under a bigram model learnt from the rows of ``train``.
+    """Every row's log10 probability under a trigram model learnt from the rows of ``train``.
 
-    p(w | v) = (c(v, w) + m p(w)) / (c(v) + m), with p(w) = (c(w) + 1) / (N + V + 1) and m =
-    N / STRENGTH: a proper distribution in which a context's evidence counts against a prior
-    that grows with the corpus. The numerator depends on w and its contexts, the
-    denominator on v alone, so a token is answered where its word is counted and a text's
+    p(w | u v) = (c(u, v, w) + s c(v, w) + b p(w)) / (c(u, v) + s c(v) + b), with p(w) =
+    (c(w) + 1) / (N + V + 1), s = PAIR_SHARE and b = PRIOR: counts of three orders merged, a
+    proper distribution with weights that do not grow with the corpus. The numerator
+    depends on w and its contexts, the denominator on v and its context alone, so a
+    token is answered where its word is counted and a text's
     score is the sum of the answers. Each token is therefore sent once, packed with its
     block of documents, to its word's part. That part's task counts, builds its shard of
     the trie and answers; partial sums per document go back. No vocabulary is broadcast.
 
     Words with more than 1/parts of all tokens, fewer than ``parts`` of them, are spread
-    by context, and pairs as frequent as that by block; their counts come to all tasks.
+    by context, pairs as frequent as that by the context before, and triples by block;
+    their counts come to all tasks.
 
     NULL texts are empty (one end token); without training rows p is 1 for that token's
     text. Repeated rows and NULL ids are scored like other rows. Other columns are not read.
@@ -480,18 +587,18 @@ def score_texts(
     over = tokens // parts
     hot = frequent_words(vocab, over)
     pairs = frequent_pairs(learnt, hot, over) if hot else {}
+    triples = frequent_triples(learnt, pairs, over) if pairs else {}
     documents = learnt.count()
-    model = Model(tokens, distinct, documents, parts, hot, pairs)
-    # Fewer than ``parts`` words and pairs, by arithmetic: each has over 1/parts of all.
+    # Fewer than ``parts`` of each order, by arithmetic: each has over 1/parts of all.
     shared = df.sparkSession.sparkContext.broadcast(
-        (tokens, distinct, documents, parts, hot, pairs)
+        (tokens, distinct, documents, parts, hot, pairs, triples)
     )
     answers = (
         rows.mapInArrow(_deferred(_route, shared, id_type), ROUTED.format(id=id_sql))
         .groupBy("part")
         .applyInArrow(_deferred(_answer, shared, id_type), ANSWERED.format(id=id_sql))
     )
-    begin = float(np.log10(documents + model.prior))
+    begin = float(np.log10(documents + PAIR_SHARE * documents + PRIOR))
     width = float(np.log10(tokens + distinct + 1.0))
     schema = T.StructType([T.StructField(id_col, id_field.dataType)])
     for name, kind in (

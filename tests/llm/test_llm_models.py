@@ -10,9 +10,9 @@ from llm_data import no_docs, odd_docs, odd_rows, prose
 from pyspark.sql import functions as F
 
 from lodeseek.llm import lm_scoring
-from lodeseek.llm.elias_fano import EliasFano, MappedFile, NgramTrie, quantised, restored
+from lodeseek.llm.elias_fano import EliasFano, MappedFile, NgramTrie, quantised, raised, restored
 from lodeseek.llm.language_id import identify, language_profiles, letter_tables, ngram_counts
-from lodeseek.llm.lm_scoring import STRENGTH, score_texts
+from lodeseek.llm.lm_scoring import PAIR_SHARE, PRIOR, score_texts
 from lodeseek.llm.sampling import sampled_ids
 from lodeseek.llm.text import crc_class, hash_runs
 from lodeseek.llm.toxicity import BlockMaxIndex, drop_toxic, fit, score_toxicity
@@ -42,42 +42,56 @@ def test_trie_answers_words_and_contexts():
     pairs = sorted({(int(rng.integers(len(words))), int(rng.integers(2**40))) for _ in range(900)})
     parents = np.array([p for p, _ in pairs])
     contexts = np.array([c for _, c in pairs], dtype=np.uint64)
-    seen, unseen = rng.uniform(-9, 0, len(pairs)), rng.uniform(-12, -9, len(words))
-    trie = NgramTrie(words, np.arange(len(words)), unseen, parents, contexts, seen)
+    below = sorted({(int(rng.integers(len(pairs))), int(rng.integers(2**32))) for _ in range(2000)})
+    places = np.array([p for p, _ in below])
+    seconds = np.array([c for _, c in below], dtype=np.uint64)
+    one, two, three = rng.uniform(-12, -9, len(words)), rng.uniform(-9, -5, len(pairs)), rng.uniform(-5, 0, len(below))
+    after, later = rng.uniform(0, 6, len(words)), rng.uniform(0, 6, len(pairs))
+    trie = NgramTrie(
+        words, np.arange(len(words)), one, after, (parents, contexts, two, later), (places, seconds, three)
+    )
     rank, found = trie.find(words)
     assert found.all() and np.array_equal(rank, np.arange(len(words)))
-    assert np.abs(trie.weights(parents, contexts) - seen).max() <= 1 / 2048
-    other = (contexts + np.uint64(1)) & np.uint64(2**40 - 1)
-    absent = np.array([(p, int(c)) not in set(pairs) for p, c in zip(parents, other)])
-    got = trie.weights(parents[absent], other[absent])
-    assert np.abs(got - unseen[parents[absent]]).max() <= 1 / 2048
-    assert (restored(quantised(seen)) <= seen).all()
+    for level, up, here, weights, top, known in (
+        (trie.pairs, parents, contexts, two, 2**40, set(pairs)),
+        (trie.triples, places, seconds, three, 2**32, set(below)),
+    ):
+        place, hit = level.find(up, here)
+        assert hit.all() and np.array_equal(place, np.arange(len(up)))
+        assert np.abs(restored(level.weights[place]) - weights).max() <= 1 / 2048
+        other = (here + np.uint64(1)) & np.uint64(top - 1)
+        present = [(int(p), int(c)) in known for p, c in zip(up, other)]
+        assert level.find(up, other)[1].tolist() == present
+    assert (restored(quantised(two)) <= two).all() and (restored(raised(later)) >= later).all()
+    assert np.abs(restored(trie.follows) - after).max() <= 1 / 2048
     trie.close()
 
 
 def brute_scores(rows, train):
     texts = [re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode())) + [None] for t in rows]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     starts = 0
     for words, learn in zip(texts, train):
         if learn:
             one.update(words)
             two.update(zip(["start", *words[:-1]], words))
+            three.update(zip(["start", "start", *words[:-2]], ["start", *words[:-1]], words))
             starts += 1
     n, v = sum(one.values()), len(one)
-    prior = max(n, 1) / STRENGTH
     for words in texts:
         base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in words)
         score = 0.0
-        for before, w in zip(["start", *words[:-1]], words):
+        for second, before, w in zip(["start", "start", *words[:-2]], ["start", *words[:-1]], words):
             context = starts if before == "start" else one[before]
-            score += math.log10((two[before, w] + prior * (one[w] + 1) / (n + v + 1)) / (context + prior))
+            both = starts if before == "start" else two[second, before]
+            own = three[second, before, w] + PAIR_SHARE * two[before, w] + PRIOR * (one[w] + 1) / (n + v + 1)
+            score += math.log10(own / (both + PAIR_SHARE * context + PRIOR))
         yield len(words), sum(one[w] > 0 for w in words), n, base, score
 
 
-@pytest.mark.parametrize("parts", [48, 3])
+@pytest.mark.parametrize("parts", [48, 3, 700])
 def test_scores_equal_a_dictionary_model(spark, monkeypatch, parts):
-    # Few parts make many words and pairs frequent, many make none.
+    # Few parts make no words, pairs or triples frequent, many make all three.
     monkeypatch.setattr(lm_scoring, "LEAST_PARTS", parts)
     rows = [(i, t) for i, t, *_ in odd_rows()] + [(50 + i, "the same pair " * 40) for i in range(5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -91,7 +105,7 @@ def test_scores_equal_a_dictionary_model(spark, monkeypatch, parts):
     for g, w in zip(got, wanted):
         assert g[:4] == w[:4]
         assert g[4] == pytest.approx(w[4], rel=1e-9)
-        assert abs(g[5] - w[5]) <= g[1] / 2048 + 1e-6
+        assert w[5] - 2 * (g[1] + 1) / 2048 - 1e-6 <= g[5] <= w[5] + 1e-6
 
 
 def test_scores_without_training_rows_and_of_nothing(spark):
