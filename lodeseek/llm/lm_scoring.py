@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from lodeseek.llm.elias_fano import CONTEXT_BITS, SECOND_BITS, NgramTrie, restored
 from lodeseek.llm.text import (
+    MULTIPLY_1,
     bytes_of,
     crc_class,
     hash_runs,
@@ -29,6 +30,8 @@ from lodeseek.session import load_table, materialize
 PAIR_SHARE, PRIOR = 0.003, 3.0
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 32 << 20, 48, 1 << 20
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 20, 65_535
+# Tokens of a part that are counted and answered together, about; a word is never divided.
+SLICE_TOKENS = 1 << 18
 
 START, END = np.uint64(2), np.uint64(1)
 _CONTEXT_MASK = np.uint64((1 << CONTEXT_BITS) - 1)
@@ -62,7 +65,7 @@ def _tokens(batch: pa.RecordBatch) -> Block:
         words,
         contexts,
         _before(contexts, first),
-        np.repeat(np.arange(batch.num_rows), per_row + 1),
+        np.repeat(np.arange(batch.num_rows, dtype=np.uint16), per_row + 1),
         batch.column("__train").to_numpy(zero_copy_only=False).astype(bool),
         batch.column("__id"),
     )
@@ -100,7 +103,7 @@ def _joined(parts: list[Block]) -> Block:
         np.concatenate([p.words for p in parts]),
         np.concatenate([p.contexts for p in parts]),
         np.concatenate([p.seconds for p in parts]),
-        np.concatenate([p.rows + n for p, n in zip(parts, before)]),
+        np.concatenate([p.rows + np.uint16(n) for p, n in zip(parts, before)]),
         np.concatenate([p.train for p in parts]),
         pa.concat_arrays([p.ids for p in parts]),
     )
@@ -310,6 +313,7 @@ class Model:
     hot_words: dict[int, int]
     hot_pairs: dict[tuple[int, int], int]
     hot_triples: dict[tuple[int, int, int], int]
+    slice_tokens: int
 
     def __post_init__(self):
         words = np.array([*self.hot_words], dtype=np.int64).view(np.uint64)
@@ -372,7 +376,7 @@ def _route(model: Model, id_type: pa.DataType):
                     pa.array(np.full(len(full), number)),
                     _blobs(words[heads], head_cuts, full),
                     _blobs(sizes, head_cuts, full),
-                    _blobs(block.rows[order].astype(np.uint16), cuts, full),
+                    _blobs(block.rows[order], cuts, full),
                     _blobs((contexts & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts, full),
                     _blobs((contexts >> np.uint64(32)).astype(np.uint8), cuts, full),
                     _blobs(seconds, cuts, full),
@@ -389,39 +393,42 @@ def _route(model: Model, id_type: pa.DataType):
 def _answer(model: Model, id_type: pa.DataType):
     """One part: counts its training tokens, builds its trie, answers all its tokens.
 
-    Rows wait in a nameless file while they are counted, so memory holds arrays of one
-    part's tokens and its trie is read from its map.
+    Rows wait in a nameless file while they are counted, so memory holds narrow arrays of one
+    part's tokens. These are taken in slices by their words' hashes, each with a trie of its
+    own that is read from its map, so that the wider arrays of counting stay small.
     """
     names = ["block", "docs", "known", "base", "score", "train", "ids", "tokens"]
+    columns = {"words": np.uint64, "sizes": np.uint32, "low": np.uint32, "high": np.uint8, "second": np.uint32}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, sizes, low, high, second, train, ends = [], [], [], [], [], [], [0]
+        held: dict[str, list[np.ndarray]] = {name: [] for name in (*columns, "train")}
+        ends = [0]
         with tempfile.TemporaryFile() as file:
             with pa.ipc.new_stream(file, _waiting_schema(id_type)) as waiting:
                 for batch in batches:
-                    for row in batch.to_pylist():
+                    for i in range(batch.num_rows):
+                        row = batch.slice(i, 1).to_pylist()[0]
                         docs = np.frombuffer(row["docs"], np.uint16)
                         flags = np.unpackbits(np.frombuffer(row["train"], np.uint8)).astype(bool)
-                        heads.append(np.frombuffer(row["words"], np.uint64))
-                        sizes.append(np.frombuffer(row["sizes"], np.uint32))
-                        low.append(np.frombuffer(row["low"], np.uint32))
-                        high.append(np.frombuffer(row["high"], np.uint8))
-                        second.append(np.frombuffer(row["second"], np.uint32))
-                        train.append(flags[docs])
+                        for name, kind in columns.items():
+                            held[name].append(np.frombuffer(row[name], kind))
+                        held["train"].append(flags[docs])
                         ends.append(ends[-1] + len(docs))
                         keep = {k: row[k] for k in ("block", "docs", "train", "ids", "tokens")}
                         waiting.write_batch(
                             pa.RecordBatch.from_pylist([keep], schema=_waiting_schema(id_type))
                         )
-            known, base, score = _scores(
-                model,
-                np.concatenate(heads),
-                np.concatenate(sizes),
-                np.concatenate(low),
-                np.concatenate(high),
-                np.concatenate(second),
-                np.concatenate(train),
-            )
+            heads, sizes, *tokens = [np.concatenate(held.pop(name)) for name in list(held)]
+            slices = np.uint64(1 + ends[-1] // model.slice_tokens)
+            slice_of = np.repeat((mixed(heads * MULTIPLY_1) % slices).astype(np.uint32), sizes)
+            words = np.repeat(heads, sizes)
+            known = np.zeros(ends[-1], dtype=bool)
+            base, score = np.zeros(ends[-1]), np.zeros(ends[-1])
+            for number in range(int(slices)):
+                at = np.flatnonzero(slice_of == number)
+                if len(at):
+                    known[at], base[at], score[at] = _scores(model, words[at], *[t[at] for t in tokens])
+            del words, slice_of, tokens
             file.seek(0)
             for a, b, batch in zip(ends[:-1], ends[1:], pa.ipc.open_stream(file)):
                 docs = np.frombuffer(batch.column(1)[0].as_buffer(), np.uint16)
@@ -461,16 +468,14 @@ def _waiting_schema(id_type: pa.DataType) -> pa.Schema:
 
 def _scores(
     model: Model,
-    heads: np.ndarray,
-    sizes: np.ndarray,
+    words: np.ndarray,
     low: np.ndarray,
     high: np.ndarray,
     second: np.ndarray,
     train: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: known (0 or 1), log10(c + 1), and its share of the model's log10 probability."""
-    words, head_rank = np.unique(heads, return_inverse=True)
-    rank = np.repeat(head_rank, sizes)
+    """Per token: known, log10(c + 1), and its share of the model's log10 probability."""
+    words, rank = np.unique(words, return_inverse=True)
     counts = np.bincount(rank, weights=train, minlength=len(words)).astype(np.int64)
     counts = _known_counts(counts, words, *model.words)
     contexts = (high.astype(np.uint64) << np.uint64(32)) | low
@@ -541,7 +546,7 @@ def _scores(
     # Nothing follows an end.
     pair_follow[words[pair_rank] == END] = 0.0
     return (
-        (count > 0).astype(np.float64)[rank],
+        (count > 0)[rank],
         np.log10(count + 1.0)[rank],
         weight[triple_of] - pair_follow[pair_of],
     )
@@ -591,7 +596,7 @@ def score_texts(
     documents = learnt.count()
     # Fewer than ``parts`` of each order, by arithmetic: each has over 1/parts of all.
     shared = df.sparkSession.sparkContext.broadcast(
-        (tokens, distinct, documents, parts, hot, pairs, triples)
+        (tokens, distinct, documents, parts, hot, pairs, triples, SLICE_TOKENS)
     )
     answers = (
         rows.mapInArrow(_deferred(_route, shared, id_type), ROUTED.format(id=id_sql))
