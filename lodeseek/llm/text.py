@@ -98,7 +98,7 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return hashes
 
 
-def in_parts(batch: pa.RecordBatch, column: str, size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+def in_parts(batch: pa.RecordBatch, column: str | int, size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``size`` bytes, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))

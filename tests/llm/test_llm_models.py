@@ -93,6 +93,7 @@ def brute_scores(rows, train):
 def test_scores_equal_a_dictionary_model(spark, monkeypatch, parts):
     # Few parts make no words, pairs or triples frequent, many make all three.
     monkeypatch.setattr(lm_scoring, "LEAST_PARTS", parts)
+    monkeypatch.setattr(lm_scoring, "SLICE_TOKENS", 200)
     rows = [(i, t) for i, t, *_ in odd_rows()] + [(50 + i, "the same pair " * 40) for i in range(5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     scored = score_texts(frame, crc_class("doc_id", 7) != 2).collect()
@@ -178,7 +179,8 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in identify(docs, nothing).collect()} == {"und"}
 
 
-def test_block_max_index_equals_brute_force():
+@pytest.mark.parametrize("common_share", [2.0, 0.087, 0.0])
+def test_block_max_index_equals_brute_force(common_share):
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(700):
@@ -188,7 +190,8 @@ def test_block_max_index_equals_brute_force():
     dense = np.zeros((700, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    index = BlockMaxIndex(vectors, 40)
+    # No term has rows in place of postings, some have, all have.
+    index = BlockMaxIndex(vectors, 40, common_share)
     for terms, weights in vectors[:80]:
         who, similar = index.search(terms, weights, 9)
         scores = np.round(dense[:, terms] @ weights, 12)
@@ -220,6 +223,12 @@ def test_toxic_texts_are_found(spark):
     right = sum((r.doc_id % 6 == 0) == (r.predicted == 1) for r in rows)
     assert right / len(rows) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
+    # Every example has a vector, and is its own nearest.
+    _, terms, _, index, clean, toxic, ids, blank = model
+    assert index.size == len(ids) == 720 and blank == (0, 0)
+    assert all(r.evidence for r in rows)
+    own = score_toxicity(docs.filter("doc_id % 5 > 0"), model).collect()
+    assert all(r.evidence[0]["id"] == str(r.doc_id) and r.evidence[0]["similarity"] > 0.999 for r in own)
     evidence = [r.evidence for r in rows if r.predicted == 1]
     assert all(e and all(n["similarity"] > 0 for n in e) for e in evidence)
 
