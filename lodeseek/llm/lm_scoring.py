@@ -29,7 +29,7 @@ from lodeseek.session import load_table, materialize
 # What a pair's count and the words' own probabilities weigh beside the count of a triple.
 PAIR_SHARE, PRIOR = 0.003, 3.0
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 32 << 20, 48, 1 << 20
-BLOCK_TOKENS, BLOCK_ROWS = 1 << 20, 65_535
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 19, 65_535
 # Tokens of a part that are counted and answered together, about; a word is never divided.
 SLICE_TOKENS = 1 << 18
 
