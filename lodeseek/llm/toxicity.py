@@ -26,7 +26,7 @@ from lodeseek.session import load_table, materialize
 
 # The labelled rows that are learnt from, at most (chosen by a hash of their id), and how
 # long a text may be that is learnt from: together they bound what tasks hold.
-MOST_EXAMPLES, MOST_TEXT_BYTES = 8_000, 1 << 18
+MOST_EXAMPLES, MOST_TEXT_BYTES = 4_000, 1 << 18
 # Telling terms: chi-squared of at least LEAST_CHI, and toxic examples LEAST_LIFT times as
 # frequent among those that hold the term as among all (frequent words pass the first test
 # already because toxic texts are a little longer); the MOST_TERMS best weigh in full.
