@@ -22,13 +22,16 @@ from lodeseek.llm.text import (
     in_parts,
     lowered,
     mixed,
+    ragged_ranges,
     word_runs,
 )
 from lodeseek.session import load_table, materialize
 
 # What a pair's count and the words' own probabilities weigh beside the count of a triple.
 PAIR_SHARE, PRIOR = 0.003, 3.0
-PART_BYTES, LEAST_PARTS, MOST_PARTS = 32 << 20, 48, 1 << 20
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 16 << 20, 48, 1 << 20
+# A word, pair or triple with over this share of a part's tokens is spread over parts.
+SPREAD_SHARE = 1 / 8
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 19, 65_535
 # Tokens of a part that are counted and answered together, about; a word is never divided.
 SLICE_TOKENS = 1 << 18
@@ -210,13 +213,12 @@ def frequent_pairs(rows: DataFrame, words: dict[int, int], over: int) -> dict[tu
         for block in blocks(batches):
             use = block.train[block.rows] & _member(block.words, inside)
             use[use] = _member(block.contexts[use], inside)
-            pairs = np.stack([block.words[use], block.contexts[use]], axis=1)
-            pairs, counts = np.unique(pairs, axis=0, return_counts=True)
+            pairs = [block.words[use], block.contexts[use]]
+            one, counts = _first_of(mixed(pairs[0] ^ mixed(pairs[1])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)),
-                    pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64)),
-                    pa.array(counts.astype(np.int64)),
+                    *[pa.array(column[one].view(np.int64)) for column in pairs],
+                    pa.array(counts),
                 ],
                 names=["word", "context", "n"],
             )
@@ -246,12 +248,12 @@ def frequent_triples(
             begins = block.contexts[use] == START
             begins |= _member(_pair_keys(block.contexts[use], block.seconds[use]), inside)
             use = use[begins]
-            triples = np.stack([block.words[use], block.contexts[use], block.seconds[use]], axis=1)
-            triples, counts = np.unique(triples, axis=0, return_counts=True)
+            triples = [block.words[use], block.contexts[use], block.seconds[use]]
+            one, counts = _first_of(mixed(triples[0] ^ mixed(triples[1] ^ mixed(triples[2]))))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[pa.array(np.ascontiguousarray(triples[:, i]).view(np.int64)) for i in range(3)],
-                    pa.array(counts.astype(np.int64)),
+                    *[pa.array(column[one].view(np.int64)) for column in triples],
+                    pa.array(counts),
                 ],
                 names=["word", "context", "second", "n"],
             )
@@ -265,6 +267,12 @@ def frequent_triples(
     return {(r["word"], r["context"], r["second"]): r["n"] for r in counted.collect()}
 
 
+def _first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and its number."""
+    _, one, counts = np.unique(keys, return_index=True, return_counts=True)
+    return one, counts.astype(np.int64)
+
+
 def _columns(keys: dict[tuple, int], width: int) -> list[np.ndarray]:
     return [np.array([k[i] for k in keys], dtype=np.int64).view(np.uint64) for i in range(width)]
 
@@ -304,7 +312,7 @@ ANSWERED = (
 
 @dataclass
 class Model:
-    """What every task knows: totals, and the fewer than ``parts`` frequent words, pairs, triples."""
+    """What every task knows: totals, and the frequent words, pairs and triples."""
 
     tokens: int
     distinct: int
@@ -403,32 +411,37 @@ def _answer(model: Model, id_type: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {name: [] for name in (*columns, "train")}
         ends = [0]
+        schema = _waiting_schema(id_type)
         with tempfile.TemporaryFile() as file:
-            with pa.ipc.new_stream(file, _waiting_schema(id_type)) as waiting:
+            with pa.ipc.new_stream(file, schema) as waiting:
                 for batch in batches:
+                    kept = batch.select(schema.names).cast(schema)
+                    cells = {name: batch.column(name) for name in (*columns, "docs", "train")}
                     for i in range(batch.num_rows):
-                        row = batch.slice(i, 1).to_pylist()[0]
-                        docs = np.frombuffer(row["docs"], np.uint16)
-                        flags = np.unpackbits(np.frombuffer(row["train"], np.uint8)).astype(bool)
+                        # Views of the batch, which is let go once they are joined.
+                        docs = np.frombuffer(cells["docs"][i].as_buffer(), np.uint16)
+                        flags = np.unpackbits(np.frombuffer(cells["train"][i].as_buffer(), np.uint8))
                         for name, kind in columns.items():
-                            held[name].append(np.frombuffer(row[name], kind))
-                        held["train"].append(flags[docs])
+                            held[name].append(np.frombuffer(cells[name][i].as_buffer(), kind))
+                        held["train"].append(flags.astype(bool)[docs])
                         ends.append(ends[-1] + len(docs))
-                        keep = {k: row[k] for k in ("block", "docs", "train", "ids", "tokens")}
-                        waiting.write_batch(
-                            pa.RecordBatch.from_pylist([keep], schema=_waiting_schema(id_type))
-                        )
+                        waiting.write_batch(kept.slice(i, 1))
+            batch = kept = cells = docs = None
             heads, sizes, *tokens = [np.concatenate(held.pop(name)) for name in list(held)]
+            pa.default_memory_pool().release_unused()
+            sizes = sizes.astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
             slices = np.uint64(1 + ends[-1] // model.slice_tokens)
-            slice_of = np.repeat((mixed(heads * MULTIPLY_1) % slices).astype(np.uint32), sizes)
-            words = np.repeat(heads, sizes)
+            slice_of = mixed(heads * MULTIPLY_1) % slices
             known = np.zeros(ends[-1], dtype=bool)
             base, score = np.zeros(ends[-1]), np.zeros(ends[-1])
             for number in range(int(slices)):
-                at = np.flatnonzero(slice_of == number)
-                if len(at):
-                    known[at], base[at], score[at] = _scores(model, words[at], *[t[at] for t in tokens])
-            del words, slice_of, tokens
+                own = np.flatnonzero(slice_of == number)
+                if len(own):
+                    at = ragged_ranges(starts[own], sizes[own])
+                    words = np.repeat(heads[own], sizes[own])
+                    known[at], base[at], score[at] = _scores(model, words, *[t[at] for t in tokens])
+            del heads, sizes, starts, slice_of, tokens
             file.seek(0)
             for a, b, batch in zip(ends[:-1], ends[1:], pa.ipc.open_stream(file)):
                 docs = np.frombuffer(batch.column(1)[0].as_buffer(), np.uint16)
@@ -566,9 +579,10 @@ def score_texts(
     block of documents, to its word's part. That part's task counts, builds its shard of
     the trie and answers; partial sums per document go back. No vocabulary is broadcast.
 
-    Words with more than 1/parts of all tokens, fewer than ``parts`` of them, are spread
-    by context, pairs as frequent as that by the context before, and triples by block;
-    their counts come to all tasks.
+    Words with more than SPREAD_SHARE / parts of all tokens, fewer than ``parts`` /
+    SPREAD_SHARE of them, are spread by context, pairs as frequent as that by the context
+    before, and triples by block; their counts come to all tasks. So no part is much larger
+    than the others, and no slice of one word either.
 
     NULL texts are empty (one end token); without training rows p is 1 for that token's
     text. Repeated rows and NULL ids are scored like other rows. Other columns are not read.
@@ -589,12 +603,12 @@ def score_texts(
     vocab = materialize(vocabulary(learnt, parts), "vocabulary")
     sums = vocab.agg(F.sum("total"), F.sum("distinct")).first()
     tokens, distinct = sums[0] or 0, sums[1] or 0
-    over = tokens // parts
+    over = int(tokens * SPREAD_SHARE / parts)
     hot = frequent_words(vocab, over)
     pairs = frequent_pairs(learnt, hot, over) if hot else {}
     triples = frequent_triples(learnt, pairs, over) if pairs else {}
     documents = learnt.count()
-    # Fewer than ``parts`` of each order, by arithmetic: each has over 1/parts of all.
+    # Fewer than ``parts`` / SPREAD_SHARE of each order, by arithmetic: each has over that of all.
     shared = df.sparkSession.sparkContext.broadcast(
         (tokens, distinct, documents, parts, hot, pairs, triples, SLICE_TOKENS)
     )

@@ -109,6 +109,17 @@ def test_scores_equal_a_dictionary_model(spark, monkeypatch, parts):
         assert w[5] - 2 * (g[1] + 1) / 2048 - 1e-6 <= g[5] <= w[5] + 1e-6
 
 
+def test_words_that_fill_a_part_are_spread(spark, monkeypatch):
+    # Each of these words has nearly 1/48 of all tokens, so each would fill a part.
+    found = []
+    frequent = lm_scoring.frequent_words
+    monkeypatch.setattr(lm_scoring, "frequent_words", lambda *a: found.append(frequent(*a)) or found[0])
+    rows = [(i, " ".join(f"w{n}" for n in range(49)) + f" x{i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert score_texts(frame, F.lit(True)).count() == 200
+    assert sorted(found[0].values()) == [200] * 50
+
+
 def test_scores_without_training_rows_and_of_nothing(spark):
     rows = score_texts(odd_docs(spark), F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in rows)
