@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,6 +46,21 @@ def from_matrix(
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
 
+def row_ranges(sizes: np.ndarray, most: int, rows: int | None = None) -> Iterator[slice]:
+    """Consecutive rows whose ``sizes`` sum up to ``most``, and ``rows`` at most; one row at least.
+
+    An Arrow batch is bounded in rows only. What is worked out beside it is bounded by this.
+    """
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        stop = stop if rows is None else min(stop, start + max(rows, 1))
+        yield slice(start, stop)
+        start = stop
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; a zero row stays zero."""
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
