@@ -13,9 +13,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeseek.functions.arrays import row_ranges
 from lodeseek.functions.text import file_name, not_blank
 from lodeseek.schemas import CHUNK_ARRAY
 
@@ -31,6 +33,9 @@ _CHUNKS = pa.list_(
     )
 )
 
+# Bytes of files whose chunks are Python objects at a time.
+BYTES_AT_ONCE = 1 << 20
+
 # White space within a line.
 _GAP = r"[^\S\n]"
 _START = re.compile(
@@ -70,19 +75,29 @@ def _definitions(text: str) -> Iterator[tuple]:
         at, line = closed.start(), last + 1
 
 
-def python_definitions(content: Column) -> Column:
-    """Function and class chunks of a Python file; NULL for NULL."""
+def definition_lists(texts: pa.Array) -> pa.Array:
+    """The chunks of a batch of files, few of them as Python objects at a time."""
+    names = [f.name for f in _CHUNKS.value_type]
 
-    @F.arrow_udf(CHUNK_ARRAY)
-    def find(texts: pa.Array) -> pa.Array:
-        fields = _CHUNKS.value_type
-        names = [f.name for f in fields]
+    def chunks(some: pa.Array) -> pa.Array:
         found = [
             None if text is None else [dict(zip(names, chunk)) for chunk in _definitions(text)]
-            for text in texts.to_pylist()
+            for text in some.to_pylist()
         ]
         return pa.array(found, _CHUNKS)
 
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    parts = [chunks(texts[some]) for some in row_ranges(sizes, BYTES_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _CHUNKS)
+
+
+def python_definitions(content: Column) -> Column:
+    """Function and class chunks of a Python file; NULL for NULL."""
+
+    @F.arrow_udf(CHUNK_ARRAY)
+    def find(texts: pa.Array) -> pa.Array:
+        return definition_lists(texts)
+
     return find(content)
 
 

@@ -14,11 +14,13 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseek.functions.arrays import row_ranges
 from lodeseek.functions.text import (
     SKIPPED_DIRECTORIES,
     in_skipped_directory,
@@ -33,7 +35,7 @@ MAX_FILE_BYTES = 2**31 - 1
 
 # Bytes of files that one task reads, and that it hands over at a time.
 TASK_BYTES = 128 << 20
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 _ENTRIES = pa.schema(
     [
@@ -172,13 +174,16 @@ def read_files(listing: DataFrame, root: str, whole_root: bool) -> DataFrame:
             done, held, contents, errors = 0, 0, [], []
 
             def flush() -> pa.RecordBatch:
+                count = len(contents)
                 read_now = [pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+                contents.clear()
+                errors.clear()
                 return pa.RecordBatch.from_arrays(
-                    [*batch.slice(done, len(contents)).columns, *read_now],
+                    [*batch.slice(done, count).columns, *read_now],
                     names=[*batch.schema.names, "content", "error"],
                 )
 
-            for row in batch.to_pylist():
+            for row in batch.select(["repo_name", "rel_path", "size"]).to_pylist():
                 inside = "" if whole_root else f"{row['repo_name']}/"
                 content, error = None, None
                 try:
@@ -192,8 +197,9 @@ def read_files(listing: DataFrame, root: str, whole_root: bool) -> DataFrame:
                 errors.append(error)
                 held += len(content or b"")
                 if held >= BATCH_BYTES:
+                    count = len(contents)
                     yield flush()
-                    done, held, contents, errors = done + len(contents), 0, [], []
+                    done, held = done + count, 0
             if contents:
                 yield flush()
 
@@ -210,19 +216,25 @@ def write_tree(files: DataFrame, root: str) -> int:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(root)
         made: set[str] = set()
+
+        def put(row: dict) -> None:
+            path = f"{base}/{row['repo_name']}/{row['rel_path']}"
+            folder = path.rsplit("/", 1)[0]
+            if row["content"] is None:
+                if system.get_file_info(path).type == pafs.FileType.File:
+                    system.delete_file(path)
+                return
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            with system.open_output_stream(path) as stream:
+                stream.write(row["content"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                path = f"{base}/{row['repo_name']}/{row['rel_path']}"
-                folder = path.rsplit("/", 1)[0]
-                if row["content"] is None:
-                    if system.get_file_info(path).type == pafs.FileType.File:
-                        system.delete_file(path)
-                    continue
-                if folder not in made:
-                    system.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with system.open_output_stream(path) as stream:
-                    stream.write(row["content"])
+            sizes = pc.fill_null(pc.binary_length(batch.column("content")), 0)
+            for some in row_ranges(sizes.to_numpy(zero_copy_only=False), BATCH_BYTES):
+                for row in batch.slice(some.start, some.stop - some.start).to_pylist():
+                    put(row)
             yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
 
     rows = files.select("repo_name", "rel_path", F.col("content").cast("binary").alias("content"))

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import duckdb
 import pyarrow as pa
@@ -8,7 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from lodeseek.functions import chunking
+from lodeseek.functions import chunking, hashing
+from lodeseek.functions.chunking import definition_lists
+from lodeseek.functions.hashing import token_vectors
 from lodeseek.plans.oracle import CHUNKS, CODE_FILES
 
 GOLDEN = [
@@ -126,3 +129,33 @@ def test_trailing_blank_lines_belong_to_the_chunk(spark, kind):
     source = f"{kind} a(): \n    x\n\n\n"
     chunks = chunk_all(spark, [source])[0]
     assert (chunks[0].start_line, chunks[0].end_line) == (1, 5)
+
+
+def test_memory_beside_a_batch_is_bounded(monkeypatch):
+    monkeypatch.setattr(hashing, "TOKENS_AT_ONCE", 1 << 15)
+    monkeypatch.setattr(chunking, "BYTES_AT_ONCE", 1 << 15)
+
+    # Twice the batch takes no more beside it.
+    def peaks(rows):
+        tokens = pa.array([[f"w{(i * 7 + n) % 900}" for n in range(400)] for i in range(rows)])
+        texts = pa.array([f"def f{i}(x):\n    return {i}\n" * 10 for i in range(rows)])
+        for work in (lambda: token_vectors(tokens, 64), lambda: definition_lists(texts)):
+            tracemalloc.start()
+            assert len(work()) == rows
+            yield tracemalloc.get_traced_memory()[1] / 1e6
+            tracemalloc.stop()
+
+    few, many = list(peaks(500)), list(peaks(1000))
+    assert many[0] < 1.3 * few[0] and many[1] < 1.3 * few[1]
+
+
+def test_batches_in_parts_equal_whole_ones(monkeypatch):
+    tokens = pa.array([["a", "b", "a"], None, [], ["c"] * 50, ["b"], []])
+    texts = pa.array(["def f(x):\n    pass\ndef g(y):\n    pass", None, "", "x = 1", "class C:\n    pass"])
+    whole = token_vectors(tokens, 8), definition_lists(texts)
+    monkeypatch.setattr(hashing, "TOKENS_AT_ONCE", 2)
+    monkeypatch.setattr(chunking, "BYTES_AT_ONCE", 2)
+    assert token_vectors(tokens, 8).equals(whole[0]) and definition_lists(texts).equals(whole[1])
+    assert [n and len(n) for n in whole[1].to_pylist()] == [2, None, [], [], 1]
+    assert token_vectors(tokens.slice(3, 2), 8).equals(whole[0].slice(3, 2))
+    assert len(token_vectors(tokens.slice(0, 0), 8)) == len(definition_lists(texts.slice(0, 0))) == 0
