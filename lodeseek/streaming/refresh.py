@@ -33,6 +33,9 @@ FAILED = f"{CHANGES}, error string, batch_id bigint"
 
 VERSION = ["repo_name", "rel_path", "size", "modified_ns"]
 
+# Batches of one run, about. Each has a price of its own and writes the groups it touches anew.
+MOST_BATCHES = 8
+
 
 def _read_if_there(spark: SparkSession, schema: str, path: str) -> DataFrame:
     try:
@@ -49,7 +52,10 @@ def note_changes(
     """Append files that are new, or differ in size or time, to the table of changes.
 
     So are files that could not be read as often as they were noted. Changes lie in the
-    order of the index's partitions, so that a batch touches few of them.
+    order of the index's partitions, so that a batch touches few of them. A batch has about
+    ``files_per_batch`` files, or more if that made more than MOST_BATCHES: with batches of
+    one size their number would grow with the changes, and so would the index that each of
+    them writes anew, and the time with the square.
     """
     spark = listing.sparkSession
     noted = _read_if_there(spark, CHANGES, changes).groupBy(*VERSION).agg(
@@ -63,12 +69,14 @@ def note_changes(
         F.col("noted") > F.coalesce("failed", F.lit(0))
     )
     columns = [field.split()[0] for field in CHANGES.split(", ")]
+    changed = materialize(listing.join(done, VERSION, "left_anti").select(*columns), "changed")
+    batches = max(1, min(MOST_BATCHES, -(-changed.count() // files_per_batch)))
+    order = ["repo_name", F.pmod(F.xxhash64("rel_path"), F.lit(buckets)), "rel_path"]
+    # A task writes one file, and a file is a batch.
     (
-        listing.join(done, VERSION, "left_anti")
-        .select(*columns)
-        .orderBy("repo_name", F.pmod(F.xxhash64("rel_path"), F.lit(buckets)), "rel_path")
+        changed.repartitionByRange(batches, *order)
+        .sortWithinPartitions(*order)
         .write.mode("append")
-        .option("maxRecordsPerFile", files_per_batch)
         .parquet(changes)
     )
 

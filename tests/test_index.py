@@ -18,7 +18,7 @@ from lodeseek.session import materialize, release_stored, shared_dir
 from lodeseek.sources import repositories
 from lodeseek.sources.index_store import IndexStore
 from lodeseek.streaming import refresh
-from lodeseek.streaming.refresh import refresh_index
+from lodeseek.streaming.refresh import MOST_BATCHES, note_changes, refresh_index, state_tables
 from test_sources import tree
 
 SMALL = ModelSpec("small", dims=64, prefix="passage: ", query_prefix="query: ")
@@ -217,6 +217,19 @@ def test_incremental_refresh_equals_one_run(spark, tmp_path):
     assert got == expected and len(got) == 7
 
 
+def test_number_of_batches_does_not_grow_with_the_changes(spark, tmp_path):
+    listing = spark.range(300).select(
+        F.concat(F.lit("r"), F.col("id") % 3).alias("repo_name"), F.concat(F.lit("p"), "id").alias("rel_path"),
+        F.lit(1).cast("bigint").alias("size"), F.col("id").alias("modified_ns"), F.lit("go").alias("language"),
+    )
+    tables = state_tables(str(tmp_path / "state"))
+    note_changes(listing, *tables, files_per_batch=2, buckets=4)
+    assert len(list((tmp_path / "state/changes").glob("*.parquet"))) <= MOST_BATCHES
+    assert spark.read.parquet(tables[0]).distinct().count() == 300
+    note_changes(listing, *tables, files_per_batch=2, buckets=4)
+    assert spark.read.parquet(tables[0]).count() == 300
+
+
 def test_filters_prune_partitions_and_contents(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
     store.replace(spark.createDataFrame([row("one", "a"), row("two", "b")], INDEX))
