@@ -107,7 +107,8 @@ def links_within(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMEN
     fingerprint under each of its segments' values, and the query side asks for all values
     in that small ball. Matches are verified on all 64 bits inside the join; a pair found
     over several segments is returned once. Equal fingerprints have been merged before,
-    so copies add nothing.
+    so copies add nothing. Both sides are shuffled and sorted: Spark takes the side of the
+    balls for as small as its fingerprints, many times too small, and would broadcast it.
     """
     width = 64 // segments
     masks = ball(width, radius // segments)
@@ -132,7 +133,7 @@ def links_within(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMEN
     close = (F.col("a") < F.col("b")) & (
         F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     )
-    found = probes.alias("p").join(
+    found = probes.alias("p").hint("merge").join(
         table.alias("t"),
         (F.col("p.segment") == F.col("t.segment")) & (F.col("p.key") == F.col("t.key")) & close,
     )
@@ -153,18 +154,24 @@ def near_groups(
     it, NULL if none of its rows has an id. Repeated rows and copies have equal
     fingerprints and share a component, as do all texts without words (fingerprint 0). An
     empty table gives an empty result.
+
+    No side of these joins is broadcast: each may have a row for every fingerprint, which in
+    memory is some ten times as large as the packed file that Spark sizes it by.
     """
     prints = materialize(fingerprints(df, id_col, text_col, words), "fingerprints")
     roots = components(links_within(prints, radius))
     distinct = prints.groupBy("fingerprint").agg(F.min(id_col).alias("__least"))
-    rooted = distinct.join(
+    rooted = distinct.hint("merge").join(
         roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
     named = materialize(
-        rooted.join(least, "root").select("fingerprint", "root", "component_id"), "components"
+        rooted.hint("merge").join(least, "root").select("fingerprint", "root", "component_id"),
+        "components",
+    )
+    return prints.hint("merge").join(named, "fingerprint").select(
+        id_col, "fingerprint", "root", "component_id"
     )
-    return prints.join(named, "fingerprint").select(id_col, "fingerprint", "root", "component_id")
 
 
 def drop_near_duplicates(
