@@ -1,5 +1,6 @@
 """Joins of near duplicates leave the driver alone, however small Spark takes their sides to be."""
 
+import corpus_pipeline
 import pytest
 from conftest import plan_of
 from llm_data import odd_docs
@@ -38,3 +39,11 @@ def test_groups_are_not_broadcast(spark, plans):
     for plan in (plans["links"], plans["components"], plan_of(groups)):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert groups.collect() and "Broadcast" not in plan_of(groups)
+
+
+def test_near_dedup_stage_does_not_broadcast_balls_or_groups(spark, plans):
+    docs = odd_docs(spark)
+    kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, None)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    for label in ("links", "components", "near-groups"):
+        assert "SortMergeJoin" in plans[label] and "Broadcast" not in plans[label]
